@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfinder.llm import chat, mixing, quality, secrets, sharding
+from wayfinder.llm import chat, mixing, neardup, quality, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 
 
-SPACES = r"[\x20\x09-\x0D]+"
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(_table(spark, sf_dir, "documents"))
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -128,15 +135,43 @@ select t.doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) f
 from t left join f using (doc_id) group by t.doc_id"""
 
 
+def _sql_minhash() -> str:
+    return f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (g) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+e as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 80 * (x.n + y.n - c)),
+r(a, b) as (select doc_id, doc_id from w union select r.a, e.b from r join e on r.b = e.a),
+k as (select a as doc_id, min(b) as component_id from r group by a)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from k left join n using (doc_id)"""
+
+
+def _sql_substring() -> str:
+    return f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') as w from documents),
+x as (select doc_id, unnest(range(1, len(w) - 48)) as s, w from d where len(w) >= 50),
+h as (select doc_id, s, sha256(array_to_string(w[s:s + 49], ' ')) as h from x),
+l as (select h, min(doc_id) as least from h group by h),
+c as (select doc_id, unnest(range(s, s + 50)) as p from h join l using (h) where least < doc_id),
+g as (select doc_id, list(distinct p) as gone from c group by doc_id),
+k as (select doc_id, w, coalesce(gone, []) as gone from d left join g using (doc_id)),
+o as (select doc_id, len(w) as n_words, len(gone) as n_removed, list_filter(w, lambda x, i: not list_contains(gone, i)) as kept from k where len(gone) > 0
+  union all select doc_id, len(w), 0, w from k where len(gone) = 0)
+select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from o"""
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op3_substring": op3_substring,
         "op4_mixing": op4_mixing,
         "op5_chat": op5_chat,
         "op8_quality": op8_quality,
         "op9_secrets": op9_secrets,
+        "op10_minhash": op10_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _sql_sharding(), "op4_mixing": _sql_mixing(), "op5_chat": _sql_chat(), "op9_secrets": _sql_secrets()}
+    return {"op1_sharding": _sql_sharding(), "op3_substring": _sql_substring(), "op4_mixing": _sql_mixing(), "op5_chat": _sql_chat(), "op9_secrets": _sql_secrets(), "op10_minhash": _sql_minhash()}
