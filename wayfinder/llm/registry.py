@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfinder.llm import chat, mixing, neardup, quality, secrets, sharding, substring
+from wayfinder.llm import chat, embedding, mixing, neardup, pieces, quality, secrets, sharding, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +44,31 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = lambda id_: F.crc32(id_.cast("string").cast("binary")) % 4 == 2
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~apart(F.col("id")))
+    found = toxicity.score(docs, model)
+    held = F.coalesce(apart(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return found.select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "flagged")
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.link(_table(spark, sf_dir, "embeddings"))
+
+
+#: The vocabulary that the query uses; the operator takes any path.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).drop("text")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(_table(spark, sf_dir, "documents"))
 
@@ -161,12 +182,27 @@ o as (select doc_id, len(w) as n_words, len(gone) as n_removed, list_filter(w, l
 select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from o"""
 
 
+def _sql_embedding() -> str:
+    return """
+with recursive v as (select vec_id, embedding::double[] as x from embeddings),
+u as (select vec_id, x, sqrt(list_sum(list_transform(x, lambda a: a * a))) as n from v where len(list_filter(x, lambda a: a is null or not isfinite(a))) = 0),
+e as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and a.n > 0 and b.n > 0 and len(a.x) = len(b.x)
+  where list_dot_product(a.x, b.x) / a.n / b.n >= 0.95e0),
+r(a, b) as (select vec_id, vec_id from v union select r.a, e.b from r join e on r.b = e.a),
+k as (select a as vec_id, min(b) as component_id from r group by a),
+l as (select a as vec_id, count(*) as n from e group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from k left join l using (vec_id)"""
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op2_toxicity": op2_toxicity,
         "op3_substring": op3_substring,
         "op4_mixing": op4_mixing,
         "op5_chat": op5_chat,
+        "op6_embedding": op6_embedding,
+        "op7_pieces": op7_pieces,
         "op8_quality": op8_quality,
         "op9_secrets": op9_secrets,
         "op10_minhash": op10_minhash,
@@ -174,4 +210,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _sql_sharding(), "op3_substring": _sql_substring(), "op4_mixing": _sql_mixing(), "op5_chat": _sql_chat(), "op9_secrets": _sql_secrets(), "op10_minhash": _sql_minhash()}
+    return {"op1_sharding": _sql_sharding(), "op3_substring": _sql_substring(), "op4_mixing": _sql_mixing(), "op5_chat": _sql_chat(), "op6_embedding": _sql_embedding(), "op9_secrets": _sql_secrets(), "op10_minhash": _sql_minhash()}
