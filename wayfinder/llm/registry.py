@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from wayfinder.llm import chat, embedding, mixing, neardup, pieces, quality, secrets, sharding, substring, toxicity
 
 
@@ -69,6 +70,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).drop("text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(_table(spark, sf_dir, "documents"))
 
@@ -206,6 +211,7 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_secrets": op9_secrets,
         "op10_minhash": op10_minhash,
+        "pipeline": pipeline,
     }
 
 

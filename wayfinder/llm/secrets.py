@@ -51,6 +51,8 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0, r"eyJ"),
 )
 VERSION = "2024-1"
+#: Blobs with findings (under 200 bytes each) are broadcast up to so many; beyond, joined with a shuffle.
+BROADCAST_BLOBS = 50_000
 
 
 def matches(text: Column, rule: Rule, order: int) -> Column:
@@ -133,3 +135,26 @@ def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
 
     cleaned = F.aggregate(found, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     return F.when(F.size(found) > 0, cleaned).otherwise(text)
+
+
+def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, ledger: DataFrame | None = None, version: str = VERSION) -> DataFrame:
+    """`docs(text, ...)` with every finding replaced by a mark, and n_chars, where there is one, counted again.
+
+    Findings come from the ledger scan by address; only blobs with findings are joined back, so
+    that of a clean document nothing but its address meets them.
+    """
+    from wayfinder.llm._shared import Scratch
+
+    scratch = Scratch(docs.sparkSession, "redact")
+    blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    path = "doc_id" if "doc_id" in docs.columns else "text"
+    _, after = scan(docs.select(*{path, "text"}), [path], rules=rules, version=version, ledger=ledger)
+    found = scratch.cut(after.where((F.col("version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("_wf_blob"), F.col("spans").alias("_wf_spans")), "found")
+    marked = docs.withColumn("_wf_blob", blob)
+    joined = marked.join(F.broadcast(found) if found.count() <= BROADCAST_BLOBS else found, "_wf_blob", "left")
+    text = F.when(F.col("_wf_spans").isNotNull(), redact(F.col("text"), F.col("_wf_spans"))).otherwise(F.col("text"))
+    joined = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        joined = joined.withColumn("n_chars", F.when(F.col("_wf_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return joined.select(*docs.columns)
