@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm._shared import Scratch, components
+from wayfinder.llm._shared import Scratch, components, runs
 from wayfinder.llm._text import U64, mix
 
 CELL, BLOCK = 300, 2048
@@ -152,8 +152,7 @@ def _pairs(space: Space, v: np.ndarray, side: np.ndarray, cell: int, least: floa
 def _counted(g: int, tables: int, least: float, count: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
-    def solve(spaces, key, parts):
-        t = pa.concat_tables(parts)
+    def solve(spaces, key, t):
         if t.num_rows < 2:
             return None
         _, groups = unit(t.column("embedding").combine_chunks())
@@ -179,22 +178,9 @@ def _counted(g: int, tables: int, least: float, count: int):
     def run(batches):
         # rows come sorted by cell and blocks, which hold at most two blocks of vectors
         spaces: dict[int, Space] = {}
-        now, parts = None, []
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            keys = np.stack([t.column(c).to_numpy() for c in ("cell", "i", "j")])
-            cut = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [t.num_rows]])
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if a == b:
-                    continue
-                key = tuple(keys[:, a].tolist())
-                if key != now:
-                    if parts and (found := solve(spaces, now, parts)) is not None:
-                        yield found
-                    now, parts = key, []
-                parts.append(t.slice(a, b - a))
-        if parts and (found := solve(spaces, now, parts)) is not None:
-            yield found
+        for key, t in runs(batches, ("cell", "i", "j")):
+            if (found := solve(spaces, key, t)) is not None:
+                yield found
 
     return run
 

@@ -4,9 +4,10 @@
    band keys of a MinHash signature, and an odd sketch: the signature's samples folded into a
    bitmap by parity, so that the XOR of two bitmaps counts the samples that differ.
 2. Documents with equal sets become one node. In each bucket of a band one member, another in each
-   band, is paired with all others; pairs whose sketches allow the similarity are candidates, and
-   members that the sketches tell apart form a smaller bucket that is treated the same way, until
-   none is left. A bucket of n members so costs about n pairs, not n squared.
+   band, is paired with all others; pairs whose sketches allow the similarity are candidates. What
+   a bucket holds besides, members that the sketches tell apart from the pivot, is compared among
+   itself, sketch by sketch in blocks of bounded size, and gives a forest of candidates. A bucket of
+   n alike members so costs n pairs, not n squared.
 3. Nodes joined by candidates form groups. Each group's texts meet once, in blocks of bounded size;
    there links are decided exactly, on full sets. Within a block, members of the largest cluster
    need no more comparisons among themselves, and all others are compared with every member.
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm._shared import Scratch, components
+from wayfinder.llm._shared import Scratch, components, runs
 from wayfinder.llm._text import U64, chunks, mix, shingles
 
 BANDS, ROWS, SKETCH = 24, 4, 8  # SKETCH: 64-bit words
 #: A sketch pair stays a candidate down to this estimate, five standard errors below 0.8.
 ESTIMATE = 0.6
 #: Members and shingles that a block should hold.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES, SKETCH_BLOCK = 1024, 1 << 20, 4096
 #: Candidates up to so many rows (24 bytes each) are broadcast to the texts; beyond, both are shuffled.
 BROADCAST_ROWS = 400_000
 
@@ -208,23 +209,41 @@ def _candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs `(a, b)` of nodes that share a band and that their sketches allow."""
     rows = nodes.select(F.explode("bands").alias("key"), "node")
     marks = nodes.select("node", *(f"s{i}" for i in range(SKETCH)))
-    found, k = None, 0
-    while True:
-        # node XOR key orders a bucket's members in another way for each key: its least is the pivot
-        mixed = F.col("node").bitwiseXOR(F.col("key"))
-        pivots = rows.groupBy("key").agg(F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).where("lo <> hi").select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("pivot"))
-        rows = scratch.cut(rows.join(pivots, "key").where("node <> pivot"), f"buckets-{k}")
-        pairs = rows.select("pivot", "node").distinct()
-        left = marks.select(F.col("node").alias("pivot"), *(F.col(f"s{i}").alias(f"p{i}") for i in range(SKETCH)))
-        bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"p{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("p0"))))
-        pairs = scratch.cut(pairs.join(marks, "node").join(left, "pivot").select("pivot", "node", (bits <= MOST_BITS).alias("near")), f"pairs-{k}")
-        near = pairs.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        found = near if found is None else found.union(near)
-        far = pairs.where("not near").select("pivot", "node")
-        if far.isEmpty():
-            return found
-        rows = rows.join(far, ["pivot", "node"], "left_semi").select("key", "node")
-        k += 1
+    # node XOR key orders a bucket's members in another way for each key: its least is the pivot
+    mixed = F.col("node").bitwiseXOR(F.col("key"))
+    pivots = rows.groupBy("key").agg(F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).where("lo <> hi").select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("pivot"))
+    rows = scratch.cut(rows.join(pivots, "key").where("node <> pivot"), "buckets")
+    left = marks.select(F.col("node").alias("pivot"), *(F.col(f"s{i}").alias(f"p{i}") for i in range(SKETCH)))
+    bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"p{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("p0"))))
+    pairs = rows.select("pivot", "node").distinct().join(marks, "node").join(left, "pivot")
+    pairs = scratch.cut(pairs.select("pivot", "node", (bits <= MOST_BITS).alias("near")), "pairs")
+    near = pairs.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    far = rows.join(pairs.where("not near").select("pivot", "node"), ["pivot", "node"], "left_semi").select("key", "node")
+    far = scratch.cut(far, "far")
+    sizes = far.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / SKETCH_BLOCK).cast("int").alias("blocks"))
+    far = far.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    far = far.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(marks, "node")
+    far = far.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
+    rest = far.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_sketch_forest, "a long, b long")
+    return near.union(rest)
+
+
+def _sketch_forest(batches):
+    """Of each bucket (or two blocks of it) a forest over the pairs that the sketches allow."""
+    for _, t in runs(batches, ("key", "i", "j")):
+        node = t.column("node").to_numpy()
+        marks = np.stack([t.column(f"s{i}").to_numpy() for i in range(SKETCH)], axis=1).view(U64)
+        at, out = Clusters(len(node)), []
+        for x in range(0, len(node), 128):
+            bits = np.zeros((min(128, len(node) - x), len(node)), np.uint16)
+            for i in range(SKETCH):
+                bits += np.bitwise_count(marks[x : x + 128, i, None] ^ marks[None, :, i])
+            for p, q in zip(*np.nonzero(np.triu(bits <= MOST_BITS, x + 1)), strict=True):
+                if at.join(int(p) + x, int(q)):
+                    out.append((int(p) + x, int(q)))
+        if out:
+            i, j = np.array(out).T
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80) -> DataFrame:
