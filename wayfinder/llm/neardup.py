@@ -216,7 +216,7 @@ def _candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     left = marks.select(F.col("node").alias("pivot"), *(F.col(f"s{i}").alias(f"p{i}") for i in range(SKETCH)))
     bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"p{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("p0"))))
     pairs = rows.select("pivot", "node").distinct().join(marks, "node").join(left, "pivot")
-    pairs = scratch.cut(pairs.select("pivot", "node", (bits <= MOST_BITS).alias("near")), "pairs")
+    pairs = scratch.cut(pairs.select("pivot", "node", (bits <= MOST_BITS).alias("near")), "star")
     near = pairs.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     far = rows.join(pairs.where("not near").select("pivot", "node"), ["pivot", "node"], "left_semi").select("key", "node")
     far = scratch.cut(far, "far")
