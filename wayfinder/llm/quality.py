@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm._shared import let, words
+from wayfinder.llm._shared import Scratch, let, words
 
 #: What rules may test; each is a number from 0, computed by `with_statistics`.
 FEATURES = ("n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share")
@@ -32,8 +32,11 @@ def repeat_words(w: Column) -> Column:
     """
     at = F.sequence(F.lit(0), F.size(w) - 3)
 
-    def exact(_):
-        rows = F.array_sort(F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))))
+    def exact(marks):
+        # places whose hash is found twice; where these are many, all places
+        twice = let(F.sort_array(marks), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(x == F.get(s, i + 1), F.lit(False)))))
+        some = let(twice, lambda d: F.when(F.size(d) <= 64, F.filter(at, lambda i: F.array_contains(d, F.get(marks, i)))).otherwise(at))
+        rows = F.sort_array(F.transform(some, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))))
 
         def covered(s):
             same = lambda x, j: F.coalesce(x["t"] == F.get(s, j)["t"], F.lit(False))
@@ -43,8 +46,8 @@ def repeat_words(w: Column) -> Column:
         return let(rows, covered)
 
     marks = F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    some = let(marks, lambda m: F.size(F.array_distinct(m)) < F.size(m))
-    return F.when(F.size(w) < 4, F.lit(0)).when(some, exact(None)).otherwise(F.lit(0))
+    found = let(marks, lambda m: F.when(F.size(F.array_distinct(m)) < F.size(m), exact(m)).otherwise(F.lit(0)))
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(found)
 
 
 def statistics(text: Column) -> Column:
@@ -198,6 +201,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, **o
     marked = labels.select(F.col("doc_id").alias("_wf_id"), F.col("quality").alias("_wf_quality")).where("_wf_id is not null and _wf_quality is not null")
     marked = marked.groupBy("_wf_id").agg(F.min("_wf_quality").alias("_wf_quality")).orderBy(key, "_wf_id").limit(max_labelled)
     some = docs.select(F.col("doc_id").alias("_wf_id"), F.col("text").alias("_wf_text")).join(F.broadcast(marked), "_wf_id")
+    some = Scratch(docs.sparkSession, "quality").cut(some, "labelled")  # else the counts are made for all documents, below the join
     s = F.col("_wf_stats")
     found = with_statistics(some, "_wf_text").where(~base_failed(s)).select(F.col("_wf_id").cast("string").alias("key"), (F.col("_wf_quality") == 0).alias("bad"), *(feature(s, f).alias(f) for f in FEATURES)).collect()
     return learn([r.asDict() for r in found], **options)
