@@ -14,7 +14,7 @@ KEPT, TOKENS = 8, 8
 
 def day_tokens(body: Column, day: Column, days: Column) -> Column:
     """The slot:action tokens of one day's text, by start and then line; the default day where no line parses."""
-    lines = F.transform(F.split(F.coalesce(body, F.lit("")), r"\r\n|\r|\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(body, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x))
     lines = F.filter(lines, lambda x: x.rlike(HEADER))
 
     def parsed(line, i):

@@ -49,7 +49,7 @@ def day_windows(specs: DataFrame, rides: DataFrame) -> DataFrame:
 def needed() -> Column:
     """Minutes an activity takes: a meal an hour, a sight what it recommends within bounds."""
     d = text.duration_minutes(F.col("duration"))
-    return F.when(F.col("etype") == "restaurant", MEAL).otherwise(F.coalesce(F.least(F.greatest(d, F.lit(SHORTEST)), F.lit(LONGEST)), F.lit(USUAL))).cast("long")
+    return F.when(F.col("etype") == "restaurant", MEAL).otherwise(F.when(d.isNotNull(), F.least(F.greatest(d, F.lit(SHORTEST)), F.lit(LONGEST))).otherwise(USUAL)).cast("long")
 
 
 def schedule(items: DataFrame, windows: DataFrame) -> DataFrame:

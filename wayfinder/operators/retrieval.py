@@ -19,13 +19,15 @@ CAPS = {"hotel": 0.85, "restaurant": 0.35, "attraction": 0.65}
 WEIGHTS = (0.5, 0.25, 0.25)
 ROUND = 8
 
-by_pid = Window.partitionBy("pid")
+
+def by_pid():
+    return Window.partitionBy("pid")
 
 
 def city_filter(pool: DataFrame) -> DataFrame:
     """Candidates of the destination; requests without any keep all, with scope pid_pool."""
     same = text.normalize(F.col("city")) == text.normalize(F.col("destination"))
-    pool = pool.withColumn("_same", same).withColumn("_n", F.sum(F.col("_same").cast("int")).over(by_pid))
+    pool = pool.withColumn("_same", same).withColumn("_n", F.sum(F.col("_same").cast("int")).over(by_pid()))
     scope = F.when(F.col("_n") > 0, F.concat(F.lit("city:"), text.slugify(F.col("destination")))).otherwise("pid_pool")
     return pool.where("_same or _n = 0").withColumn("scope", scope).drop("_same", "_n")
 
@@ -52,7 +54,7 @@ def tiers(pool: DataFrame) -> DataFrame:
 def hard_filter(pool: DataFrame) -> DataFrame:
     """The strict tier, and whole later tiers while fewer than LEAST candidates are there; first of each id."""
     t = tiers(pool)
-    count = lambda k: F.sum((F.col("tier") == k).cast("int")).over(by_pid)
+    count = lambda k: F.sum((F.col("tier") == k).cast("int")).over(by_pid())
     t = t.withColumn("_n0", count(0)).withColumn("_n1", count(1))
     few = F.col("_n0") < LEAST
     t = t.where((F.col("tier") == 0) | ((F.col("tier") == 1) & few) | ((F.col("tier") == 2) & few & (F.col("_n0") + F.col("_n1") < LEAST)))
@@ -70,7 +72,7 @@ def top(rows: DataFrame, n: int | Column, order: list, by: tuple[str, ...] = ("p
 
 def seeds(scored: DataFrame, topk: int = 30) -> DataFrame:
     """The best `topk` by vector score; requests without scores take the 8 cheapest, hotels last."""
-    scored = scored.withColumn("_any", F.count("vector").over(by_pid))
+    scored = scored.withColumn("_any", F.count("vector").over(by_pid()))
     found = top(scored.where("vector is not null"), topk, [F.desc("vector"), "tier", "ord"])
     other = top(scored.where("_any = 0"), 8, [F.col("etype") == "hotel", "price", "tier", "ord"])
     return found.unionByName(other).select("pid", "cid")
@@ -122,7 +124,7 @@ def notes() -> Column:
 
 def min_max(name: str, flat: float = 0.0) -> Column:
     """A score scaled to 0 to 1 among the request's items; where all are alike, `flat`."""
-    lo, hi = F.min(name).over(by_pid), F.max(name).over(by_pid)
+    lo, hi = F.min(name).over(by_pid()), F.max(name).over(by_pid())
     return F.when(hi - lo < 1e-9, F.lit(flat)).otherwise((F.col(name) - lo) / (hi - lo))
 
 

@@ -256,9 +256,8 @@ def _jaccard(w):
     return both.withColumn("score", F.col("c") / (F.col("na") + F.col("nb") - F.col("c")))
 
 
-@query("candidate_similarity", "pid long, a string, b string, score double", """with h as (select pid, cid, etype, name, list_distinct(tags) as tags, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from pool where etype = 'hotel')
-select a.pid, a.cid as a, b.cid as b, least(1e0, 0.45e0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) + 0.25e0 * len(list_intersect(a.tags, b.tags)) / (len(a.tags) + len(b.tags) - len(list_intersect(a.tags, b.tags))) + 0.2e0 + 0.1e0 * (lower(a.name) = lower(b.name))::int) as score
-from h a join h b on a.pid = b.pid and a.cid < b.cid""")
+@query("candidate_similarity", "pid long, a string, b string, score double", """select a.pid, a.cid as a, b.cid as b, least(1e0, 0.45e0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) + 0.25e0 * len(list_intersect(a.tags, b.tags)) / (len(a.tags) + len(b.tags) - len(list_intersect(a.tags, b.tags))) + 0.2e0 + 0.1e0 * (lower(a.name) = lower(b.name))::int) as score
+from h a join h b on a.pid = b.pid and a.cid < b.cid""", "h as (select pid, cid, etype, name, list_distinct(tags) as tags, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from pool where etype = 'hotel')")
 def _similar(w):
     one = w.pool.where("etype = 'hotel'").select("pid", F.struct("cid", "etype", "name", "tags", text.tokenize(F.col("text")).alias("tokens")).alias("x"))
     pairs = one.withColumnRenamed("x", "l").join(one.withColumnRenamed("x", "r"), "pid").where("l.cid < r.cid")

@@ -48,7 +48,7 @@ def candidates(info: DataFrame) -> DataFrame:
 
     x, city = F.col("x"), F.col("city")
     named = lambda kind, name: F.concat_ws(":", F.lit(kind), text.slugify(city), text.slugify(name))
-    tags = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda t: t != "")
+    tags = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
     place = [text.safe_float(x["latitude"], float("nan")).alias("lat"), text.safe_float(x["longitude"], float("nan")).alias("lon")]
     place = [F.when(~F.isnan(c), c).alias(n) for c, n in zip(place, ("lat", "lon"), strict=True)]
     none = F.lit(None).cast("string")
