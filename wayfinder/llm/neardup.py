@@ -132,15 +132,17 @@ class Index:
 
     def linked(self, one: np.ndarray, percent: int) -> np.ndarray:
         """Which sets have 100 * intersection >= percent * union with the set `one`."""
+        size = len(one)
         at = np.searchsorted(self.names, one)
-        at = at[at < len(self.names)]
-        hit = at[np.isin(self.names[at], one)]
+        there = at < len(self.names)
+        at, one = at[there], one[there]
+        hit = at[self.names[at] == one]
         lo, n = self.at[hit], self.at[hit + 1] - self.at[hit]
         if not len(lo):
             return np.zeros(0, np.int64)
         places = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         both = np.bincount(self.owner[places], minlength=self.n)
-        return np.flatnonzero((100 * both >= percent * (self.sizes + len(one) - both)) & (both > 0))
+        return np.flatnonzero((100 * both >= percent * (self.sizes + size - both)) & (both > 0))
 
 
 def cluster(sets: np.ndarray, offs: np.ndarray, percent: int) -> list[tuple[int, int]]:
