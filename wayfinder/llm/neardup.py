@@ -306,11 +306,21 @@ def _meet(docs: DataFrame, placed: DataFrame, name: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each component, all columns kept; repeated rows of one id become one row."""
-    found = link(docs, **options)
-    stay = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_wf_n"))
-    stay = Scratch(docs.sparkSession, "kept").cut(stay, "ids")
-    gone = docs.where("doc_id is null")
-    out = docs.join(stay.where("_wf_n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(stay.where("_wf_n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(again).unionByName(gone).select(*docs.columns)
+    """`docs` with one document of each component, all columns kept; repeated rows of one id become one row.
+
+    Only the ids that go meet the texts, broadcast if they are counted to be few; so texts are not
+    shuffled unless more than BROADCAST_ROWS documents go.
+    """
+    found = link(docs, **options).where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("_wf_kept"), F.count("*").alias("_wf_n")).where("not _wf_kept or _wf_n > 1")
+    ids = Scratch(docs.sparkSession, "gone").cut(ids, "ids")
+    gone, again = (_few(ids.where(x).select("doc_id")) for x in ("not _wf_kept", "_wf_kept"))
+    out = docs.join(gone, "doc_id", "left_anti")
+    if again.isEmpty():
+        return out.select(*docs.columns)
+    once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return out.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
