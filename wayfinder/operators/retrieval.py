@@ -112,7 +112,7 @@ def notes() -> Column:
     out = F.array(
         F.when((etype == "restaurant") & F.col("lo").isNotNull(), F.format_string("meal_fit=%.2f", fit)),
         F.when((etype == "hotel") & F.col("category_pref").isNotNull(), F.format_string("hotel_pref_match=%d", liked.cast("int"))),
-        F.when((F.size("tags") > 0) & (F.size("interests") > 0), F.format_string("interest_overlap=%d", F.size(F.array_intersect("tags", "interests")))),
+        F.when((F.size("tags") > 0) & (F.size("interests") > 0), F.format_string("interest_overlap=%d", F.size(F.array_intersect(F.transform("tags", text.normalize), F.transform("interests", text.normalize))))),
         F.when(budget_ok(), "budget_hint=ok").otherwise("budget_hint=relaxed"),
         F.when((etype == "attraction") & text.opening_hours(F.col("opening")).isNotNull(), "opening_hours=known"),
         F.when((etype == "attraction") & minutes.isNotNull(), F.format_string("duration_min=%d", minutes)),

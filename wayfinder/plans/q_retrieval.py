@@ -33,7 +33,7 @@ anchor as (select pid, lat as alat, lon as alon from (select *, row_number() ove
 KM = "2 * 6371e0 * atan2(sqrt({0}), sqrt(1 - {0}))"
 HAV = "(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))"
 CONS = f"""{SEED},
-cons0 as (select s.*, {HAV.format('alat', 'alon', 'lat', 'lon')} as hav, len(list_intersect(tags, interests)) as shared from scored s join anchor using (pid)),
+cons0 as (select s.*, {HAV.format('alat', 'alon', 'lat', 'lon')} as hav, len(list_intersect(list_transform(tags, lambda x: lower(x)), interests)) as shared from scored s join anchor using (pid)),
 cons as (select *, least(1.2e0, 0.3e0
   + case when etype = 'restaurant' and lo is not null then 0.28e0 * greatest(0, 1 - abs(price - (lo + hi) / 2) / greatest(1, hi - lo)) when etype = 'restaurant' then 0.12e0 else 0 end
   + case when etype = 'hotel' and contains(lower(category), lower(coalesce(category_pref, '?'))) then 0.2e0 else 0 end
