@@ -113,7 +113,7 @@ def _norms(w):
     return lexical.norms(lexical.weigh(t, lexical.idf(t, "cid")), "cid")
 
 
-@query("tfidf_topk", "item_id long, doc_id long, score double, rank long", """with t as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[\\x{4e00}-\\x{9fff}]')) as term from documents) group by all),
+@query("tfidf_topk", "item_id long, doc_id long, score score, rank long", """with t as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[\\x{4e00}-\\x{9fff}]')) as term from documents) group by all),
 i as (select term, ln(((select count(distinct doc_id) from t) + 1) / (count(*) + 1)) + 1 as idf from t group by term), w as (select doc_id, term, (1 + ln(tf)) * idf as w from t join i using (term)), n as (select doc_id, sqrt(sum(w * w)) as n from w group by doc_id),
 q as (select item_id, term, (1 + ln(count(*))) * any_value(idf) as w from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{4e00}-\\x{9fff}]')) as term from benchmark) join i using (term) group by all), m as (select item_id, sqrt(sum(w * w)) as m from q group by item_id),
 s as (select item_id, doc_id, round(sum(q.w * w.w) / (any_value(n) * any_value(m)), 8) as score from q join w using (term) join n using (doc_id) join m using (item_id) group by all)
@@ -145,17 +145,17 @@ def _notes(w):
     return s.join(R.anchor(s), "pid").withColumn("notes", F.array_join(R.notes(), ", "))
 
 
-@query("graph_score", "pid long, cid string, graph double", "select pid, cid, graph from items", GRAPH)
+@query("graph_score", "pid long, cid string, graph score", "select pid, cid, graph from items", GRAPH)
 def _graph_score(w):
     return items(w)
 
 
-@query("minmax_fuse", "pid long, cid string, raw_fused double, fused double", "select pid, cid, raw_fused, fused from fused", FUSED)
+@query("minmax_fuse", "pid long, cid string, raw_fused score, fused score", "select pid, cid, raw_fused, fused from fused", FUSED)
 def _fuse(w):
     return items(w)
 
 
-@query("naive_retrieval_topk", "pid long, cid string, position long, vector double, fused double", "select pid, cid, position, vector, fused from placed where position <= 20", FUSED)
+@query("naive_retrieval_topk", "pid long, cid string, position long, vector score, fused score", "select pid, cid, position, vector, fused from placed where position <= 20", FUSED)
 def _top(w):
     return items(w).where("position <= 20")
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from wayfinder.plans.base_sql import duck
 from wayfinder.sources.domain import World
 
-DIGITS = 6
 _TYPES = {"long": ("bigint", "bigint"), "double": ("double", "double"), "string": ("string", "varchar"), "boolean": ("boolean", "boolean")}
+#: Digits of numbers; scores are rounded before they rank, and not to fewer digits afterwards.
+_DIGITS = {"double": 6, "score": 8}
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
@@ -27,12 +28,12 @@ def query(name: str, columns: str, sql: str | None = None, more: str = "", plain
     def add(function: Callable[[World], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = function(World(spark, sf_dir))
-            return df.select(*(F.round(F.col(c).cast("double"), DIGITS).alias(c) if t == "double" else F.col(c).cast(_TYPES[t][0]).alias(c) for c, t in fields))
+            return df.select(*(F.round(F.col(c).cast("double"), _DIGITS[t]).alias(c) if t in _DIGITS else F.col(c).cast(_TYPES[t][0]).alias(c) for c, t in fields))
 
         _queries[name] = run
         if sql is not None:
             body = sql if plain else duck(sql, more)
-            outer = ", ".join(f'round("{c}"::double, {DIGITS}) as "{c}"' if t == "double" else f'"{c}"::{_TYPES[t][1]} as "{c}"' for c, t in fields)
+            outer = ", ".join(f'round("{c}"::double, {_DIGITS[t]}) as "{c}"' if t in _DIGITS else f'"{c}"::{_TYPES[t][1]} as "{c}"' for c, t in fields)
             _oracles[name] = f"select {outer} from ({body}) result"
         return function
 
