@@ -50,8 +50,8 @@ items as (select c.*, round(least(1.5e0, (1.5e0 * coalesce(h.hits, 0) + 1 + 0.7e
 SCALED = "case when max({0}) over p - min({0}) over p < 1e-9 then 0e0 else ({0} - min({0}) over p) / (max({0}) over p - min({0}) over p) end"
 FUSED = f"""{GRAPH},
 items2 as (select * replace (coalesce(vector, 0) as vector) from items),
-fused as (select *, round(0.5e0 * vector + 0.25e0 * constraint_score + 0.25e0 * graph, 8) as raw_fused,
-  round(0.5e0 * {SCALED.format('vector')} + 0.25e0 * {SCALED.format('constraint_score')} + 0.25e0 * {SCALED.format('graph')}, 8) as fused from items2 window p as (partition by pid)),
+fused as (select *, round(0.5e0 * vector + 0.25e0 * constraint_score + 0.25e0 * graph, 10) as raw_fused,
+  round(0.5e0 * {SCALED.format('vector')} + 0.25e0 * {SCALED.format('constraint_score')} + 0.25e0 * {SCALED.format('graph')}, 10) as fused from items2 window p as (partition by pid)),
 placed as (select *, row_number() over (partition by pid order by fused desc, tier, ord) as position from fused)"""
 
 

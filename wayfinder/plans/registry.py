@@ -16,7 +16,7 @@ from wayfinder.sources.domain import World
 
 _TYPES = {"long": ("bigint", "bigint"), "double": ("double", "double"), "string": ("string", "varchar"), "boolean": ("boolean", "boolean")}
 #: Digits of numbers; scores are rounded before they rank, and not to fewer digits afterwards.
-_DIGITS = {"double": 6, "score": 8}
+_DIGITS = {"double": 6, "score": 10}
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
