@@ -62,13 +62,11 @@ class Space:
 
     def keys(self, v: np.ndarray) -> np.ndarray:
         """The cell of each vector (row) in each table."""
-        at = np.floor(v @ self.directions[:, : self.g * self.tables] / (WIDTH * self.sigma) + self.offset).astype(np.int64).view(U64)
-        out = np.empty((len(v), self.tables), U64)
-        for t in range(self.tables):
-            key = np.full(len(v), U64(t * 1_000_003 + self.dim))
-            for x in at[:, t * self.g : (t + 1) * self.g].T:
-                key = mix(key * U64(0x9E3779B97F4A7C15) + x)
-            out[:, t] = key
+        at = np.floor(v @ self.directions[:, : self.g * self.tables] / (WIDTH * self.sigma) + self.offset)
+        at = at.astype(np.int64).view(U64).reshape(len(v), self.tables, self.g)
+        out = np.broadcast_to(np.arange(self.tables, dtype=U64) * U64(1_000_003) + U64(self.dim), (len(v), self.tables))
+        for k in range(self.g):
+            out = mix(out * U64(0x9E3779B97F4A7C15) + at[:, :, k])
         return out
 
 
