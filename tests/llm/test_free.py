@@ -191,3 +191,20 @@ def test_toxicity(spark):
     assert got[9000]["score"] == got[9001]["score"] < 0.3 and all(0 <= r["score"] <= 1 for r in got.values())
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_reads_whole_words():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts, toxic = [], []
+    for k in range(800):
+        w = [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(rng.randrange(20, 80))]
+        for _ in range(2):
+            w[rng.randrange(len(w))] = rng.choice(["achkeiter", "Пелиратор"] if k % 4 == 0 else ["achkeit", "пелирать", "Пелира"])
+        texts.append(" ".join(w))
+        toxic.append(int(k % 4 == 0))
+    y = np.array(toxic)
+    model = toxicity.train(pa.array(texts[:600]), y[:600], np.ones(600))
+    scores = np.concatenate([model.scores(toxicity.slots(w), w.offset) for _, _, w in toxicity.chunks(pa.array(texts[600:]))])
+    assert np.mean((scores >= 0.3) == y[600:]) > 0.95
