@@ -33,8 +33,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mix(docs)
+    """Documents as often as the mix takes them, drawn by weights from their quality labels."""
+    return mixing.mix(docs, mixing.quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """The stages of the pipeline on small tables, each against what it must do to its own input."""
 
 import re
+from collections import Counter
 
 import corpus_pipeline
-from wayfinder.llm import registry
+from wayfinder.llm import mixing, registry
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -35,6 +36,21 @@ def test_stages(spark):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_mixing_weighs_quality(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+
+    def times(weights):
+        return {r["id"]: int(r["taken"] / r["size"] + 0.5) for r in mixing.plan_mix(docs, weights).collect() if r["size"]}
+
+    want = times(mixing.quality_weights(labels))
+    assert want != times(None)
+    for few in (400_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_WEIGHTS", few)
+        got = Counter(r["doc_id"] for r in corpus_pipeline.mixing_weights(spark, docs, sf).collect())
+        assert got == {k: n for k, n in want.items() if n}
+
+
 def test_queries_have_sql():
     assert set(registry.oracle_sql()) < set(registry.queries())
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in registry.queries() if q != "pipeline"} == set(range(1, 11))

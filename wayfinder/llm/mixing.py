@@ -29,6 +29,8 @@ SHARE_PERCENT, MOST = 150, 2
 BIN_ROWS = 2000
 #: A table with a row for each source is broadcast up to so many rows (under 20 MB), else joined with a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Weights up to so many rows (16 bytes each) are broadcast to the texts; beyond, both are shuffled.
+BROADCAST_WEIGHTS = 400_000
 
 
 def uniform(key: Column) -> Column:
@@ -125,19 +127,25 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     return taken(slim, cutoffs(slim, scratch))
 
 
-def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
-    """The mix itself: rows of `docs`, each as often as it is taken, all columns kept.
+def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """The mix itself: rows of `docs`, each as often as it is taken, all columns kept; `weights` as in `plan_mix`.
 
     A document taken in part comes once more if at least half of its words are taken. Documents
     without words are not in a mix. Rows are decided one by one against the sources' cut-offs, so
-    texts are not shuffled.
+    texts are not shuffled unless more than BROADCAST_WEIGHTS weights are other than 1.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    weight = F.lit(1.0) if weight is None else weight
-    row = [F.col("doc_id").alias("id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), weight).alias("key")]
-    slim = scratch.cut(docs.select(*row), "sizes")
+    other = None if weights is None else scratch.cut(weights.where("weight <> 1"), "weights")
+    few = other is not None and other.count() <= BROADCAST_WEIGHTS
+
+    def keyed(*more: Column) -> DataFrame:
+        rows = docs.select(*more, F.col("doc_id").alias("id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
+        rows = rows.withColumn("weight", F.lit(1.0)) if other is None else rows.join(F.broadcast(other) if few else other, "id", "left")
+        return rows.withColumn("key", draw(F.col("id"), F.col("weight"))).drop("weight")
+
+    slim = scratch.cut(keyed(), "sizes")
     cuts = cutoffs(slim, scratch)
-    whole = docs.select(F.struct(*docs.columns).alias("_wf_row"), *row)
+    whole = keyed(F.struct(*docs.columns).alias("_wf_row"))
     times = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
     found = taken(whole, cuts).where("size > 0").withColumn("_wf_times", times).where("_wf_times > 0")
     return found.select("_wf_row", F.explode(F.sequence(F.lit(1), F.col("_wf_times")))).select("_wf_row.*")
