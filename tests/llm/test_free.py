@@ -67,6 +67,26 @@ def test_near_duplicates(spark, monkeypatch):
     assert neardup.link(docs.limit(0)).count() == 0
 
 
+def test_candidates_join_all_that_sketches_allow(spark, monkeypatch):
+    from wayfinder.llm._shared import Scratch
+
+    rng = random.Random(12)
+    bits = 64 * neardup.SKETCH
+    flip = lambda s, n: s ^ sum(1 << b for b in rng.sample(range(bits), n))
+    sketch, bands = {}, {}
+    for k in range(120):  # chains of texts, each near to the one before and far from those further back
+        sketch[k] = flip(sketch[k - 1], neardup.MOST_BITS * 9 // 10) if k % 6 else rng.getrandbits(bits)
+        bands[k] = [k // 12, 100 + k // 40]
+    links = [(a, b) for a in sketch for b in sketch if a < b and set(bands[a]) & set(bands[b]) and (sketch[a] ^ sketch[b]).bit_count() <= neardup.MOST_BITS]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(k, bands[k], *(signed(sketch[k] >> 64 * i & (1 << 64) - 1) for i in range(neardup.SKETCH))) for k in sketch]
+    nodes = spark.createDataFrame(rows, "node long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(neardup.SKETCH)))
+    for block in (4096, 3):
+        monkeypatch.setattr(neardup, "SKETCH_BLOCK", block)
+        got = {tuple(sorted((r["a"], r["b"]))) for r in neardup._candidates(nodes, Scratch(spark, "test")).collect()}
+        assert got <= set(links) and parts(sketch, got) == parts(sketch, links)
+
+
 def test_substrings(spark):
     rng = random.Random(2)
     new = lambda n, top=4000: [f"v{rng.randrange(top)}" for _ in range(n)]

@@ -6,15 +6,16 @@
 2. Documents with equal sets become one node. In each bucket of a band one member, another in each
    band, is paired with all others; pairs whose sketches allow the similarity are candidates. What
    a bucket holds besides, members that the sketches tell apart from the pivot, is compared among
-   itself, sketch by sketch in blocks of bounded size, and gives a forest of candidates. A bucket of
-   n alike members so costs n pairs, not n squared.
+   itself and with the bucket's other members, sketch by sketch in blocks of bounded size, and gives
+   a forest of candidates. A bucket of n alike members so costs n pairs, not n squared.
 3. Nodes joined by candidates form groups. Each group's texts meet once, in blocks of bounded size;
    there links are decided exactly, on full sets. Within a block, members of the largest cluster
    need no more comparisons among themselves, and all others are compared with every member.
    Groups of several blocks share some members between blocks, and what is not in the largest
    cluster by then is compared with all blocks, so no link between clusters is missed.
 
-A pair of the least similarity shares no band with probability (1 - 0.8^4)^24 = 3e-6.
+A pair of the least similarity shares no band with probability (1 - 0.8^4)^24 = 3e-6;
+that does not count the sketches, which drop a pair five standard errors below it.
 
 Nulls: a document without words, or with a null id, links with nothing; a null id has a null
 component and is kept. Rows that share an id are one document, linked by any of its texts. Empty
@@ -222,24 +223,42 @@ def _candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     near = pairs.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     far = rows.join(pairs.where("not near").select("pivot", "node"), ["pivot", "node"], "left_semi").select("key", "node")
     far = scratch.cut(far, "far")
-    sizes = far.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / SKETCH_BLOCK).cast("int").alias("blocks"))
-    far = far.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    far = far.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(marks, "node")
-    far = far.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
-    rest = far.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_sketch_forest, "a long, b long")
+    # far members meet each other and the bucket's near ones; those are alike to the pivot and need not meet themselves
+    beside = rows.join(far.select("key").distinct(), "key", "left_semi").join(pairs.where("near").select("pivot", "node"), ["pivot", "node"], "left_semi").select("key", "node")
+    members = scratch.cut(far.withColumn("far", F.lit(True)).union(beside.withColumn("far", F.lit(False))), "members")
+    blocks = lambda far: F.ceil(F.count_if(F.col("far") == far) / SKETCH_BLOCK).cast("int")
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), blocks(True).alias("fars"), blocks(False).alias("nears")).where("m > 1").drop("m")
+    # blocks of far members come first, then those of near ones
+    hashed = F.xxhash64("node", "key")
+    block = F.when(F.col("far"), F.pmod(hashed, F.col("fars"))).otherwise(F.col("fars") + F.pmod(hashed, F.col("nears")))
+    others = F.col("fars") + F.when(F.col("far"), F.col("nears")).otherwise(F.lit(0))
+    dealt = members.join(sizes, "key").withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1))).join(marks, "node")
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "fars", "nears")
+    rest = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_sketch_forest, "a long, b long")
     return near.union(rest)
 
 
 def _sketch_forest(batches):
-    """Of each bucket (or two blocks of it) a forest over the pairs that the sketches allow."""
+    """Of each bucket (or two blocks of it) a forest over the pairs that the sketches allow: far members with near ones, or where there are none, among themselves."""
     for _, t in runs(batches, ("key", "i", "j")):
+        is_far = t.column("far").to_numpy()
+        if not is_far.any():
+            continue
         node = t.column("node").to_numpy()
         marks = np.stack([t.column(f"s{i}").to_numpy() for i in range(SKETCH)], axis=1).view(U64)
+        order = np.argsort(~is_far, kind="stable")
+        node, marks = node[order], marks[order]
+        n, apart = int(is_far.sum()), not is_far.all()  # far members come first now
         at, out = Clusters(len(node)), []
-        for x in range(0, len(node), 128):
-            bits = np.zeros((min(128, len(node) - x), len(node)), np.uint16)
+        for x in range(0, n, 128):
+            bits = np.zeros((min(128, n - x), len(node)), np.uint16)
             for i in range(SKETCH):
-                bits += np.bitwise_count(marks[x : x + 128, i, None] ^ marks[None, :, i])
+                bits += np.bitwise_count(marks[x : min(x + 128, n), i, None] ^ marks[None, :, i])
+            if apart:  # the pivot joins all near members, so one of them is enough
+                bits[:, :n] = MOST_BITS + 1
+                p = np.flatnonzero((bits <= MOST_BITS).any(axis=1))
+                out += zip((p + x).tolist(), (bits[p] <= MOST_BITS).argmax(axis=1).tolist(), strict=True)
+                continue
             for p, q in zip(*np.nonzero(np.triu(bits <= MOST_BITS, x + 1)), strict=True):
                 if at.join(int(p) + x, int(q)):
                     out.append((int(p) + x, int(q)))
