@@ -87,6 +87,15 @@ def test_candidates_join_all_that_sketches_allow(spark, monkeypatch):
         assert got <= set(links) and parts(sketch, got) == parts(sketch, links)
 
 
+def test_unlike_rows_of_one_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(7, a, "z"), (7, b, "x"), (7, b.upper(), "w"), (7, a, "y"), (8, a + " more", "v"), (9, c, "u"), (3, b, "t"), (None, a, "s"), (None, a, "s")]
+    want = [(3, b, "t"), (7, a, "y"), (9, c, "u"), (None, a, "s"), (None, a, "s")]
+    for parted in (1, 4):
+        docs = spark.createDataFrame(rows[::-1] if parted > 1 else rows, "doc_id long, text string, kept string").repartition(parted)
+        assert sorted(map(str, map(tuple, neardup.deduplicate(docs, shingle=4).collect()))) == sorted(map(str, want))
+
+
 def test_substrings(spark):
     rng = random.Random(2)
     new = lambda n, top=4000: [f"v{rng.randrange(top)}" for _ in range(n)]

@@ -325,20 +325,31 @@ def _meet(docs: DataFrame, placed: DataFrame, name: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each component, all columns kept; repeated rows of one id become one row.
+    """`docs` with one document of each component, all columns kept.
+
+    Rows that share an id are told apart by their texts: one goes only if it has the text of
+    another or links with it. Of a component the smallest id stays, then the least hash of id and
+    text, then the first row as JSON.
 
     Only the ids that go meet the texts, broadcast if they are counted to be few; so texts are not
-    shuffled unless more than BROADCAST_ROWS documents go.
+    shuffled unless more than BROADCAST_ROWS documents go or ids repeat.
     """
-    found = link(docs, **options).where("doc_id is not null")
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("_wf_kept"), F.count("*").alias("_wf_n")).where("not _wf_kept or _wf_n > 1")
-    ids = Scratch(docs.sparkSession, "gone").cut(ids, "ids")
-    gone, again = (_few(ids.where(x).select("doc_id")) for x in ("not _wf_kept", "_wf_kept"))
-    out = docs.join(gone, "doc_id", "left_anti")
+    scratch = Scratch(docs.sparkSession, "gone")
+    again = scratch.cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_wf_again")).count().where("count > 1").select("_wf_again"), "again")
     if again.isEmpty():
-        return out.select(*docs.columns)
-    once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        gone = scratch.cut(link(docs, **options).where("not kept").select("doc_id"), "ids")
+        return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
+    own = F.when(F.col("_wf_again").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).otherwise(F.col("doc_id").cast("long"))
+    named = docs.join(_few(again), F.col("doc_id") == F.col("_wf_again"), "left").withColumn("_wf_id", own)
+    names = scratch.cut(named.where("_wf_id is not null").select("_wf_id", F.col("doc_id").alias("_wf_doc")).distinct(), "names")
+    found = link(named, id_col="_wf_id", **options).where("doc_id is not null").select(F.col("doc_id").alias("_wf_id"), "component_id").distinct()
+    found = scratch.cut(found.join(names, "_wf_id"), "found")
+    stays = found.groupBy("component_id").agg(F.min(F.struct("_wf_doc", "_wf_id")).alias("stays"))
+    gone = scratch.cut(found.join(stays, "component_id").where("_wf_id <> stays._wf_id").select("_wf_id"), "ids")
+    left = named.join(_few(gone), "_wf_id", "left_anti")
+    row = F.struct(*docs.columns)
+    once = left.where("_wf_again is not null").groupBy("_wf_id").agg(F.min_by(row, F.to_json(row)).alias("_wf_row")).select("_wf_row.*")
+    return left.where("_wf_again is null").select(*docs.columns).unionByName(once)
 
 
 def _few(rows: DataFrame) -> DataFrame:
