@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfinder.llm import mixing, neardup, pieces, quality, secrets
-from wayfinder.llm._shared import Scratch
+from wayfinder.functions.scratch import Scratch
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfinder.llm import embedding, neardup, pieces, substring, toxicity
 
@@ -160,6 +161,44 @@ def test_recall_is_calibrated():
     for n in (100, 50_000, 10**9):
         g, tables, count = embedding.calibrate(n, 0.95)
         assert g >= 1 and 1 <= count < embedding.COUNTED and tables < 2000
+        # pairs at just the least similarity, with the settings of n vectors
+        rng = np.random.default_rng(n % 97)
+        a = rng.standard_normal((4000, 64))
+        a /= np.linalg.norm(a, axis=1)[:, None]
+        b = rng.standard_normal((4000, 64))
+        b -= (a * b).sum(axis=1)[:, None] * a
+        b /= np.linalg.norm(b, axis=1)[:, None]
+        b = 0.95 * a + np.sqrt(1 - 0.95**2) * b
+        space = embedding.Space(64, g, tables, 0.95)
+        assert (space.keys(a) == space.keys(b)).any(axis=1).mean() > 0.995
+        near = np.abs(space.marks(a).astype(int) - space.marks(b)) <= embedding.STEPS
+        assert (near.sum(axis=1) >= count).all()
+
+
+def test_collisions_are_counted():
+    rng = np.random.default_rng(2)
+    for n in (2, 63, 64, 65, 300):
+        marks = rng.integers(40, 80, (n, embedding.COUNTED)).astype(np.uint8)
+        marks[0], marks[-1] = 0, embedding.LEVELS - 1
+        both = (np.abs(marks[:, None].astype(int) - marks[None]) <= embedding.STEPS).sum(axis=2)
+        ask = np.arange(0, n, 2)
+        for count in (1, 14, 17, 31, 32):
+            got = {(int(x), int(y)) for xs, ys in embedding.candidates(marks, ask, count, tile=32) for x, y in zip(xs, ys, strict=True)}
+            assert got == {(int(x), int(y)) for x in ask for y in np.flatnonzero(both[x] >= count)}
+
+
+def test_embeddings_without_ids(spark):
+    rng = np.random.default_rng(9)
+    a, far = rng.standard_normal(64), rng.standard_normal(64)
+    b = a + rng.standard_normal(64) * 0.02
+    rows = [(7, a), (3, a * 2), (None, b), (None, b), (7, far), (12, far * 1.001), (8, np.zeros(64))]
+    table = spark.createDataFrame([(k, [float(x) for x in v], 1) for k, v in rows], "vec_id long, embedding array<double>, n_links int")
+    for few in (10, 0):
+        embedding.BROADCAST_ROWS, old = few, embedding.BROADCAST_ROWS
+        got = sorted(((r["vec_id"] is None, r["vec_id"] or 0), r["n_links"], r["component_id"]) for r in embedding.link(table).collect())
+        embedding.BROADCAST_ROWS = old
+        # the vector that only null ids hold links with both copies; id 7 is a node with the links of its two vectors
+        assert [x[1:] for x in got[:5]] == [(3, 3), (4, 3), (4, 3), (0, 8), (1, 3)]
 
 
 TEXTS = ["", None, " ", "\n\t", "Hello  world", "▁ mark ▁▁", "日本語 ok", "É\u0000\x07", "\U0001f600 emoji", "a" * 9000, " lead and trail ", "Ünïcödé\r\nline", "été " * 500]
@@ -211,8 +250,6 @@ def test_toxicity(spark):
         rows.append((k, " ".join(w), "en" if k % 3 else None, int(bad)))
     docs = spark.createDataFrame([(a, b, c) for a, b, c, _ in rows] + [(9000, None, "en"), (9001, "", None), (None, "x", "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(a, t) for a, _, _, t in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    from pyspark.sql import functions as F
-
     model = toxicity.fit(docs, labels, F.col("id") % 4 != 2)
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     held = [(a, t) for a, _, _, t in rows if a % 4 == 2]
@@ -222,6 +259,50 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_forward_pass():
+    """Scores against the same arithmetic word by word, with every table, filter, pool and layer spelled out."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    m = toxicity.Model()
+    m.tables = rng.normal(0, 0.5, m.tables.shape).astype(np.float32)
+    m.filters = [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    m.shift, m.last, m.bias = rng.normal(0, 0.3, m.shift.shape).astype(np.float32), rng.normal(0, 0.3, m.last.shape).astype(np.float32), 0.2
+    alike = "INTERNAL international internal internals poisonous poisoning"
+    texts = ["", None, " \n", "one", "two words", alike, "日本語 пример é " * 5, "tie tie tie tie", "w " * 60_000 + "z"]
+    got, rows = [], []
+    for a, b, w in toxicity.chunks(pa.array(texts)):
+        at = toxicity.slots(w)
+        got += m.scores(at, w.offset).tolist()
+        rows += [at[w.offset[k] : w.offset[k + 1]] for k in range(b - a)]
+    five = rows[5]
+    assert (five[0] == five[2]).all() and (five[1] != five[2]).any() and (five[4, :-1] == five[5, :-1]).all() and five[4, -1] != five[5, -1]
+    for k, at in enumerate(rows):
+        e = [sum(m.tables[j, s] for j, s in enumerate(word)) for word in at]
+        z = m.bias
+        for j, f in enumerate(m.filters):
+            for q in range(toxicity.FILTERS):
+                if e:
+                    top = max(sum(float(e[i + d] @ f[d, :, q]) for d in range(len(f)) if i + d < len(e)) for i in (range(len(e)) if len(e) < 100 else [0, 1, len(e) - 3, len(e) - 2, len(e) - 1]))
+                    z += m.last[j * toxicity.FILTERS + q] * max(0.0, top + m.shift[j * toxicity.FILTERS + q])
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5), texts[k]
+
+
+def test_toxicity_of_repeated_rows(spark):
+    rows = [(k, ("vile " if k % 5 == 0 else "nice ") + f"word{k} " * 30, "en") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("flagged", F.lit(1))
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    many = toxicity.fit(docs.unionByName(docs).unionByName(docs.where("doc_id < 9")), labels)
+    assert all((a == b).all() for a, b in zip(model.filters, many.filters, strict=True)) and (model.tables == many.tables).all()
+    got = toxicity.score(docs.unionByName(docs), model)
+    assert got.columns == ["doc_id", "lang", "score", "threshold", "flagged"]
+    by_id = {}
+    for r in got.collect():
+        by_id.setdefault(r["doc_id"], set()).add(r["score"])
+    assert all(len(v) == 1 for v in by_id.values()) and len(by_id) == 200
+
+
 def test_toxicity_reads_whole_words():
     import pyarrow as pa
 

@@ -49,6 +49,10 @@ def test_quality_learns_and_judges(spark):
     assert rules and rules == quality.learn_from(docs.repartition(7), labels)
     kept = {r["doc_id"]: r["_wf_stats"]["kept"] for r in quality.judge(docs, rules).collect()}
     assert all(kept[k] for k, _ in good) and not any(kept[k] for k, _ in bad) and not kept[500] and not kept[501]
+    twice = docs.unionByName(docs.where("doc_id < 20"))  # ids that repeat count once
+    assert quality.learn_from(twice, labels) == rules
+    long_text = spark.createDataFrame([(1, "word$ " * 300_000), (1, "word$ " * 300_000)], "doc_id long, text string").withColumn("_wf_stats", F.lit("clash"))
+    assert [r["_wf_stats"]["counts"]["n_words"] for r in quality.judge(long_text, rules).collect()] == [300_000] * 2
     assert quality.learn_from(docs.limit(0), labels) == [] and quality.learn_from(docs, labels.limit(0)) == []
 
 
@@ -122,11 +126,35 @@ def test_secrets(spark):
     lie = ledger.withColumn("spans", F.array().cast(ledger.schema["spans"].dataType))
     again, after = secrets.scan(docs, ["doc_id"], ledger=lie)
     assert again.where("size(spans) > 0").count() == 0 and after.count() == ledger.count()
-    other, _ = secrets.scan(docs, ["doc_id"], ledger=lie, version="other")
-    assert other.where("size(spans) > 0").count() > 0
+    # a new rule is a pair not yet seen: it alone is looked for, and what was found before stays
+    fresh = secrets.Rule("clean", "clean [a-z]+")
+    more, after = secrets.scan(docs, ["doc_id"], rules=(fresh, *secrets.BASE), ledger=lie)
+    assert {x["kind"] for r in more.collect() for x in r["spans"]} == {"clean"} and after.count() == 2 * ledger.count()
+    both, _ = secrets.scan(docs, ["doc_id"], rules=(fresh, *secrets.BASE), ledger=ledger)
+    for r in both.collect():
+        mine = [(x["start"], x["rank"] - 1, x["kind"], x["end"]) for x in r["spans"] if x["kind"] != "clean"]
+        assert mine == base(text[r["blob"]]) and (text[r["blob"]] == "clean text only") == any(x["kind"] == "clean" and x["rank"] == 0 for x in r["spans"])
+    changed = secrets.Rule("hex", "[0-9a-f]+", 16, 0, "[0-9a-f]{16}")
+    assert changed.version != secrets.BASE[2].version
+    # blobs that earlier scans saw with other rules, and blobs that none has seen
+    part, _ = secrets.scan(docs.where("doc_id < 4"), ["doc_id"], rules=secrets.BASE[:1])[::-1]
+    mixed, _ = secrets.scan(docs, ["doc_id"], rules=secrets.BASE, ledger=part)
+    assert all([(x["start"], x["rank"], x["kind"], x["end"]) for x in r["spans"]] == base(text[r["blob"]]) for r in mixed.collect())
     assert secrets.scan(docs.limit(0), ["doc_id"])[0].count() == 0
 
 
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_secrets_of_versions(spark, monkeypatch, few):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", few)
+    rows = [("a", 1, SECRETS[2]), ("a", 2, SECRETS[3]), ("b", 1, SECRETS[3]), ("a", 2, SECRETS[3]), ("b", 2, "clean"), (None, 1, SECRETS[2]), ("c", None, None)]
+    docs = spark.createDataFrame(rows, "path string, version int, text string")
+    first, ledger = secrets.scan(docs.where("version = 1"), ["path", "version"])
+    second, after = secrets.scan(docs, ["path", "version"], ledger=ledger)
+    assert ledger.count() == 2 and after.count() == 4 and first.count() == 3
+    got = sorted((str(r["path"]), r["version"] or 0, tuple((x["start"], x["rank"], x["kind"], x["end"]) for x in r["spans"] if x["rank"] < 3)) for r in second.collect())
+    assert got == sorted((str(p), v or 0, tuple(base(t))) for p, v, t in rows)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long")
     out = {r["doc_id"]: r["text"] for r in secrets.redact_documents(docs).collect()}
@@ -145,30 +173,72 @@ def test_sharding(spark):
         want[next(p for p in order[x] if p not in want)] = x
         t += 1
     assert table == want
-    rows = spark.createDataFrame([(1, "x"), (None, "y"), (1, "z")], "doc_id long, shard string")
-    placed = sharding.place(rows, F.col("doc_id"), sharding.lookup_table(spark, ["a", "b", "c"], 31), 31) if False else sharding.place(rows.drop("shard"), F.col("doc_id"), sharding.lookup_table(spark, ["a", "b", "c"], 31), 31)
-    got = placed.collect()
-    assert len(got) == 3 and len({r["shard"] for r in got if r["doc_id"] == 1}) == 1
+    rows = spark.createDataFrame([(1, "x", 9), (None, "y", 9), (1, "z", 9), (None, "", 9)], "doc_id long, shard string, slot int")
+    small = sharding.lookup_table(spark, ["a", "b", "c"], 31)
+    placed = sharding.place(rows, F.col("doc_id"), small, 31)
+    assert placed.columns == ["doc_id", "slot", "shard"]
+    got = placed.select("doc_id", "slot", "shard").collect()
+    assert len(got) == 4 and len({r["shard"] for r in got if r["doc_id"] == 1}) == 1
+    assert {r["slot"] for r in got if r["doc_id"] is None} == {h("", "", 31)} and all(r["shard"] == table[r["slot"]] for r in got)
+    by_old = sharding.place(rows, F.col("shard"), small, 31).collect()  # the key may be a column that is replaced
+    assert sorted(r["slot"] for r in by_old) == sorted(h("", x, 31) for x in ("x", "y", "z", ""))
+    assert sharding.place(rows.limit(0), F.col("doc_id"), small, 31).count() == 0
     with pytest.raises(ValueError):
         sharding.lookup_table(spark, ["a"], 30)
+    large = sharding.fill([f"s{k}" for k in range(7)], 65_537)
+    assert len(large) == 65_537 and set(Counter(large).values()) <= {65_537 // 7, 65_537 // 7 + 1}
 
 
 def test_chat(spark):
     calls = [
         (1, 0, "c1", "add", '{"b": 2, "a": 1}', None), (1, 2, "c2", "add", '{"a": "x", "b": 2}', ["c1"]), (1, 4, "c2", "add", '{"a": 1, "b": 2}', None), (1, 6, None, "add", None, None),
-        (2, 0, "p", "say", '{"t": "é \\"q\\""}', ["q"]), (2, 1, "q", "say", "{broken", ["p"]), (3, 0, "z", "none", "{}", ["missing"]),
+        (2, 0, "p", "say", '{"t": "é \\"q\\""}', ["q"]), (2, 1, "q", "say", "{broken", ["p"]), (3, 0, "z", "none", "{}", ["missing"]), (None, 0, "z", "say", '{"t": ""}', ["z"]),
+        (4, 0, "r", "say", '{"t": "same"}', None), (4, 0, "r", "say", '{"t": "same"}', None), (2, 2, "s", "say", "{}", ["p"]),
     ]
-    results = [(1, 1, "c1", "3"), (1, 3, "c2", None), (1, 5, "zz", "?"), (3, 1, "z", "ok"), (3, 2, "z", "ok again")]
-    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>").withColumn("level", F.lit("clash"))
+    results = [(1, 1, "c1", "3"), (1, 3, "c2", None), (1, 5, "zz", "?"), (3, 1, "z", "ok"), (3, 2, "z", "ok again"), (None, 1, "z", "lost"), (4, 1, None, "nobody's"), (4, 2, "r", "one")]
+    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>").withColumn("level", F.lit("clash")).withColumn("again", F.lit(1))
     r = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")
-    schemas = {"add": {"a": ("integer", True), "b": ("integer", False)}, "say": {"t": ("string", True)}}
-    got = {(x["conv_id"], x["call_turn"], x["result_turn"]): x for x in chat.link(c, r, schemas).collect()}
-    assert len(got) == 9
+    schemas = {"add": {"a": ("integer", True), "b": ("integer", False)}, "say": {"t": ("string", True, 1)}}
+    rows = chat.link(c, r, schemas).collect()
+    got = {(x["conv_id"], x["call_turn"], x["result_turn"]): x for x in rows}
     at = lambda *k: (got[k]["status"], got[k]["level"], got[k]["valid"])
     assert at(1, 0, 1) == ("linked", 0, True) and at(1, 2, 3) == ("linked", 2, False) and at(1, 4, None)[0] == "duplicate"
-    assert at(1, 6, None)[::2] == ("cycle", False) or at(1, 6, None)[0] in ("open", "cycle")
-    assert at(1, None, 5) == ("orphan", None, None) and at(2, 0, None)[0] == "cycle" and at(2, 1, None)[0] == "cycle"
+    assert at(1, 6, None) == ("open", 0, False) and at(None, 0, None) == ("open", 0, False)
+    assert at(1, None, 5) == at(None, None, 1) == at(4, None, 1) == ("orphan", None, None)
+    assert {at(2, k, None)[0] for k in range(3)} == {"cycle"}
     assert at(3, 0, 1)[0] == at(3, 0, 2)[0] == "linked"
+    assert sorted(x["status"] for x in rows if x["call_id"] == "r") == ["duplicate", "linked"]
+    assert len(rows) == 15
     assert got[1, 0, 1]["json"] == '{"arguments":{"a":1,"b":2},"call_id":"c1","name":"add","result":"3"}'
     assert json.loads(got[2, 0, None]["json"])["arguments"] == {"t": 'é "q"'}
     assert chat.link(c.limit(0), r.limit(0), schemas).count() == 0
+
+
+def test_chat_levels(spark):
+    """Chains, joints and circles against a walk in plain Python."""
+    rng = random.Random(6)
+    after = {f"n{k}": [f"n{k - 1}"] for k in range(1, 40)} | {"n0": []}
+    for k in range(60):
+        after[f"m{k}"] = [rng.choice(sorted(after)) for _ in range(rng.choice([0, 1, 1, 2, 3]))]
+    after |= {"x": ["y"], "y": ["x"], "self": ["self"], "late": ["x", "n3"], "tail": ["late"], "lone": ["nowhere"]}
+
+    def level(x, seen=()):
+        if x in seen:
+            return None
+        on = [level(y, (*seen, x)) for y in after[x] if y in after]
+        return None if None in on else max((y + 2 for y in on), default=0)
+
+    calls = spark.createDataFrame([(k, x, on) for k in (1, 2) for x, on in after.items()], "conv_id long, call_id string, after array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in chat.levels(calls, chat.Scratch(spark, "test")).collect()}
+    assert got == {(k, x): level(x) for k in (1, 2) for x in after if level(x) is not None} and max(got.values()) >= 78
+
+
+def test_chat_of_conversations(spark, monkeypatch):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "say five words or more"), (1, 2, "assistant", "a"), (1, 3, "assistant", "b"), (1, 4, "user", "too short"), (1, 9, None, "x"), (1, 11, "assistant", "c"), (2, 0, "assistant", "first"), (2, 1, "user", None), (None, 0, "user", "who is there in here"), (3, None, "user", "when")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = {(1, 0, None): ("open", 0, True), (1, 1, 2): ("linked", 2, True), (1, 1, 3): ("linked", 2, True), (1, 4, 11): ("linked", 4, False), (1, 9, None): ("open", 6, False), (2, None, 0): ("orphan", None, None), (2, 1, None): ("open", 0, False), (None, 0, None): ("open", 0, True), (3, None, None): ("open", 0, False)}
+    for block in (1024, 2):  # the second deals a conversation out
+        monkeypatch.setattr(chat, "TURNS", block)
+        got = {(r["conv_id"], r["call_turn"], r["result_turn"]): (r["status"], r["level"], r["valid"]) for r in chat.link(*chat.exchanges(table), chat.EXCHANGE).collect()}
+        assert got == want
+    assert chat.link(*chat.exchanges(table.limit(0)), chat.EXCHANGE).count() == 0

@@ -1,14 +1,12 @@
-"""Helpers shared by the corpus operators: lineage cuts, word expressions, linking."""
+"""Helpers shared by the corpus operators: word expressions, linking."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfinder.functions.scratch import Scratch
+
 #: Separators of words: space and code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -23,43 +21,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a new one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="wayfinder-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage. They outlive lost executors.
-
-    A table is dropped by `drop` once nothing reads it any more, and the rest when the process ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/wayfinder/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._delete, self.root)
-
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.root}/{name}")
-
-    def _delete(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended before the process does
-            pass
-
-
 def runs(batches, keys: tuple[str, ...]):
     """(key, table) for each run of rows with equal long `keys` in a stream of Arrow batches sorted by them."""
     import numpy as np

@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfinder.llm._shared import Scratch, words
+from wayfinder.functions.scratch import Scratch
+from wayfinder.llm._shared import words
 
 #: Weights of the sources in order, repeating; the targets' share of all sizes; most epochs.
 WEIGHTS = (5, 2, 1)

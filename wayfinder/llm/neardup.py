@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm._shared import Scratch, components, runs
+from wayfinder.functions.scratch import Scratch
+from wayfinder.llm._shared import components, runs
 from wayfinder.llm._text import U64, chunks, mix, shingles
 
 BANDS, ROWS, SKETCH = 24, 4, 8  # SKETCH: 64-bit words

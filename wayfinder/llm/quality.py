@@ -5,7 +5,9 @@ thresholds with the best information gain on two thirds of the sample, pruned on
 third, and kept if it is precise enough. The list becomes one ordered Spark expression.
 
 Nulls: a null text has no words, so it fails the base rule; a null doc_id or label takes no part
-in learning. Empty tables give no rules and no rows. Other columns are never read.
+in learning. Of documents that share an id the one with the least features is learned from; rows
+that repeat are judged alike, each by itself, and texts of any length are read whole. Empty tables
+give no rules and no rows. A column named like the added one is replaced, others are never read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm._shared import Scratch, let, words
+from wayfinder.functions.scratch import Scratch
+from wayfinder.llm._shared import let, words
 
 #: What rules may test; each is a number from 0, computed by `with_statistics`.
 FEATURES = ("n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share")
@@ -203,7 +206,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, **o
     some = docs.select(F.col("doc_id").alias("_wf_id"), F.col("text").alias("_wf_text")).join(F.broadcast(marked), "_wf_id")
     some = Scratch(docs.sparkSession, "quality").cut(some, "labelled")  # else the counts are made for all documents, below the join
     s = F.col("_wf_stats")
-    found = with_statistics(some, "_wf_text").where(~base_failed(s)).select(F.col("_wf_id").cast("string").alias("key"), (F.col("_wf_quality") == 0).alias("bad"), *(feature(s, f).alias(f) for f in FEATURES)).collect()
+    judged = with_statistics(some, "_wf_text").where(~base_failed(s)).select(F.col("_wf_id").cast("string").alias("key"), (F.col("_wf_quality") == 0).alias("bad"), F.struct(*(feature(s, f).alias(f) for f in FEATURES)).alias("x"))
+    found = judged.groupBy("key", "bad").agg(F.min("x").alias("x")).select("key", "bad", "x.*").collect()  # an id that repeats counts once
     return learn([r.asDict() for r in found], **options)
 
 

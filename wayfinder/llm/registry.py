@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from wayfinder.llm import chat, embedding, mixing, neardup, pieces, quality, secrets, sharding, substring, toxicity
 
 
@@ -25,7 +24,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat.exchanges(_table(spark, sf_dir, "conversations"))
-    return chat.link(calls, results, chat.EXCHANGE).withColumn("level", F.col("level").cast("long"))
+    return chat.link(calls, results, chat.EXCHANGE)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +36,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans with the ledger kept between them: the second looks for the added rules alone."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ = secrets.scan(docs, ["doc_id"])
+    _, ledger = secrets.scan(docs, ["doc_id"], rules=secrets.BASE)
+    found, _ = secrets.scan(docs, ["doc_id"], ledger=ledger)
     kinds = [r.kind for r in secrets.BASE]
     base = F.filter("spans", lambda x: x["kind"].isin(kinds))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -71,6 +72,8 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top; it imports the operators itself
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -127,19 +130,24 @@ select doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 
 def _sql_chat() -> str:
     return f"""
-with calls as (select conv_id, turn, text from conversations where role = 'user'),
-results as (select conv_id, turn, text from conversations where role = 'assistant'),
+with t as (
+  select *, role is distinct from 'assistant' as is_call, max(turn) filter (where role = 'user') over w as asked_at
+  from conversations window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)
+),
+calls as (
+  select conv_id, turn, 'call-' || turn as id, case role when 'user' then 'reply' when 'system' then 'configure' else role end as name, text,
+    len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) as n, 2 * (row_number() over (partition by conv_id order by turn) - 1) as level
+  from t where is_call
+),
+results as (select conv_id, turn, 'call-' || asked_at as id, text from t where not is_call),
 j as (
-  select coalesce(c.conv_id, r.conv_id) as conv_id, c.turn as call_turn, r.turn as result_turn,
-    'call-' || coalesce(c.turn, r.turn - 1) as call_id, c.turn is not null as is_call, c.text as asked, r.text as answer,
-    len(regexp_extract_all(coalesce(c.text, ''), '{WORDS}')) as n
-  from calls c full join results r on c.conv_id = r.conv_id and c.turn = r.turn - 1
+  select coalesce(c.conv_id, r.conv_id) as conv_id, c.turn as call_turn, r.turn as result_turn, coalesce(c.id, r.id) as call_id, c.turn is not null as is_call, level, name, c.text as asked, n, r.text as answer
+  from calls c full join results r on c.conv_id = r.conv_id and c.id = r.id
 )
-select conv_id, call_turn, result_turn, call_id, case when is_call then 0::bigint end as level,
-  case when not is_call then 'orphan' when result_turn is null then 'open' else 'linked' end as status,
-  case when is_call then asked is not null end as valid,
-  '{{' || case when is_call then '"arguments":{{"n_words":' || n || coalesce(',"text":' || to_json(asked)::varchar, '') || '}},' else '' end
-  || '"call_id":"' || call_id || '"' || case when is_call then ',"name":"reply"' else '' end || coalesce(',"result":' || to_json(answer)::varchar, '') || '}}' as json
+select conv_id, call_turn, result_turn, call_id, level, case when not is_call then 'orphan' when result_turn is null then 'open' else 'linked' end as status,
+  case when is_call then coalesce(case name when 'reply' then length(asked) >= 1 and n >= 5 when 'configure' then asked is not null end, false) end as valid,
+  '{{' || case when is_call then '"arguments":{{"n_words":' || n || coalesce(',"text":' || to_json(asked)::varchar, '') || '}}' else '' end
+  || coalesce(case when is_call then ',' else '' end || '"call_id":"' || call_id || '"', '') || coalesce(',"name":"' || name || '"', '') || coalesce(',"result":' || to_json(answer)::varchar, '') || '}}' as json
 from j"""
 
 

@@ -1,22 +1,27 @@
 """Secret scans with an incremental blob ledger.
 
-Every version of every path is addressed by the SHA-256 of its text. A scan reads only blobs whose
-(blob, rule set version) pair is not in the ledger, and findings are joined back to all paths that
-hold the blob. The ledger has a row for each pair scanned, with or without findings.
+Every version of every path is addressed by the SHA-256 of its text, every rule by a digest of what
+it matches. A scan looks only for (blob, rule) pairs that are not in the ledger, and findings are
+joined back to all paths that hold the blob. The ledger has a row for each blob of each scan, with
+the rules it was scanned for and what they found; a changed or new rule is a pair not yet seen.
 
 Offsets are code points, the end exclusive. A rule's matches are leftmost and do not overlap;
 positions come from the pieces between them, which are the text split at the same pattern.
-Nulls: a null text is the empty text; a null path is a path. Empty texts have no findings. Rows
-that repeat are paths of one blob, scanned once. Empty tables give empty results.
+Nulls: a null text is the empty text; a null path is a path. Empty texts have no findings, texts of
+any length are scanned whole. Rows that repeat are paths of one blob, scanned once. Findings that
+start together stand in the order of the rules. Empty tables give empty results. Other columns are
+never read, so their names cannot clash; paths must not be named blob or spans.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfinder.functions.scratch import Scratch
 from wayfinder.llm._shared import let
 
 
@@ -37,6 +42,10 @@ class Rule:
     group: int = 0
     hint: str = ""
 
+    @property
+    def version(self) -> str:
+        return hashlib.sha256(repr((self.kind, self.pattern, self.least, self.group)).encode()).hexdigest()[:16]
+
 
 BASE = (
     Rule("assign", rf"({KEYWORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2, r"[:=]"),
@@ -50,9 +59,10 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, r"xox[abprs]-"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0, r"eyJ"),
 )
-VERSION = "2024-1"
-#: Blobs with findings (under 200 bytes each) are broadcast up to so many; beyond, joined with a shuffle.
+#: Rows of addresses or findings (under 200 bytes each) are broadcast up to so many; beyond, joined with a shuffle.
 BROADCAST_BLOBS = 50_000
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+HELD = "array<struct<start:int,end:int,rule:string>>"
 
 
 def matches(text: Column, rule: Rule, order: int) -> Column:
@@ -76,10 +86,9 @@ def matches(text: Column, rule: Rule, order: int) -> Column:
         whole = F.zip_with(spans, held, lambda s, x: F.when(F.length(x) >= rule.least, F.struct(s["start"].alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), s["end"].alias("end"))))
         return F.when(F.size(found) > 0, F.filter(whole, lambda x: x.isNotNull()))
 
-    kind = "array<struct<start:int,rank:int,kind:string,end:int>>"
     hit = text.rlike(rule.hint) if any(c in rule.hint for c in "[({\\") else text.contains(rule.hint)
     found = let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), of)
-    return F.coalesce(F.when(hit, found.cast(kind)), F.array().cast(kind))
+    return F.coalesce(F.when(hit, found.cast(SPANS)), F.array().cast(SPANS))
 
 
 def spans(text: Column, rules: tuple[Rule, ...]) -> Column:
@@ -91,35 +100,56 @@ def digest(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(versions: DataFrame, paths: list[str], text: str = "text", rules: tuple[Rule, ...] = BASE + MORE, version: str = VERSION, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_BLOBS else rows
+
+
+def scan(versions: DataFrame, paths: list[str], text: str = "text", rules: tuple[Rule, ...] = BASE + MORE, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings of all versions and the ledger that follows.
 
     versions: a row for each version of a path; `paths` names the columns that tell them apart.
-    ledger: `(blob, version, spans)` from earlier scans; pairs in it are not scanned again.
+    ledger: `(blob, rules, spans)` from earlier scans; pairs of a blob and a rule in it are not scanned again.
     Returns `(*paths, blob, spans)` with a row for each row of `versions`, and the new ledger.
 
-    Of a blob's paths only the first is read again for the scan: it is found by grouping addresses,
-    combined before the shuffle, and texts meet their address by path and address, so that copies
-    of one text go to many tasks. Findings are then joined by address; they have one row a blob.
+    Of a blob's paths only the first is read again, where a rule has not seen the blob. Texts are
+    scanned where they lie: the addresses of what is to be scanned, or if all want the same rules
+    of what is not, meet them by broadcast when they are few; only if both are many are texts
+    shuffled. Findings are joined by address; they have one row a blob.
     """
-    from wayfinder.llm._shared import Scratch
-
     scratch = Scratch(versions.sparkSession, "secrets")
-    body = F.coalesce(F.col(text), F.lit(""))
-    key = F.struct(*paths)
-    named = versions.select(key.alias("_wf_path"), F.sha2(body, 256).alias("blob"))
+    body, key = F.coalesce(F.col(text), F.lit("")), F.struct(*paths)
+    wanted = F.array(*(F.lit(r.version) for r in rules)) if rules else F.array().cast("array<string>")
+    named = scratch.cut(versions.select(key.alias("_wf_path"), F.sha2(body, 256).alias("blob")), "named")
     first = named.groupBy("blob").agg(F.min("_wf_path").alias("_wf_path"))
-    if ledger is not None:
-        first = first.join(ledger.where(F.col("version") == version).select("blob").distinct(), "blob", "left_anti")
+    if ledger is None:
+        todo = first.withColumn("rules", wanted)
+    else:
+        seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))  # a row for each scan of a blob
+        todo = first.join(seen, "blob", "left").select("blob", "_wf_path", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).where("size(rules) > 0")
+    todo = scratch.cut(todo, "todo")
+    at = [F.to_json("_wf_path").alias("_wf_at"), "blob"]
     texts = versions.select(F.to_json(key).alias("_wf_at"), F.sha2(body, 256).alias("blob"), body.alias("_wf_text"))
-    unseen = texts.join(first.select("blob", F.to_json("_wf_path").alias("_wf_at")).hint("shuffle_hash"), ["blob", "_wf_at"], "left_semi")
-    found = unseen.select("blob", spans(F.col("_wf_text"), rules).alias("spans"))
-    fresh = found.groupBy("blob").agg(F.first("spans").alias("spans")).select("blob", F.lit(version).alias("version"), "spans")
-    fresh = scratch.cut(fresh, "ledger")
-    after = fresh if ledger is None else ledger.select("blob", "version", "spans").unionByName(fresh)
-    some = after.where((F.col("version") == version) & (F.size("spans") > 0)).select("blob", "spans")
-    joined = named.join(some, "blob", "left")
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    alike = todo.select("rules").distinct().limit(2).collect()
+    none = F.array().cast(SPANS)
+    held = lambda found, of: F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.get(F.array(*(F.lit(r.version) for r in of)), x["rank"]).alias("rule")))
+    done = named.join(todo.select(*at[1:], "_wf_path"), ["blob", "_wf_path"], "left_anti")
+    if len(alike) == 1 and done.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS:
+        mine = [r for r in rules if r.version in set(alike[0]["rules"])]
+        unseen = texts.join(F.broadcast(done.select(*at).distinct()), ["_wf_at", "blob"], "left_anti")
+        found = unseen.select("blob", F.array(*(F.lit(r.version) for r in mine)).alias("rules"), held(spans(F.col("_wf_text"), tuple(mine)), mine).alias("spans"))
+    else:
+        unseen = texts.join(_few(todo.select(*at, "rules")), ["_wf_at", "blob"])
+        parts = [F.when(F.array_contains("rules", r.version), matches(F.col("_wf_text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
+        found = unseen.select("blob", "rules", held(F.concat(none, *parts), rules).alias("spans"))
+    fresh = scratch.cut(found.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("spans").cast(HELD).alias("spans")), "ledger")
+    after = fresh if ledger is None else ledger.select("blob", "rules", "spans").unionByName(fresh)
+    place = lambda x: (F.array_position(wanted, x["rule"]) - 1).cast("int")
+    kinds = F.array(*(F.lit(r.kind) for r in rules)) if rules else F.array().cast("array<string>")
+    told = after.where("size(spans) > 0").groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("_wf_spans"))
+    mine = F.filter("_wf_spans", lambda x: F.array_contains(wanted, x["rule"]))
+    mine = F.array_sort(F.transform(mine, lambda x: F.struct(x["start"].alias("start"), place(x).alias("rank"), F.get(kinds, place(x)).alias("kind"), x["end"].alias("end"))))
+    told = scratch.cut(told.select("blob", mine.alias("spans")).where("size(spans) > 0"), "told")
+    joined = named.join(_few(told), "blob", "left")
     return joined.select("_wf_path.*", "blob", F.coalesce("spans", none).alias("spans")), after
 
 
@@ -137,24 +167,21 @@ def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
     return F.when(F.size(found) > 0, cleaned).otherwise(text)
 
 
-def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, ledger: DataFrame | None = None, version: str = VERSION) -> DataFrame:
+def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, ledger: DataFrame | None = None) -> DataFrame:
     """`docs(text, ...)` with every finding replaced by a mark, and n_chars, where there is one, counted again.
 
     Findings come from the ledger scan by address; only blobs with findings are joined back, so
     that of a clean document nothing but its address meets them.
     """
-    from wayfinder.llm._shared import Scratch
-
-    scratch = Scratch(docs.sparkSession, "redact")
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     path = "doc_id" if "doc_id" in docs.columns else "text"
-    _, after = scan(docs.select(*{path, "text"}), [path], rules=rules, version=version, ledger=ledger)
-    found = scratch.cut(after.where((F.col("version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("_wf_blob"), F.col("spans").alias("_wf_spans")), "found")
-    marked = docs.withColumn("_wf_blob", blob)
-    joined = marked.join(F.broadcast(found) if found.count() <= BROADCAST_BLOBS else found, "_wf_blob", "left")
-    text = F.when(F.col("_wf_spans").isNotNull(), redact(F.col("text"), F.col("_wf_spans"))).otherwise(F.col("text"))
-    joined = joined.withColumn("text", text)
+    found, _ = scan(docs.select(*{path, "text"}), [path], rules=rules, ledger=ledger)
+    found = found.where("size(spans) > 0").select(F.col("blob").alias("_wf_blob"), F.col("spans").alias("_wf_spans")).dropDuplicates(["_wf_blob"])
+    found = Scratch(docs.sparkSession, "redact").cut(found, "found")
+    joined = docs.withColumn("_wf_blob", blob).join(_few(found), "_wf_blob", "left")
+    marked = F.col("_wf_spans").isNotNull()
+    joined = joined.withColumn("text", F.when(marked, redact(F.col("text"), F.col("_wf_spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        joined = joined.withColumn("n_chars", F.when(F.col("_wf_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(marked, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)

@@ -7,11 +7,13 @@ one probe of a broadcast table with exactly `slots` rows, and no shuffle. Shares
 one slot, and taking a shard away moves few of the others' slots.
 
 Null and empty keys: null places as the empty string. Rows with equal keys go to one shard. An
-empty table gives an empty result. Columns of the input named like the added ones are replaced.
+empty table gives an empty result. Columns of the input named like the added ones are replaced;
+the key may be computed from them. Keys of any length are hashed whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,30 +35,28 @@ def lookup_table(spark: SparkSession, shards: Sequence[str] = SHARDS, slots: int
         raise ValueError("shards must be distinct names, at least one")
     if slots < len(shards) or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
         raise ValueError("slots must be a prime, no smaller than the number of shards")
+    owner = ",".join(map(str, fill(shards, slots)))
     names = F.array(*map(F.lit, shards))
-    one = spark.range(1).select(
-        names.alias("names"),
-        F.transform(names, lambda x: hashed(x, "offset:") % slots).alias("offset"),
-        F.transform(names, lambda x: hashed(x, "skip:") % (slots - 1) + 1).alias("skip"),
-    )
-    state = F.struct(F.array_repeat(F.lit(-1), slots).alias("owner"), F.array_repeat(F.lit(0).cast("long"), len(shards)).alias("next"))
-
-    def turn(s, t):
-        k = (t % len(shards)).cast("int")
-        place = lambda j: ((F.get("offset", k) + j * F.get("skip", k)) % slots).cast("int")
-        # the first place in the shard's order, from where it stopped, that is free
-        rest = F.sequence(F.get(s["next"], k), F.lit(slots - 1).cast("long"))
-        j = F.get(F.filter(rest, lambda j: F.get(s["owner"], place(j)) == -1), F.lit(0))
-        take = lambda j: F.struct(
-            F.transform(s["owner"], lambda x, i: F.when(i == place(j), k).otherwise(x)).alias("owner"),
-            F.transform(s["next"], lambda x, i: F.when(i == k, j + 1).otherwise(x)).alias("next"),
-        )
-        return F.element_at(F.transform(F.array(j), take), 1)
-
-    filled = F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), state, turn, lambda s: s["owner"])
-    return one.select("names", F.posexplode(filled).alias("slot", "owner")).select(F.col("slot").cast("long").alias("slot"), F.get("names", F.col("owner")).alias("shard"))
+    one = spark.range(1).select(F.posexplode(F.split(F.lit(owner), ",")).alias("slot", "owner"))
+    return one.select(F.col("slot").cast("long").alias("slot"), F.get(names, F.col("owner").cast("int")).alias("shard"))
+
+
+def fill(shards: Sequence[str], slots: int) -> list[int]:
+    """The number of the shard that owns each slot. A table of fixed size, filled before any row is read."""
+    of = lambda x, salt: int(hashlib.md5((salt + x).encode()).hexdigest()[:13], 16)
+    orders = [(of(x, "offset:") % slots, of(x, "skip:") % (slots - 1) + 1) for x in shards]
+    owner, at = [-1] * slots, [0] * len(shards)
+    for turn in range(slots):
+        k = turn % len(shards)
+        offset, skip = orders[k]
+        while owner[(offset + at[k] * skip) % slots] >= 0:
+            at[k] += 1
+        owner[(offset + at[k] * skip) % slots] = k
+    return owner
 
 
 def place(rows: DataFrame, key: Column, table: DataFrame, slots: int = SLOTS) -> DataFrame:
     """`rows` with `slot` and `shard`; the table has exactly `slots` rows, which bounds the broadcast."""
-    return rows.withColumn("slot", hashed(key) % slots).join(F.broadcast(table), "slot")
+    kept = [c for c in rows.columns if c not in ("slot", "shard")]
+    marked = rows.select(*kept, (hashed(key) % slots).alias("slot"))
+    return marked.join(F.broadcast(table), "slot").select(*kept, "slot", "shard")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfinder.llm._shared import Scratch
+from wayfinder.functions.scratch import Scratch
 from wayfinder.llm._text import U64, Words, chunks, mix, polynomial
 
 #: Longest run that is named; longest symbol after each round of pairs.
