@@ -1,17 +1,16 @@
 """Scalar functions on text, as columns: parsing of requests, times, prices and names.
 
-All run inside the JVM; only Unicode compatibility folding (`fold_compatibility`) needs Python.
-Failing parses are null unless a default is named.
+All run inside the JVM. Failing parses are null unless a default is named.
 """
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Patterns, keywords in the order of their precedence, boundaries.
 TOKEN = r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"
@@ -34,15 +33,62 @@ OPEN_END = 2147483647.0
 DAY_MINUTES = 1440
 
 
-@F.pandas_udf(T.StringType())
-def fold_compatibility(texts: pd.Series) -> pd.Series:
-    """NFKC, for text that may hold compatibility characters."""
-    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _foldings() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """NFKC by rule: characters that fold to one character and to several, and pairs that compose."""
+    one, more, pairs = {}, {}, {}
+    for c in map(chr, (x for x in range(0x80, sys.maxunicode + 1) if not 0xD800 <= x < 0xE000)):
+        folded = unicodedata.normalize("NFKC", c)
+        if folded != c:
+            (one if len(folded) == 1 else more)[c] = folded
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", c) == c:
+            pairs["".join(chr(int(x, 16)) for x in parts)] = c
+    return one, more, pairs
 
 
-def normalize(text: Column) -> Column:
-    """Lower case, straight apostrophes, single spaces, trimmed; null becomes empty."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "’", "'")
+_ONE, _MORE, _PAIRS = _foldings()
+
+
+def _class(chars) -> str:
+    """Characters as a regular expression's class, in ranges."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if b > a else "") for a, b in out) + "]"
+
+
+_MANY = _class(_MORE)
+_MARK = _class({p[-1] for p in _PAIRS})
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fold_compatibility(text: Column) -> Column:
+    """NFKC inside the JVM; ASCII texts pass as they are. Marks compose with what stands before them; several marks out of their canonical order are not reordered."""
+    table = lambda pairs: F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
+    known = lambda pairs: lambda x: F.coalesce(F.try_element_at(table(pairs), x), x)
+    t = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    t = F.when(t.rlike(_MANY), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), known(_MORE)), "")).otherwise(t)
+
+    def composed(units):
+        # a character and the marks after it, folded from the left
+        step = lambda s, m: F.when(F.try_element_at(table(_PAIRS), F.concat(s, m)).isNotNull(), F.element_at(table(_PAIRS), F.concat(s, m))).otherwise(F.concat(s, m))
+        return F.array_join(F.transform(units, lambda u: F.aggregate(F.regexp_extract_all(F.substring(u, 2, 1 << 30), F.lit("(?s)."), F.lit(0)), F.substring(u, 1, 1), step)), "")
+
+    t = let(t, lambda x: F.when(x.rlike(_MARK), composed(F.regexp_extract_all(x, F.lit(f"(?s).{_MARK}*"), F.lit(0)))).otherwise(x))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), t).otherwise(text)
+
+
+def normalize(text: Column, fold: bool = True) -> Column:
+    """NFKC, lower case, straight apostrophes, single spaces, trimmed; null becomes empty."""
+    t = fold_compatibility(text) if fold else text
+    t = F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), "’", "'")
     return F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"^ | $", "")
 
 
@@ -124,9 +170,11 @@ def time_to_minutes(text: Column) -> Column:
 
 
 def parse_time_range(text: Column) -> Column:
-    """A struct (start, end) of minutes; an end before its start is on the next day."""
-    a, b = time_to_minutes(_group(text, TIME_RANGE, 1)), time_to_minutes(_group(text, TIME_RANGE, 2))
-    return F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("start"), F.when(b < a, b + DAY_MINUTES).otherwise(b).alias("end")))
+    """A struct (start, end) of minutes; an end before its start is on the next day. One match, cut at what is no digit."""
+    minutes = lambda p, k: let(F.struct(F.get(p, F.lit(k)).try_cast("int").alias("h"), F.get(p, F.lit(k + 1)).try_cast("int").alias("m")), lambda x: F.when(x["h"].between(0, 23) & x["m"].between(0, 59), x["h"] * 60 + x["m"]))
+    both = lambda p: F.struct(minutes(p, 0).alias("a"), minutes(p, 2).alias("b"))
+    span = lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), F.struct(x["a"].alias("start"), F.when(x["b"] < x["a"], x["b"] + DAY_MINUTES).otherwise(x["b"]).alias("end")))
+    return let(F.split(F.regexp_extract(text, TIME_RANGE, 0), "[^0-9]+"), lambda p: let(both(p), span))
 
 
 def format_minutes(minutes: Column) -> Column:
