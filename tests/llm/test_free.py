@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wayfinder.llm import embedding, neardup, pieces, substring, toxicity
+from wayfinder.llm import _shared, embedding, neardup, pieces, substring, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -53,8 +54,11 @@ def test_near_duplicates(spark, monkeypatch):
         sets[k] = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = parts(sets, links)
-    for block in (1024, 4):  # the second deals groups out to several blocks
+    # the second deals groups out to several blocks and takes the ways of large tables
+    for block, few, edges in ((1024, 400_000, 1 << 20), (4, 0, 0)):
         monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "BROADCAST_ROWS", few)
+        monkeypatch.setattr(_shared, "TASK_EDGES", edges)
         got = neardup.link(docs).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -97,12 +101,13 @@ def test_unlike_rows_of_one_id_stay(spark):
         assert sorted(map(str, map(tuple, neardup.deduplicate(docs, shingle=4).collect()))) == sorted(map(str, want))
 
 
-def test_substrings(spark):
+def test_substrings(spark, monkeypatch):
     rng = random.Random(2)
     new = lambda n, top=4000: [f"v{rng.randrange(top)}" for _ in range(n)]
     shared, short, run = new(70), new(49), ["same"] * 120
     texts = [" ".join(new(rng.randrange(5, 300))) for _ in range(12)]
     texts += [" ".join(new(rng.randrange(0, 60)) + p + new(rng.randrange(0, 60))) for p in (shared, shared, shared[3:55], short, short, run, run[:77], run[:49], shared[10:60])]
+    texts += [" ".join(new(20_000) + shared + new(9_000, 50))]
     texts += [" ".join(new(80, 3)), " ".join(new(400, 2)), " ".join(new(400, 2)), texts[0], texts[0] + " tail", " ".join(shared), "  ".join(shared), "", None, " ", "a b"]
     order = list(range(len(texts)))
     rng.shuffle(order)
@@ -122,8 +127,12 @@ def test_substrings(spark):
             if d is not None and first[tuple(w[i : i + 50])] < d:
                 gone.update(range(i, i + 50))
         want.append((d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
-    got = substring.repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and sum(x[2] for x in want) > 300
+    assert sum(x[2] for x in want) > 300
+    for few, heavy in ((1_000_000, 1000), (1_000_000, 1), (0, 1)):  # frequent names, and the ways of large tables
+        monkeypatch.setattr(substring, "BROADCAST_ROWS", few)
+        monkeypatch.setattr(substring, "HEAVY", heavy)
+        got = substring.repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert substring.repeats(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         substring.repeats(docs, window=40)
@@ -219,23 +228,38 @@ def test_pieces_round_trip(spark):
     assert own.decode(rows[4]["ids"]) == TEXTS[4] and own.decode(rows[12]["ids"]).strip() == TEXTS[12].strip()
 
 
+def best_score(text, vocabulary, coder):
+    """The greatest sum of scores over all segmentations of a text, and the bytes that no piece covers."""
+    score = {t: s for t, s, k in vocabulary if k == "piece"}
+    longest = max(map(len, score))
+    best = [0.0]
+    for j in range(1, len(text) + 1):
+        best.append(max([best[j - 1] + coder.cost] + [best[i] + score[text[i:j]] for i in range(max(0, j - longest), j) if text[i:j] in score]))
+    bare = [c for c in text if c not in score]
+    return best[-1], sum(len({pieces.OWN: pieces.MARK, pieces.MARK: " "}.get(c, c).encode()) for c in bare), len(bare)
+
+
 def test_pieces_are_the_best():
-    vocabulary = pieces.load(VOCABULARY)
+    vocabulary = pieces.likelihoods(pieces.load(VOCABULARY))
+    assert all(-25 < s < 0 for _, s, k in vocabulary if k == "piece")
+    assert pieces.likelihoods([("a", -1.5, "piece"), ("b", -2.0, "piece")])[0][1] == -1.5  # likelihoods stay
     coder = pieces.Coder(vocabulary)
-    score = {t: s for t, s, k in vocabulary if k == "piece"}
     rng = random.Random(1)
-    for _ in range(150):
-        part = "▁" + "".join(rng.choice("abcdefghinorst\né日") for _ in range(rng.randrange(1, 12)))
-        best = [0.0]
-        for j in range(1, len(part) + 1):
-            best.append(max([best[j - 1] + coder.cost] + [best[i] + score[part[i:j]] for i in range(j) if part[i:j] in score]))
-        got, left = 0.0, 0
-        for i in coder.best(part):
-            t, s, kind = vocabulary[i]
-            got += s if kind == "piece" else 0
-            left += kind == "byte"
-        spelled = sum(len(c.encode()) for c in part if c not in score)
-        assert left == spelled and got + sum(coder.cost for c in part if c not in score) == pytest.approx(best[-1])
+    whole = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")["text"].dropna().tolist()
+    whole = [t for t in whole if len(t) < 9000][::6] + [t for t in TEXTS if t]
+    fragments = ["".join(rng.choice("abcdefghinorst\né日") for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    for text in fragments + whole:
+        marked = pieces.MARK + text.replace(pieces.MARK, pieces.OWN).replace(" ", pieces.MARK)
+        want, spelled, bare = best_score(marked, vocabulary, coder)
+        found = [vocabulary[i] for i in coder.encode(text)]
+        assert sum(k == "byte" for _, _, k in found) == spelled
+        assert sum(s for _, s, k in found if k == "piece") + bare * coder.cost == pytest.approx(want)
+
+
+def test_pieces_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(k, "tie tie Hello world", "x") for k in range(6)], "doc_id long, text string, n_tokens string")
+    rows = pieces.encode(docs, VOCABULARY).collect()
+    assert len(rows) == 6 and len({tuple(r["ids"]) for r in rows}) == 1 and {r["n_tokens"] for r in rows} == {len(rows[0]["ids"])}
 
 
 def test_toxicity(spark):

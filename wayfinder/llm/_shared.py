@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfinder.functions.arrow import groups as runs  # noqa: F401
 from wayfinder.functions.scratch import Scratch
+from wayfinder.functions.text import let  # noqa: F401
 
 #: Separators of words: space and code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,34 +18,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once per row, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def runs(batches, keys: tuple[str, ...]):
-    """(key, table) for each run of rows with equal long `keys` in a stream of Arrow batches sorted by them."""
-    import numpy as np
-    import pyarrow as pa
-
-    now, parts = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        values = np.stack([t.column(c).to_numpy() for c in keys])
-        cut = np.concatenate([[0], np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1, [t.num_rows]])
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            key = tuple(values[:, a].tolist())
-            if key != now:
-                if parts:
-                    yield now, pa.concat_tables(parts)
-                now, parts = key, []
-            parts.append(t.slice(a, b - a))
-    if parts:
-        yield now, pa.concat_tables(parts)
-
-
 #: Edges (16 bytes each) that one task may hold at once; beyond, components are found in rounds of joins.
 TASK_EDGES = 1 << 20
 
@@ -74,17 +48,17 @@ def _least_labels(batches):
     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[low])], names=["node", "component"])
 
 
-def components(scratch: Scratch, edges: DataFrame, tag: str, task_edges: int = TASK_EDGES) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
     """Connected components of `edges(a, b)` of longs: rows `(node, component)`, component the smallest node.
 
-    Up to `task_edges` edges, counted first, are solved by one task, which their number bounds.
+    Up to TASK_EDGES edges, counted first, are solved by one task, which their number bounds.
     More alternate large-star and small-star steps (Kiveris et al., 2014) until the edges stop
     changing, which takes a number of rounds logarithmic in the size of a component. Each step
     groups by node with a minimum, combined before the shuffle; no neighbour list is collected,
     so a hub costs one row in each task.
     """
     now = scratch.cut(edges.select("a", "b").where("a <> b"), f"{tag}-edges")
-    if now.count() <= task_edges:
+    if now.count() <= TASK_EDGES:
         return scratch.cut(now.coalesce(1).mapInArrow(_least_labels, "node long, component long"), tag)
     now = scratch.cut(now.distinct(), f"{tag}-0")
     k, last = 0, None

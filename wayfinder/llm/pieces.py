@@ -5,17 +5,25 @@ An Aho-Corasick automaton over all pieces reports, at each character, every piec
 segmentation with the greatest sum of scores. Characters that no piece covers fall back to bytes,
 at a cost below any piece. A space becomes the mark U+2581, with one more before the text.
 
+Scores should be logarithms of likelihoods. A vocabulary of merges has ranks instead, whose sums
+say nothing; a rank r then counts as -ln(r + OFFSET), the law of Zipf and Mandelbrot, so nothing
+is fitted to any text.
+
 No piece of a usable model continues over a mark after another character, nor past a character
 that only stands alone; the segmentation hence falls apart at these places, and a task keeps the
-best segmentation of each part it has seen, up to CACHE of them.
+best segmentation of each part it has seen, up to CACHE of them, none longer than SHORT.
 
-Null texts have null ids; the empty text has no ids. A mark in the text itself is spelled in
-bytes, so decoding gives every text back exactly. The vocabulary file is read by the driver, from a
+Null texts have null ids; the empty text has no ids; texts of any length are encoded whole. Of
+segmentations with equal scores the one whose last pieces are longest counts, so rows that repeat
+have equal ids. Empty tables give empty results; columns named like the added ones are replaced,
+all others are kept and never read. A mark in the text itself is spelled in bytes, so decoding
+gives every text back exactly. The vocabulary file is read by the driver, from a
 path given as a parameter, and broadcast: a model has a fixed number of pieces.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
@@ -24,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK, OWN = "▁", "\ud800"  # OWN stands for a mark of the text; no text holds a lone surrogate
-CACHE = 1 << 19
+CACHE, SHORT = 1 << 18, 48
+#: What is added to a rank before its logarithm is taken.
+OFFSET = 300
 
 
 def load(path: str) -> list[tuple[str, float, str]]:
@@ -36,6 +46,14 @@ def load(path: str) -> list[tuple[str, float, str]]:
     return [(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())]
 
 
+def likelihoods(vocabulary: list[tuple[str, float, str]]) -> list[tuple[str, float, str]]:
+    """The vocabulary with a log likelihood for each piece; scores that are no ranks of merges stay."""
+    scores = [s for _, s, k in vocabulary if k == "piece"]
+    if not scores or len(set(scores)) < 0.99 * len(scores) or any(s > 0 or s != int(s) for s in scores):
+        return vocabulary
+    return [(t, -math.log(OFFSET - s) if k == "piece" else s, k) for t, s, k in vocabulary]
+
+
 class Coder:
     def __init__(self, vocabulary: list[tuple[str, float, str]]):
         import ahocorasick
@@ -94,9 +112,11 @@ class Coder:
         for part in self.parts.findall(MARK + text.replace(MARK, OWN).replace(" ", MARK)):
             ids = seen.get(part)
             if ids is None:
-                if len(seen) >= CACHE:
-                    seen.clear()
-                ids = seen[part] = self.best(part)
+                ids = self.best(part)
+                if len(part) <= SHORT:
+                    if len(seen) >= CACHE:
+                        seen.clear()
+                    seen[part] = ids
             out += ids
         return out
 
@@ -118,7 +138,7 @@ def _coder(vocabulary) -> Coder:
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = True) -> DataFrame:
     """`docs` with `ids array<int>`, `n_tokens`, `n_bytes` (ids that are bytes) and `round_trip`, whether decoding gives the text again."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(likelihoods(load(path)))
     added = ["ids", "n_tokens", "n_bytes", "round_trip"]
     kept = [c for c in docs.columns if c not in added]
     docs = docs.select(*kept)
@@ -151,7 +171,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", check: bool = Tru
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """`encoded` with `decoded`, the text of the ids; null ids give null."""
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(load(path))
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(likelihoods(load(path)))
     kept = [c for c in encoded.columns if c != "decoded"]
     encoded = encoded.select(*kept)
     at = kept.index(ids_col)

@@ -17,12 +17,18 @@ so equal windows have equal anchor keys, and the keys are few.
    grouping them globally verifies the repeat and gives its first document.
 3. The words that covered windows hold are dropped.
 
+Rounds end at symbols of CAPS[-1] words, and windows, not still higher symbols, decide: each round
+may lose a symbol less a word at either end of a passage, 2 * EDGE = 32 words by now, and a window
+of 50 words has no room for a further round that must leave something inside.
+
 Copies of a whole text take part once, by their smallest id. Groups are reduced to minima before
-the shuffle; joins back to occurrences can be split where a key is frequent.
+the shuffle. Where rows are joined back to the minima, names with over HEAVY rows are broadcast,
+since there can be but few of them, and their rows stay where they are.
 
 Nulls: a null text has no words; a document with a null id neither loses words nor makes others
-lose any. Rows that share an id never remove each other's words. Empty tables give empty results.
-Other columns are never read.
+lose any. Rows that share an id never remove each other's words. Texts of any length are read
+whole, a bounded piece at a time where they are many, by itself where one is longer. Empty tables
+give empty results. Other columns are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -41,8 +47,10 @@ from wayfinder.llm._text import U64, Words, chunks, mix, polynomial
 RUN, CAPS = 3, (3, 5, 8)
 #: Words at an end of a passage that may be in symbols unlike those of its copies: a run, then a symbol a round.
 EDGE = RUN + sum(c - 1 for c in CAPS)
-#: Ids of documents with shared keys, broadcast up to so many rows (16 bytes each); beyond, texts are shuffled.
+#: Ids of documents with shared keys, and names that many rows have, are broadcast up to so many rows (under 40 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: A name with more rows than this does not wait for them in one task.
+HEAVY = 1000
 
 _A, _B = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -192,6 +200,13 @@ def _cut(window: int):
     return run, "doc_id long, f long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string"
 
 
+def _back(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+    """Rows joined to `names`, which have one row each with the number `n` of rows that there are; rows of frequent names are not shuffled."""
+    heavy, light = names.where(F.col("n") > HEAVY).drop("n"), names.where(F.col("n") <= HEAVY).drop("n")
+    few = F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy
+    return rows.join(few.select(*on), on, "left_anti").join(light, on).unionByName(rows.join(few, on))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Rows `(doc_id, n_words, n_removed, kept_sha256, spans, kept)`, one for each row of `docs`; the id is a long.
 
@@ -207,8 +222,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     real = all_.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     first = scratch.cut(real.groupBy("sha").agg(F.min("doc_id").alias("first"), F.min("f").alias("f")), "first")
     rows = real.select(F.explode("keys").alias("key"), "f")
-    shared = rows.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo <> hi").select("key")
-    mine = scratch.cut(rows.join(shared, "key").groupBy("f").agg(F.collect_set("key").alias("keys")), "shared")
+    shared = rows.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    mine = scratch.cut(_back(rows, scratch.cut(shared, "names"), ["key"]).groupBy("f").agg(F.collect_set("key").alias("keys")), "shared")
     mine = scratch.cut(mine.join(first.select("f", F.col("first").alias("doc_id")), "f").select("doc_id", "f", "keys"), "mine")
     ids = mine.select("doc_id").distinct()
     texts = docs.where("doc_id is not null").join(F.broadcast(ids) if mine.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
@@ -217,9 +232,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     else:  # rows that share an id are told apart by their words
         texts, on = texts.mapInArrow(_with_name, "doc_id long, text string, f long").dropDuplicates(["doc_id", "f"]), ["doc_id", "f"]
     run, schema = _windows(window)
-    found = texts.join(mine, on).select("doc_id", "f", "text", "keys").mapInArrow(run, schema)
-    least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
-    covered = found.join(least, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id", "f").agg(F.collect_list("pos").alias("pos"))
+    found = scratch.cut(texts.join(mine, on).select("doc_id", "f", "text", "keys").mapInArrow(run, schema), "windows")
+    least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
+    covered = _back(found, scratch.cut(least, "least"), ["w1", "w2"]).where("least < doc_id").groupBy("doc_id", "f").agg(F.collect_list("pos").alias("pos"))
     run, schema = _cut(window)
     changed = texts.join(covered, on).select("doc_id", "f", "text", "pos").mapInArrow(run, schema)
     out = all_.drop("keys").join(first.drop("f"), "sha", "left").join(changed, ["doc_id", "f"], "left")
