@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -10,6 +12,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='wayfinder-tests-')}")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

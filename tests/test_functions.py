@@ -57,3 +57,20 @@ def test_numbers(spark):
     assert math.isclose(km, 111.194927, abs_tol=1e-6) and said == "23:00-01:30"
     wide = spark.range(1).select(text.fold_compatibility(F.lit("ﬁne ①"))).first()[0]
     assert wide == "fine 1"
+
+
+def test_folding(spark):
+    """Every character that folds, and every letter taken apart, against the standard library."""
+    import sys
+    import unicodedata
+
+    nfkc = lambda s: unicodedata.normalize("NFKC", s)
+    chars = [chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    chars = [c for c in chars if not "\uac00" <= c <= "\ud7a3"]  # syllables of jamo stay as they are
+    said = [f"x {c} y" for c in chars if nfkc(c) != c] + ["x" + unicodedata.normalize("NFD", c) + "y" for c in chars if len(unicodedata.normalize("NFD", c)) == 2 and nfkc(unicodedata.normalize("NFD", c)) == c]
+    said += ["plain ascii", "", "Ｆｕｌｌ　ｗｉｄｔｈ ﬁne ①½", "café ế", "日本語 故宫", "'quoted' \\ back"]
+    rows = spark.createDataFrame([(s, nfkc(s)) for s in said], "s string, want string")
+    wrong = rows.where(~text.fold_compatibility(F.col("s")).eqNullSafe(F.col("want"))).limit(20).collect()
+    assert len(said) > 5000 and not wrong, wrong
+    tags = rows.select(F.transform(F.array("s"), text.normalize)[0].alias("n"), text.normalize(F.col("s")).alias("m")).where("n <> m").count()
+    assert tags == 0 and spark.range(1).select(text.normalize(F.lit(None).cast("string"))).first()[0] == ""

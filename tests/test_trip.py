@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wayfinder.functions import lists
 from wayfinder.operators import checks, graph, metrics, patterns, planning, recover, runs, sinks, summary
 from wayfinder.operators import retrieval as R
+from wayfinder.sources import files, store
 
 SPEC = "pid long, departure string, destination string, day long, query string, budget double, lo double, hi double, category_pref string, intensity_pref string, interests array<string>"
 CAND = "cid string, etype string, k long, ord long, city string, name string, price double, lat double, lon double, tags array<string>, category string, opening string, duration string, text string"
@@ -84,6 +86,53 @@ def test_graph(spark):
     assert [(r["hops"], r["path"]) for r in path] == [(1, ["a", "c"])]
 
 
+def test_reach_and_paths_of_hubs(spark):
+    """Steps through hubs against a plain search, for all pairs of a small graph."""
+    from itertools import pairwise, product
+
+    kinds = ["attraction:1", "attraction:2", "attraction:3", "hotel:1", "restaurant:1", "restaurant:2", "city:x", "city:y", "etype:a", "pref:tag:t", "pref:tag:u", "pattern:p", "slot:q"]
+    rows = [("attraction:1", "city:x"), ("attraction:2", "city:x"), ("attraction:1", "attraction:2"), ("attraction:2", "pref:tag:t"), ("hotel:1", "city:y"), ("attraction:3", "city:y"), ("attraction:3", "etype:a"), ("etype:a", "slot:q"), ("slot:q", "pattern:p"), ("restaurant:1", "pref:tag:u"), ("restaurant:1", "city:x"), ("restaurant:2", "pref:tag:u")]
+    edges = spark.createDataFrame([(min(e), max(e), "r") for e in rows], "src string, dst string, relation string")
+    near = {n: sorted({b for a, b in rows if a == n} | {a for a, b in rows if b == n}) for n in kinds}
+
+    def shortest(a, b):
+        for hops in range(4):
+            found = [p for p in product([a], *[kinds] * (hops - 1), *([[b]] if hops else [])) if p[-1] == b and len(set(p)) == len(p) and all(y in near[x] for x, y in pairwise(p))]
+            if found:
+                return min(found)
+        return None
+
+    low = [k for k in kinds if k.split(":")[0] in graph.CANDIDATES]
+    pairs = [(a, b) for a in low for b in kinds if a != b]
+    got = {(r["src"], r["dst"]): tuple(r["path"]) for r in graph.shortest_paths(spark.createDataFrame(pairs, "src string, dst string"), edges).collect()}
+    assert got == {p: shortest(*p) for p in pairs if shortest(*p)}
+    seeds = spark.createDataFrame([(1, "attraction:1"), (2, "hotel:1"), (2, "restaurant:2")], "pid long, cid string")
+    items = spark.createDataFrame([(pid, c) for pid in (1, 2) for c in low], "pid long, cid string")
+    hop = {(r["pid"], r["cid"]): r["hop"] for r in graph.reached(items, seeds, edges).collect()}
+    want = {}
+    for pid, start in ((1, ["attraction:1"]), (2, ["hotel:1", "restaurant:2"])):
+        for c in low:
+            lengths = [len(p) - 1 for s in start for p in [shortest(s, c)] if p]
+            if lengths:
+                want[pid, c] = min(lengths)
+    assert hop == want
+    by = {(r["pid"], r["node"]): r["hop"] for r in graph.bfs_by(seeds.withColumnRenamed("cid", "node"), edges, 3, candidate_only=True).collect()}
+    assert by == want
+    ends = graph.with_ends(edges, spark.createDataFrame([("city:x",), ("attraction:1",)], "node string"))
+    assert [(r["src"], r["dst"]) for r in ends.collect()] == [("attraction:1", "city:x")]
+
+
+def test_one_clock(spark, trip):
+    """The fold in the JVM and the clock of the planner give the same times."""
+    items = trip[2].where("etype <> 'hotel'").withColumn("position", F.col("ord"))
+    days = spark.createDataFrame([(1, 1, 570, 1320, 5)], "pid long, plan_day long, open long, close long, most long")
+    planned = planning.build(items, days, spark.createDataFrame([(2, 1, k, "noon:sightseeing" if k < 4 else "noon:dining") for k in range(5)], "days long, day long, slot long, token string"))
+    order = planned.join(items.select("cid", "etype", "opening", "duration"), "cid")
+    again = planning.schedule(order, days)
+    times = lambda rows: sorted((r["cid"], r["start"], r["end"]) for r in rows.collect())
+    assert times(planned) == times(again) and planned.count() >= 4
+
+
 def test_ranking(spark):
     ev = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "pid long, cid string, position long")
     got = metrics.ranking(ev, spark.createDataFrame([(1, "a"), (1, "c")], "pid long, cid string")).first()
@@ -97,10 +146,10 @@ def test_min_max(spark):
 
 
 def test_recover():
-    assert recover.recover('```json\n{a: "x", "b": [1, 2,],}\n```') == '{"a": "x", "b": [1, 2]}'
-    assert recover.recover("say {'a': true, 'b': null} done") == '{"a": true, "b": null}'
+    assert recover.recover('```json\n{a: "x", "b": [1, 2,],}\n```') == '{"a":"x","b":[1,2]}'
+    assert recover.recover("say {'a': true, 'b': null} done") == '{"a":true,"b":null}'
     broken = '"hotel_candidate_id": "hotel:1"\n"1": [\n"candidate_id": "attraction:2"\n"action": "sightseeing"\n]'
-    assert '"candidate_id": "attraction:2"' in recover.recover(broken)
+    assert '"candidate_id":"attraction:2"' in recover.recover(broken)
     assert recover.recover("nothing") is None and recover.recover(None) is None
 
 
@@ -123,9 +172,83 @@ def test_sinks(spark, tmp_path):
     edges = spark.createDataFrame([("x y", "city:a", "in-city"), ("city:a", "x y", "in-city")], "src string, dst string, relation string")
     said = [r["statement"] for r in sinks.statements(nodes, edges).collect()]
     assert len(said) == 3 and "`IN_CITY`" in said[2] and "`MyKind`" in said[1] and 'q\\"q' in said[1]
+    assert not sinks.graph_exists(spark, str(tmp_path / "g"))
     sinks.write_graph(nodes, edges, str(tmp_path / "g"))
     sinks.write_graph(nodes.limit(1), edges, str(tmp_path / "g"), clear=False)
+    assert sinks.graph_versions(spark, str(tmp_path / "g")) == [1, 2]
+    assert sinks.graph_stats(nodes, edges).first().asDict() == {"nodes": 2, "edges": 2, "degree_max": 2}
     back, links = sinks.read_graph(spark, str(tmp_path / "g"))
     assert back.count() == 2 and links.count() == 1
     one = {r["node"]: r["batch"] for r in sinks.batches(back, "node", 1).collect()}
     assert sorted(one.values()) == [0, 1]
+    many = {r["id"]: r["batch"] for r in sinks.batches(spark.range(95).repartition(5), "id", 10).collect()}
+    assert many == {k: k // 10 for k in range(95)}
+    meta = sinks.node_rows(spark.createDataFrame([("a", " ", {"k": "v"}), ("b", "x", None)], "node string, label string, meta map<string,string>"))
+    assert [tuple(r) for r in meta.orderBy("node").collect()] == [("a", None, '{"k":"v"}'), ("b", "x", None)]
+    assert [r["meta"] for r in sinks.with_meta(meta).orderBy("node").collect()] == [{"k": "v"}, {}]
+
+
+def test_written_runs(spark, tmp_path):
+    rows = spark.createDataFrame([(k, m) for k in range(7) for m in ("a", "b")], "pid long, method string")
+    out = str(tmp_path / "predictions")
+    answer = lambda r: r.withColumn("plan", F.lit("p"))
+    assert sinks.run_resumed(rows.where("pid < 3"), out, answer, 4) == 2
+    assert sinks.run_resumed(rows, out, answer, 4) == 2 and sinks.run_resumed(rows, out, answer, 4) == 0
+    done = files.finished(spark, out)
+    assert done.count() == 14 and spark.read.json(out).count() == 14
+    grid = runs.grid(spark, max_runs=6).withColumn("ndcg_at_5", F.col("run_index") / 10)
+    for c in runs.KEYS:
+        grid = grid.withColumn(c, F.lit(0.5))
+    grid = grid.withColumn("method", F.lit("m")).withColumn("model", F.lit("x"))
+    found = sinks.write_ablation(grid, str(tmp_path), "ndcg_at_5", 2)
+    assert [r["run_id"] for r in found["top"]] == ["run_006", "run_005"] and store.read_json(spark, str(tmp_path / "ablation_summary.json")).first()["target"] == "ndcg_at_5"
+    assert store.read_json(spark, str(tmp_path / "none.json")) is None
+    assert sinks.write_comparison(grid, str(tmp_path), "average_route_distance_ratio")["best"][0]["n"] > 0
+    assert files.runs(spark, str(tmp_path / "comparison.csv")).count() == 6
+    assert runs.lookup(grid, "run_003", runs.order_for("ndcg_at_5")).first()["run_id"] == "run_003" and runs.lookup(grid, "no", runs.order_for("ndcg_at_5")).first()["run_id"] == "run_006"
+    assert [r["run_id"] for r in runs.top_runs(grid, ["run_002", "run_001"], runs.order_for("ndcg_at_5")).collect()] == ["run_002", "run_001"]
+    assert sinks.write_summary(grid.groupBy("method").agg(F.count("*").alias("n"), F.avg("ndcg_at_5").alias("g")), str(tmp_path / "summary.json"))["methods"]["m"]["n"] == 6
+    parts = sinks.write_split(rows.select("pid").distinct(), "pid", 0.4, str(tmp_path / "split"))
+    assert parts["dev_size"] + parts["test_size"] == 7
+    table = sinks.latex_table(grid.orderBy("run_index").limit(1), {"run_id": "Run", "ndcg_at_5": "nDCG"}, "Runs", "tab:runs")
+    assert r"run\_001 & 0.1000 \\" in table and table.count("rule") == 3
+    stats = runs.topk_stats(grid, ["ndcg_at_5"])
+    with pytest.raises(ValueError):
+        sinks.latex_figure(stats, ["ndcg_at_5"], "c", "l")
+    both = runs.topk_stats(runs.grid(spark).withColumn("ndcg_at_5", F.lit(0.5)), ["ndcg_at_5"])
+    assert "(ndcg at 5,0.5000)" in sinks.standalone(sinks.latex_figure(both, ["ndcg_at_5"], "c", "l"))
+    sinks.write_failures(spark.createDataFrame([(1, 2, "no JSON object", "sorry")], "pid long, attempt int, error string, response string"), str(tmp_path / "failures"))
+    assert spark.read.json(str(tmp_path / "failures")).first()["response"] == "sorry"
+
+
+def test_stores(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b"), (2, "b b c")], "id long, body string")
+    words = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "term string, vector array<double>")
+    terms = rows.select("id", F.explode(F.split("body", " ")).alias("term"))
+    build = lambda r: store.embed(r, "id", terms, words)
+    found, action = store.vectors(rows, "id", "body", "model", str(tmp_path), build)
+    got = {r["id"]: r["embedding"] for r in found.collect()}
+    assert action == "built" and got[2] == [0.0, 1.0] and abs(got[1][1] - 2 / 5**0.5) < 1e-12
+    assert store.vectors(rows, "id", "body", "model", str(tmp_path), build)[1] == "loaded"
+    assert store.vectors(rows.limit(1), "id", "body", "model", str(tmp_path), build)[1] == "built"
+
+    def missing():
+        raise RuntimeError("no vectors")
+
+    assert store.resolve_search("auto", lambda: rows, missing).action == "fallback_tfidf" and store.resolve_search("tfidf", lambda: rows, missing).source == "tfidf"
+    with pytest.raises(RuntimeError):
+        store.resolve_search("dense", lambda: rows, missing)
+    nodes = spark.createDataFrame([("city:a", 1, "city", "A"), ("city:b", 1, "city", "B")], "node string, layer int, kind string, label string")
+    graph_ = nodes, spark.createDataFrame([("city:a", "city:b", "near")], "src string, dst string, relation string")
+    at = str(tmp_path / "graph")
+    assert [store.resolve_graph(spark, "store", at, lambda: graph_).action for _ in range(2)] == ["bootstrapped_store", "loaded_store"]
+    assert store.resolve_graph(spark, "auto", None, lambda: graph_).action == "built_local" and store.stats(graph_) == {"nodes": 2, "edges": 1, "degree_max": 1}
+    with pytest.raises(RuntimeError):
+        store.resolve_graph(spark, "store", str(tmp_path / "empty"), lambda: graph_, bootstrap=False)
+
+
+def test_lists():
+    assert lists.ints("1, 2,") == [1, 2] and lists.floats("0.5,1") == [0.5, 1.0] and lists.bools("on,No") == [True, False]
+    for f, said in ((lists.bools, "maybe"), (lists.ints, " , ")):
+        with pytest.raises(ValueError):
+            f(said)

@@ -5,7 +5,6 @@ All run inside the JVM. Failing parses are null unless a default is named.
 
 from __future__ import annotations
 
-import json
 import sys
 import unicodedata
 
@@ -46,9 +45,6 @@ def _foldings() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     return one, more, pairs
 
 
-_ONE, _MORE, _PAIRS = _foldings()
-
-
 def _class(chars) -> str:
     """Characters as a regular expression's class, in ranges."""
     codes, out = sorted(map(ord, chars)), []
@@ -60,8 +56,36 @@ def _class(chars) -> str:
     return "[" + "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if b > a else "") for a, b in out) + "]"
 
 
-_MANY = _class(_MORE)
-_MARK = _class({p[-1] for p in _PAIRS})
+def _quoted(said: str) -> str:
+    return "'" + said.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _looked_up(pairs: dict[str, str], key: str) -> str:
+    """What a table has for a key, else the key: a text of all pairs, since a text costs a plan little."""
+    table = _quoted("\u0001" + "".join(f"{k}\u0002{v}\u0001" for k, v in pairs.items()))
+    at = f"instr(t, concat('\u0001', {key}, '\u0002'))"
+    return f"transform(array({table}), t -> if({at} > 0, substring_index(substring(t, {at} + length({key}) + 2), '\u0001', 1), {key}))[0]"
+
+
+def _folding() -> str:
+    """NFKC of `x` in SQL: single characters, then characters that become several, then marks with what stands before them. ASCII texts pass as they are."""
+    one, more, pairs = _foldings()
+    many, mark = _class(more), _class({p[-1] for p in pairs})
+    chars = lambda t: f"regexp_extract_all({t}, '(?s).', 0)"
+    single = f"translate(x, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+    several = f"if(y rlike {_quoted(many)}, array_join(transform({chars('y')}, c -> {_looked_up(more, 'c')}), ''), y)"
+    unit = f"aggregate({chars('substring(u, 2)')}, substring(u, 1, 1), (s, m) -> {_looked_up(pairs, 'concat(s, m)')})"
+    marks = f"if(z rlike {_quoted(mark)}, array_join(transform(regexp_extract_all(z, {_quoted(f'(?s).{mark}*')}, 0), u -> {unit}), ''), z)"
+    return f"if(x rlike {_quoted('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')}, transform(transform(array({single}), y -> {several}), z -> {marks})[0], x)"
+
+
+_FOLD = _folding()
+_PLAIN = f"regexp_replace(regexp_replace(regexp_replace(lower(coalesce({_FOLD}, '')), '’', {_quoted(chr(39))}), {_quoted('(?U)' + chr(92) + 's+')}, ' '), '^ | $', '')"
+
+
+def _of(text: Column, sql: str) -> Column:
+    """A SQL expression over `x`, the text."""
+    return F.element_at(F.call_function("transform", F.array(text), F.expr(f"x -> {sql}")), 1)
 
 
 def let(value: Column, body) -> Column:
@@ -70,26 +94,13 @@ def let(value: Column, body) -> Column:
 
 
 def fold_compatibility(text: Column) -> Column:
-    """NFKC inside the JVM; ASCII texts pass as they are. Marks compose with what stands before them; several marks out of their canonical order are not reordered."""
-    table = lambda pairs: F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
-    known = lambda pairs: lambda x: F.coalesce(F.try_element_at(table(pairs), x), x)
-    t = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
-    t = F.when(t.rlike(_MANY), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), known(_MORE)), "")).otherwise(t)
-
-    def composed(units):
-        # a character and the marks after it, folded from the left
-        step = lambda s, m: F.when(F.try_element_at(table(_PAIRS), F.concat(s, m)).isNotNull(), F.element_at(table(_PAIRS), F.concat(s, m))).otherwise(F.concat(s, m))
-        return F.array_join(F.transform(units, lambda u: F.aggregate(F.regexp_extract_all(F.substring(u, 2, 1 << 30), F.lit("(?s)."), F.lit(0)), F.substring(u, 1, 1), step)), "")
-
-    t = let(t, lambda x: F.when(x.rlike(_MARK), composed(F.regexp_extract_all(x, F.lit(f"(?s).{_MARK}*"), F.lit(0)))).otherwise(x))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), t).otherwise(text)
+    """NFKC inside the JVM. Several marks on one letter that stand out of their canonical order are not reordered, and conjoining jamo stay apart."""
+    return _of(text, _FOLD)
 
 
-def normalize(text: Column, fold: bool = True) -> Column:
+def normalize(text: Column) -> Column:
     """NFKC, lower case, straight apostrophes, single spaces, trimmed; null becomes empty."""
-    t = fold_compatibility(text) if fold else text
-    t = F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), "’", "'")
-    return F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"^ | $", "")
+    return _of(text, _PLAIN)
 
 
 def slugify(text: Column) -> Column:

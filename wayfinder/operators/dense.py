@@ -2,26 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfinder.functions.arrow import groups
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Rows of a block of queries, and of a block of vectors.
+QUERIES, VECTORS = 1024, 8192
+
+
+def _top(k: int, digits: int):
+    """Of each pair of blocks the best `k` vectors for each query, by one matrix product."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        v = t.column("v").combine_chunks()
+        return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1))
+
+    def run(batches):
+        for _, t in groups(batches, ("scope", "qb", "vb")):
+            asks = t.column("asks").to_numpy(zero_copy_only=False)
+            q, v = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
+            ids, own = v.column("id").to_numpy(), q.column("id").to_numpy()
+            left, right = matrix(q), matrix(v)
+            for lo in range(0, len(own) if len(ids) else 0, 256):
+                score = np.round(np.maximum(left[lo : lo + 256] @ right.T, 0.0), digits)
+                score[own[lo : lo + 256, None] == ids[None]] = -1.0
+                n = min(k, len(ids))
+                least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+                for i, at in enumerate(least):
+                    best = np.flatnonzero((score[i] >= at) & (score[i] >= 0))
+                    best = best[np.lexsort((ids[best], -score[i, best]))[:n]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), own[lo + i])), pa.array(ids[best]), pa.array(score[i, best])], schema=schema)
+
+    return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, scope: str | None = None, digits: int = 6) -> DataFrame:
     """The `k` nearest of `vectors(vec_id, embedding)` for each of `queries(query_id, q)`: `(query_id, vec_id, score, rank)`.
 
-    `scope` names a column of both sides that must agree. Scores below 0 count as 0. Queries are a
-    stated, small set, so they go to the vectors, not the other way round; ranks are cut in each
-    task before the shuffle.
+    `scope` names a column of both sides that must agree. Scores below 0 count as 0. Blocks of
+    queries meet blocks of vectors, each pair of blocks in one task as a matrix product that keeps
+    the best of each query, so that no pair of rows is ever a row. All vectors have one length; ids are longs.
     """
-    on = [scope] if scope else []
-    pairs = vectors.join(queries, on) if on else vectors.crossJoin(queries)
-    scored = pairs.where("vec_id <> query_id").select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("q"))), digits).alias("score"))
+    own = F.xxhash64(scope) if scope else F.lit(0).cast("long")
+    v = vectors.select(own.alias("scope"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"), F.lit(False).alias("asks"))
+    q = queries.select(own.alias("scope"), F.col("query_id").cast("long").alias("id"), F.col("q").alias("v"), F.lit(True).alias("asks"))
+    count = lambda rows, size, name: rows.groupBy("scope").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
+    blocks = count(q, QUERIES, "qs").join(count(v, VECTORS, "vs"), "scope")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = q.join(blocks, "scope").withColumn("qb", at("qs")).withColumn("vb", all_("vs")).unionByName(v.join(blocks, "scope").withColumn("vb", at("vs")).withColumn("qb", all_("qs")))
+    met = rows.drop("qs", "vs").repartition("scope", "qb", "vb").sortWithinPartitions("scope", "qb", "vb")
+    found = met.mapInArrow(_top(k, digits), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def fingerprint(rows: DataFrame, key: str, body: str, model: str) -> DataFrame:

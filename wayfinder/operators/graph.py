@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfinder.functions import text
-from wayfinder.functions.scratch import cut
-from wayfinder.operators.retrieval import keep_first, top
+from wayfinder.functions.scratch import Scratch, cut
+from wayfinder.operators.retrieval import top
 
 # Layers, default day skeletons, what an action expects.
 BUDGETS, INTENSITIES, ETYPES = ["low", "medium", "high", "premium"], ["low", "moderate", "high"], ["attraction", "restaurant", "hotel", "transport"]
@@ -15,6 +15,7 @@ FIRST_DAY = ["afternoon:transport", "afternoon:checkin", "evening:dining", "even
 LAST_DAY = ["morning:sightseeing", "afternoon:dining", "afternoon:transport"]
 OTHER_DAY = ["morning:sightseeing", "noon:dining", "afternoon:sightseeing", "evening:dining"]
 EXPECTS = {"dining": "restaurant", "sightseeing": "attraction", "checkin": "hotel", "transport": "transport"}
+CANDIDATES = ["attraction", "restaurant", "hotel"]
 CELL_MEMBERS, ROUTES, TAGS = 18, 3, 6
 
 
@@ -99,6 +100,12 @@ def build(candidates: DataFrame, specs: DataFrame, transport: DataFrame, pattern
     return nodes, both
 
 
+def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges both of whose ends are nodes."""
+    end = lambda name: nodes.select(F.col("node").alias(name))
+    return edges.join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi").select(*edges.columns)
+
+
 def directed(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
@@ -121,33 +128,111 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Labels spread along edges and then jump to the label of their label, so long paths halve each round.
     """
     inside = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    steps = cut(directed(inside))
-    now = cut(nodes.select("node", F.col("node").alias("component")).distinct())
+    scratch = Scratch(edges.sparkSession, "components")
+    steps = scratch.cut(directed(inside), "steps")
+    now, k = scratch.cut(nodes.select("node", F.col("node").alias("component")).distinct(), "labels-0"), 1
     while True:
         near = steps.join(now.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("component").alias("near"))
         spread = now.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", F.least("component", "near").alias("component"))
         jump = spread.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        new = cut(spread.join(jump, "component", "left").select("node", F.coalesce(F.least("component", "far"), "component").alias("component")))
-        if new.exceptAll(now).isEmpty():
+        new = scratch.cut(spread.join(jump, "component", "left").select("node", F.coalesce(F.least("component", "far"), "component").alias("component")), f"labels-{k}")
+        if new.join(now, ["node", "component"], "left_anti").isEmpty():
             return new
-        now = new
+        scratch.drop(f"labels-{k - 1}")
+        now, k = new, k + 1
+
+
+def is_candidate(node: Column) -> Column:
+    """Whether a node is something to visit or stay at. Such nodes have few edges; a hub may have any number."""
+    return F.substring_index(node, ":", 1).isin(*CANDIDATES)
+
+
+def bfs_by(seeds: DataFrame, edges: DataFrame, hops: int, candidate_only: bool = False) -> DataFrame:
+    """`(pid, node, hop)` from `seeds(pid, node)` of each request. Whole neighbourhoods, hubs included; `reached` asks only for given items."""
+    steps = directed(edges)
+    seen = seeds.select("pid", "node").distinct().withColumn("hop", F.lit(0))
+    front = seen
+    for hop in range(1, hops + 1):
+        new = front.select("pid", F.col("node").alias("src")).join(steps, "src").select("pid", F.col("dst").alias("node")).distinct()
+        front = cut(new.join(seen, ["pid", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        seen = seen.union(front)
+    return seen.where(is_candidate(F.col("node")) | (F.col("hop") == 0)) if candidate_only else seen
+
+
+def reached(items: DataFrame, seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
+    """`(pid, cid, hop)` of items within `hops`, three at most, of a seed of their request.
+
+    Steps from the seeds and steps from the items meet in the middle, by request and node, so that
+    a hub such as a city is never followed to all that hangs on it.
+    """
+    if hops > 3:
+        raise ValueError("beyond three hops use bfs_by")
+    steps = cut(directed(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    mine = items.select("pid", "cid").distinct()
+    start = seeds.select("pid", F.col("cid").alias("node")).distinct()
+    found = mine.join(start.withColumnRenamed("node", "cid"), ["pid", "cid"]).withColumn("hop", F.lit(0))
+    around = cut(mine.join(steps, F.col("cid") == F.col("a")).select("pid", "cid", F.col("b").alias("node")))
+    after = cut(start.join(steps, F.col("node") == F.col("a")).select("pid", F.col("b").alias("node")).distinct())
+    met = lambda front, hop: around.join(front, ["pid", "node"]).select("pid", "cid").distinct().withColumn("hop", F.lit(hop))
+    parts = [found, met(start, 1), met(after, 2)][: hops + 1]
+    if hops == 3:
+        low = is_candidate(F.col("node"))
+        on = lambda rows, s: rows.join(s, F.col("node") == F.col("a"))
+        hubs = steps.where(~is_candidate(F.col("a")) & ~is_candidate(F.col("b")))
+        onward = on(after.where(low), steps).union(on(after.where(~low), hubs)).select("pid", F.col("b").alias("node")).distinct()
+        back = on(around.where(low), steps).select("pid", "cid", F.col("b").alias("node")).distinct()
+        parts += [met(onward, 3), back.join(after, ["pid", "node"]).select("pid", "cid").distinct().withColumn("hop", F.lit(3))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.groupBy("pid", "cid").agg(F.min("hop").alias("hop"))
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
-    """For `pairs(src, dst)` the shortest path up to `max_hops`, the least in order among equals: `(src, dst, hops, path)`."""
-    steps = directed(edges).select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
-    goals = pairs.select("src", "dst").distinct()
-    walks = goals.select("src", "dst", F.array("src").alias("path"))
-    found = walks.where("src = dst").select("src", "dst", F.lit(0).alias("hops"), "path")
-    for hop in range(1, max_hops + 1):
-        walks = walks.where("src <> dst").join(found.select("src", "dst"), ["src", "dst"], "left_anti")
-        grown = walks.withColumn("_a", F.element_at("path", -1)).join(steps, "_a").where(~F.array_contains("path", F.col("_b")))
-        # of walks to the same place only the least can begin a least path
-        grown = grown.groupBy("src", "dst", "_b").agg(F.min(F.concat("path", F.array("_b"))).alias("path"))
-        done = grown.where("_b = dst").select("src", "dst", F.lit(hop).alias("hops"), "path")
-        found = cut(found.union(done))
-        walks = cut(grown.where("_b <> dst").select("src", "dst", "path"))
-    return found
+    """For `pairs(src, dst)` of a candidate and a node the shortest path up to `max_hops`, three at most; the least in order among equals: `(src, dst, hops, path)`.
+
+    Only candidates, which have few edges, are followed; a step between two hubs through a
+    candidate is a table with a row for each such pair of hubs.
+    """
+    if max_hops > 3:
+        raise ValueError("paths of up to three hops")
+    steps = cut(directed(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    goals = cut(pairs.select("src", "dst").distinct())
+    path = lambda *c: F.array(*map(F.col, c))
+    best = lambda rows, hops: rows.groupBy("src", "dst").agg(F.min("path").alias("path")).withColumn("hops", F.lit(hops))
+    edge = lambda a, b: steps.select(F.col("a").alias(a), F.col("b").alias(b))
+    found = goals.where("src = dst").select("src", "dst", F.array("src").alias("path"), F.lit(0).alias("hops"))
+    if max_hops >= 1:
+        one = goals.join(edge("src", "dst"), ["src", "dst"]).select("src", "dst", path("src", "dst").alias("path"))
+        found = cut(found.union(best(one, 1)))
+    if max_hops >= 2:
+        left = goals.join(found, ["src", "dst"], "left_anti").join(edge("src", "x"), "src")
+        two = left.join(edge("x", "dst"), ["x", "dst"]).select("src", "dst", path("src", "x", "dst").alias("path"))
+        found = cut(found.union(best(two, 2)))
+    if max_hops >= 3:
+        left = cut(goals.join(found, ["src", "dst"], "left_anti").join(edge("src", "x"), "src"))
+        low, hub = is_candidate(F.col("x")), ~is_candidate(F.col("x"))
+        through = left.where(low).join(edge("x", "y"), "x").join(edge("y", "dst"), ["y", "dst"]).where("y <> src")
+        wanted = left.where(hub).select("x", "dst").distinct()
+        ends = steps.where(is_candidate(F.col("a")) & ~is_candidate(F.col("b")))
+        bridge = ends.select(F.col("a").alias("y"), F.col("b").alias("x")).join(ends.select(F.col("a").alias("y"), F.col("b").alias("dst")), "y").groupBy("x", "dst").agg(F.min("y").alias("y"))
+        bridge = wanted.join(bridge, ["x", "dst"]).union(wanted.join(edge("x", "y").where(~is_candidate(F.col("x")) & ~is_candidate(F.col("y"))), "x").join(edge("y", "dst"), ["y", "dst"]).select("x", "dst", "y"))
+        far = edge("y", "dst").where(is_candidate(F.col("dst")))  # ends that are candidates are entered from their own side
+        entered = left.where(hub & is_candidate(F.col("dst"))).join(far, "dst").join(edge("x", "y"), ["x", "y"]).select("src", "dst", path("src", "x", "y", "dst").alias("path"))
+        three = through.select("src", "dst", path("src", "x", "y", "dst").alias("path")).union(left.where(hub).join(bridge, ["x", "dst"]).select("src", "dst", path("src", "x", "y", "dst").alias("path"))).union(entered)
+        found = cut(found.union(best(three, 3)))
+    return found.select("src", "dst", "hops", "path")
+
+
+def path_evidence(items: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
+    """`(pid, cid, paths)`: the paths of items to the request's city and first three interests, joined by arrows, the first `most` there are."""
+    city = F.concat(F.lit("city:"), text.slugify(F.col("destination")))
+    tags = F.transform(F.slice("interests", 1, 3), lambda x: F.concat(F.lit("pref:tag:"), text.slugify(x)))
+    asked = cut(items.select("pid", "cid", F.posexplode(F.concat(F.array(city), F.coalesce(tags, F.array().cast("array<string>")))).alias("at", "dst")))
+    found = shortest_paths(asked.select(F.col("cid").alias("src"), "dst"), edges)
+    rows = asked.join(found.select(F.col("src").alias("cid"), "dst", F.array_join("path", " -> ").alias("said")), ["cid", "dst"])
+    told = rows.groupBy("pid", "cid").agg(F.sort_array(F.collect_list(F.struct("at", "said"))).alias("p"))  # four rows at most
+    return told.select("pid", "cid", F.slice(F.transform("p", lambda x: x["said"]), 1, most).alias("paths"))
 
 
 def score(edges: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -180,6 +265,3 @@ def keep_communities(items: DataFrame, candidates: DataFrame, seeds: DataFrame)
     kept = sized.where("(best > 0 and overlap = best) or (best = 0 and largest = 1)").select("pid", "community")
     return c.join(kept, ["pid", "community"]).select("pid", "cid", "community")
 
-
-def first_nodes(nodes: DataFrame) -> DataFrame:
-    return keep_first(nodes, ["node"], ["layer"])

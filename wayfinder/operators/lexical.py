@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfinder.functions import text
+from wayfinder.functions.scratch import cut
 
+#: Terms of queries are broadcast up to so many rows; postings of a term that one task should hold.
+BROADCAST_TERMS, PART = 200_000, 100_000
 
 def terms(rows: DataFrame, key: str, body: Column) -> DataFrame:
     """`(key, term, tf)`."""
@@ -28,17 +31,30 @@ def norms(weighted: DataFrame, key: str) -> DataFrame:
     return weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
+def _pairs(asked: DataFrame, weighted: DataFrame, query_key: str, doc_key: str) -> DataFrame:
+    """Postings of asked terms. A small set of queries is broadcast; else a frequent term's postings are dealt out, with the queries that hold it copied to each part."""
+    if asked.count() <= BROADCAST_TERMS:
+        return weighted.join(F.broadcast(asked), "term")
+    parts = weighted.groupBy("term").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    right = weighted.join(parts, "term", "left").withColumn("part", F.pmod(F.xxhash64(doc_key), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    left = asked.join(parts, "term", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right, ["term", "part"])
+
+
 def search(documents: DataFrame, doc_key: str, body: Column, queries: DataFrame, query_key: str, query_body: Column, allowed: DataFrame | None = None, digits: int = 8) -> DataFrame:
-    """`(query_key, doc_key, score)` with score above 0. `allowed(query_key, doc_key)` restricts pairs before they are scored."""
-    postings = terms(documents, doc_key, body)
-    idfs = idf(postings, doc_key)
+    """`(query_key, doc_key, score)` with score above 0. `allowed(query_key, doc_key)` restricts pairs before they are scored.
+
+    Texts are cut into terms once; weights, norms and pairs all read those postings.
+    """
+    postings = cut(terms(documents, doc_key, body))
+    idfs = cut(idf(postings, doc_key))
     weighted = weigh(postings, idfs)
-    asked = weigh(terms(queries, query_key, query_body), idfs)
-    left = asked.select(query_key, "term", F.col("w").alias("qw"))
+    asked = cut(weigh(terms(queries, query_key, query_body), idfs).select(query_key, "term", F.col("w").alias("qw")))
     if allowed is None:
-        pairs = left.join(weighted, "term")
+        pairs = _pairs(asked, weighted, query_key, doc_key)
     else:
-        pairs = allowed.select(query_key, doc_key).distinct().join(weighted, doc_key).join(left, [query_key, "term"])
+        pairs = allowed.select(query_key, doc_key).distinct().join(weighted, doc_key).join(asked, [query_key, "term"])
     dots = pairs.groupBy(query_key, doc_key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    found = dots.join(norms(weighted, doc_key), doc_key).join(norms(asked, query_key).withColumnRenamed("norm", "qnorm"), query_key)
+    qnorms = norms(asked.withColumnRenamed("qw", "w"), query_key).withColumnRenamed("norm", "qnorm")
+    found = dots.join(norms(weighted, doc_key), doc_key).join(qnorms, query_key)
     return found.select(query_key, doc_key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), digits).alias("score")).where("score > 0")

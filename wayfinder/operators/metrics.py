@@ -127,6 +127,33 @@ def answer_relevancy(specs: DataFrame, acts: DataFrame) -> DataFrame:
     return t.select("pid", F.coalesce(text.jaccard(F.col("asked"), F.col("words")), F.lit(0.0)).alias("answer_relevancy"))
 
 
+def feasible() -> Column:
+    """1 where every hotel, activity and ride of a plan is one that there is, of the kind it is used as."""
+    return F.when((F.col("entity_grounding_rate") >= 1) & (F.col("transport_grounding_rate") >= 1), 1.0).otherwise(0.0)
+
+
+def text_matches(said: Column, name: Column, raw: Column | None = None) -> Column:
+    """Whether a name in a plan is a candidate's: equal to its name or raw name, in it, or around it."""
+    t = text.normalize(said)
+    of = lambda x: (x != "") & (t.contains(x) | x.contains(t))
+    found = of(text.normalize(name)) if raw is None else of(text.normalize(name)) | of(text.normalize(raw))
+    return (t != "") & found
+
+
+def truth_ids(reference: DataFrame, pool: DataFrame) -> DataFrame:
+    """`(pid, cid)` of the candidates that a reference plan names: `reference(pid, name)` against `pool(pid, cid, name, ord)`.
+
+    A name that is a candidate's own wins (the last such), else the first candidate whose name
+    holds it or is held by it. Names meet inside one request's sandbox, which is bounded.
+    """
+    named = reference.select("pid", text.normalize(F.col("name")).alias("said")).where("said <> ''").distinct()
+    own = pool.select("pid", "cid", "ord", text.normalize(F.col("name")).alias("n")).where("n <> ''")
+    near = named.join(own, "pid").where(F.col("n").contains(F.col("said")) | F.col("said").contains(F.col("n")))
+    same = F.when(F.col("n") == F.col("said"), F.struct("ord", "cid"))
+    best = near.groupBy("pid", "said").agg(F.max(same).alias("same"), F.min(F.struct("ord", "cid")).alias("first"))
+    return best.select("pid", F.coalesce("same.cid", "first.cid").alias("cid")).distinct()
+
+
 def means(rows: DataFrame, by: str, names: list[str]) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in names))
 

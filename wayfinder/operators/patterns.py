@@ -14,16 +14,15 @@ KEPT, TOKENS = 8, 8
 
 def day_tokens(body: Column, day: Column, days: Column) -> Column:
     """The slot:action tokens of one day's text, by start and then line; the default day where no line parses."""
-    lines = F.transform(F.split(F.coalesce(body, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x))
-    lines = F.filter(lines, lambda x: x.rlike(HEADER))
+    lines = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x.rlike(HEADER))
 
     def parsed(line, i):
+        action = text.classify_action(F.regexp_extract(line, HEADER, 2))
         start = F.coalesce(text.parse_time_range(F.regexp_extract(line, HEADER, 1))["start"], F.lit(1440))
-        token = F.concat_ws(":", text.time_to_slot(start), text.classify_action(F.regexp_extract(line, HEADER, 2)))
-        return F.struct(start.alias("start"), i.alias("i"), token.alias("token"))
+        return text.let(F.struct(start.alias("start"), i.alias("i"), action.alias("action")), lambda x: F.struct(x["start"], x["i"], F.concat_ws(":", text.time_to_slot(x["start"]), x["action"]).alias("token")))
 
     found = F.slice(F.transform(F.sort_array(F.transform(lines, parsed)), lambda x: x["token"]), 1, TOKENS)
-    return F.when(F.size(found) > 0, found).otherwise(default_tokens(day, days))
+    return text.let(found, lambda tokens: F.when(F.size(tokens) > 0, tokens).otherwise(default_tokens(day, days)))
 
 
 def mine(itineraries: DataFrame) -> DataFrame:

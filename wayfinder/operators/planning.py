@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfinder.functions import text
@@ -26,7 +26,9 @@ def cheapest(transport: DataFrame, specs: DataFrame) -> DataFrame:
     """`(pid, direction, mode, number, start, end, price)`: the cheapest ride there and back, trains before flights."""
     there = specs.select("pid", F.lit("outbound").alias("direction"), F.col("departure").alias("from_city"), F.col("destination").alias("to_city"))
     back = specs.select("pid", F.lit("inbound").alias("direction"), F.col("destination").alias("from_city"), F.col("departure").alias("to_city"))
-    best = top(transport, 1, ["price", F.col("mode") == "flight", "number"], by=("from_city", "to_city"))  # once a route, not once a request
+    # once a route, not once a request; the least of a route is found in every task before the shuffle
+    ride = F.struct("price", (F.col("mode") == "flight").alias("air"), "number", "mode", "start", "end")
+    best = transport.groupBy("from_city", "to_city").agg(F.min(ride).alias("x")).select("from_city", "to_city", "x.*")
     return there.union(back).join(best, ["from_city", "to_city"]).select("pid", "direction", "mode", "number", "start", "end", "price")
 
 
@@ -46,6 +48,30 @@ def day_windows(specs: DataFrame, rides: DataFrame) -> DataFrame:
     return d.select("pid", "plan_day", "open", "close", F.when(room < 60, 0).otherwise(n).cast("long").alias("most"))
 
 
+def price_index(pool: DataFrame) -> DataFrame:
+    """`pool` with `cheap`, the place of a candidate among those of its type by price."""
+    return pool.withColumn("cheap", F.row_number().over(Window.partitionBy("pid", "etype").orderBy("price", "ord", "cid")).cast("long"))
+
+
+def hotel_of(chosen: DataFrame, pool: DataFrame) -> DataFrame:
+    """`(pid, cid, price, category, name)`: the first chosen hotel, else the cheapest of the sandbox."""
+    first = top(chosen.where("etype = 'hotel'"), 1, ["position"]).select("pid", "cid", F.lit(0).alias("_from"))
+    cheapest = price_index(pool.where("etype = 'hotel'")).where("cheap = 1").select("pid", "cid", F.lit(1).alias("_from"))
+    one = first.union(cheapest).groupBy("pid").agg(F.min(F.struct("_from", "cid")).alias("x")).select("pid", F.col("x.cid").alias("cid"))
+    return pool.select("pid", "cid", "price", "category", "name").join(one, ["pid", "cid"]).dropDuplicates(["pid"])
+
+
+def whole(acts: DataFrame, hotels: DataFrame, rides: DataFrame, specs: DataFrame) -> DataFrame:
+    """All rows of plans: `(pid, kind, plan_day, seq, start, end, action, cid, name, price, route)` for hotel, transport and activity."""
+    ends = specs.select("pid", "day", "departure", "destination")
+    there = F.col("direction") == "outbound"
+    route = F.when(there, F.concat_ws(" to ", "departure", "destination")).otherwise(F.concat_ws(" to ", "destination", "departure"))
+    h = hotels.select("pid", F.lit("hotel").alias("kind"), F.lit(1).cast("long").alias("plan_day"), "cid", "name", F.round("price", 2).alias("price"))
+    r = rides.join(ends, "pid").select("pid", F.lit("transport").alias("kind"), F.when(there, 1).otherwise(F.col("day")).cast("long").alias("plan_day"), "start", "end", F.col("mode").alias("action"), F.col("number").alias("name"), "price", route.alias("route"))
+    a = acts.select("pid", F.lit("activity").alias("kind"), "plan_day", "seq", "start", "end", "action", "cid", "name", F.round("price", 2).alias("price"))
+    return a.unionByName(h, allowMissingColumns=True).unionByName(r, allowMissingColumns=True)
+
+
 def needed() -> Column:
     """Minutes an activity takes: a meal an hour, a sight what it recommends within bounds."""
     d = text.duration_minutes(F.col("duration"))

@@ -7,6 +7,8 @@ the order of a sum does not decide.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,7 +72,7 @@ def top(rows: DataFrame, n: int | Column, order: list, by: tuple[str, ...] = ("p
     return rows.withColumn(at, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(at) <= n)
 
 
-def seeds(scored: DataFrame, topk: int = 30) -> DataFrame:
+def seeds(scored: DataFrame, topk: int | Column = 30) -> DataFrame:
     """The best `topk` by vector score; requests without scores take the 8 cheapest, hotels last."""
     scored = scored.withColumn("_any", F.count("vector").over(by_pid()))
     found = top(scored.where("vector is not null"), topk, [F.desc("vector"), "tier", "ord"])
@@ -128,8 +130,8 @@ def min_max(name: str, flat: float = 0.0) -> Column:
     return F.when(hi - lo < 1e-9, F.lit(flat)).otherwise((F.col(name) - lo) / (hi - lo))
 
 
-def fuse(items: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
-    """`items(vector, constraint, graph)` with raw_fused and fused."""
+def fuse(items: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
+    """`items(vector, constraint, graph)` with raw_fused and fused; weights are numbers or columns."""
     raw = sum(F.col(c) * w for c, w in zip(("vector", "constraint", "graph"), weights, strict=True))
     scaled = sum(min_max(c) * w for c, w in zip(("vector", "constraint", "graph"), weights, strict=True))
     return items.withColumn("raw_fused", F.round(raw, ROUND)).withColumn("fused", F.round(scaled, ROUND))
@@ -148,28 +150,41 @@ def _set_ratio(x: frozenset, y: frozenset) -> float:
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
-def rerank(items: DataFrame, limit: int = 20) -> DataFrame:
-    """Greedy diversity order, the first `limit`: `(pid, cid, position, rerank, penalty)`.
+def rerank(items: DataFrame, limit: int | Column = 20) -> DataFrame:
+    """Greedy diversity order, the first `limit` (a number or a column of the items): `(pid, cid, position, rerank, penalty)`.
 
     Sequential by nature: each pick depends on those before it. A request's items, a sandbox of
-    bounded size, are one pandas group; similarities are computed once against the last pick.
+    bounded size, are one row; similarities are computed once against the last pick. Worths are
+    rounded to ROUND digits before they are compared; of equal ones the earlier item wins.
     """
-    need = items.select("pid", "cid", "etype", "name", "fused", "tier", "ord", text.normalize(F.col("name")).alias("plain"), text.tokenize(F.col("text")).alias("tokens"), F.transform("tags", text.normalize).alias("tags"))
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["fused", "tier", "ord"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        tokens, tags = [frozenset(x) for x in rows["tokens"]], [frozenset(x) for x in rows["tags"]]
-        closest, left, out, hotels = [0.0] * len(rows), list(range(len(rows))), [], 0
-        while left and len(out) < limit:
-            penalty = {i: closest[i] + (HOTEL_PENALTY if rows.at[i, "etype"] == "hotel" and hotels else 0.0) for i in left}
-            worth = {i: LAMBDA * rows.at[i, "fused"] - (1 - LAMBDA) * closest[i] - (penalty[i] - closest[i]) for i in left}
-            best = max(left, key=lambda i: (worth[i], -left.index(i))) if out else left[0]
-            out.append((rows.at[best, "cid"], worth[best] if len(out) else rows.at[best, "fused"], penalty[best] if len(out) else 0.0))
-            hotels += rows.at[best, "etype"] == "hotel"
+    most = F.lit(limit) if isinstance(limit, int) else limit
+    item = F.struct((-F.col("fused")).alias("f"), "tier", "ord", "cid", "etype", text.normalize(F.col("name")).alias("plain"), text.tokenize(F.col("text")).alias("tokens"), F.transform("tags", text.normalize).alias("tags"))
+    need = items.select("pid", most.cast("int").alias("most"), item.alias("x")).groupBy("pid").agg(F.max("most").alias("most"), F.sort_array(F.collect_list("x")).alias("items"))
+
+    def pick(pid: int, most: int, rows: list) -> Iterator[tuple]:
+        tokens, tags = [frozenset(x["tokens"]) for x in rows], [frozenset(x["tags"]) for x in rows]
+        closest, left, hotels, position, best = [0.0] * len(rows), list(range(len(rows))), 0, 0, None
+        while left and position < most:
+            if best is None:
+                at, worth, penalty = 0, -rows[0]["f"], 0.0
+            else:
+                extra = lambda i: HOTEL_PENALTY if rows[i]["etype"] == "hotel" and hotels else 0.0  # noqa: B023, E731
+                worths = [round(LAMBDA * -rows[i]["f"] - (1 - LAMBDA) * closest[i] - extra(i), ROUND) for i in left]
+                worth = max(worths)
+                at = left[worths.index(worth)]
+                penalty = closest[at] + extra(at)
+            best = at
+            position += 1
+            yield pid, rows[best]["cid"], position, worth, penalty
+            hotels += rows[best]["etype"] == "hotel"
             left.remove(best)
             for i in left:
-                near = 0.45 * _set_ratio(tokens[i], tokens[best]) + 0.25 * _set_ratio(tags[i], tags[best]) + 0.2 * (rows.at[i, "etype"] == rows.at[best, "etype"]) + 0.1 * (rows.at[i, "plain"] == rows.at[best, "plain"])
+                near = 0.45 * _set_ratio(tokens[i], tokens[best]) + 0.25 * _set_ratio(tags[i], tags[best]) + 0.2 * (rows[i]["etype"] == rows[best]["etype"]) + 0.1 * (rows[i]["plain"] == rows[best]["plain"])
                 closest[i] = max(closest[i], min(1.0, near))
-        return pd.DataFrame({"pid": rows.at[0, "pid"], "cid": [x[0] for x in out], "position": range(1, len(out) + 1), "rerank": [x[1] for x in out], "penalty": [x[2] for x in out]})
 
-    return need.groupBy("pid").applyInPandas(pick, "pid long, cid string, position long, rerank double, penalty double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [r for pid, most, items in zip(batch["pid"], batch["most"], batch["items"], strict=True) for r in pick(pid, most, items)]
+            yield pd.DataFrame(rows, columns=["pid", "cid", "position", "rerank", "penalty"])
+
+    return need.mapInPandas(run, "pid long, cid string, position long, rerank double, penalty double")

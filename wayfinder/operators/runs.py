@@ -38,17 +38,23 @@ def module_deltas(stats: DataFrame, metrics: list[str]) -> DataFrame:
     return stats.groupBy("module").agg(*((of(m, False) - of(m, True) if m in LOWER_BETTER else of(m, True) - of(m, False)).alias(m) for m in metrics))
 
 
-def order_for(target: str) -> list[Column]:
-    """Best first: the target, then constraint satisfaction, feasibility, personalisation and route ratio."""
-    lead = F.coalesce(target, F.lit(999999.0)).asc() if target in LOWER_BETTER else F.coalesce(target, F.lit(0.0)).desc()
-    other = [F.coalesce(c, F.lit(0.0)).desc() for c in ("constraint_satisfaction_rate", "feasibility_pass_rate", "personalization_proxy")]
-    return [lead, *other, F.coalesce("average_route_distance_ratio", F.lit(999999.0)).asc()]
+#: What decides between runs that the target leaves equal, in order.
+KEYS = ("constraint_satisfaction_rate", "feasibility_pass_rate", "personalization_proxy", "average_route_distance_ratio")
 
 
-def sweep_order(target: str) -> list[Column]:
+def _best_first(c: str) -> Column:
+    return F.coalesce(c, F.lit(999999.0)).asc() if c in LOWER_BETTER else F.coalesce(c, F.lit(0.0)).desc()
+
+
+def order_for(target: str, keys: tuple[str, ...] = KEYS) -> list[Column]:
+    """Best first: the target, then the keys."""
+    return [_best_first(c) for c in (target, *keys)]
+
+
+def sweep_order(target: str, keys: tuple[str, ...] = KEYS) -> list[Column]:
     """The order of a settings sweep: every key descends, and all ascend where less of the target is better."""
-    keys = [F.coalesce(c, F.lit(0.0)) for c in (target, "constraint_satisfaction_rate", "feasibility_pass_rate", "personalization_proxy")] + [-F.coalesce("average_route_distance_ratio", F.lit(999999.0))]
-    return [k.asc() if target in LOWER_BETTER else k.desc() for k in keys]
+    values = [-F.coalesce(c, F.lit(999999.0)) if c in LOWER_BETTER and c != target else F.coalesce(c, F.lit(0.0)) for c in (target, *keys)]
+    return [v.asc() if target in LOWER_BETTER else v.desc() for v in values]
 
 
 def ranked(rows: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
@@ -62,12 +68,16 @@ def bests(rows: DataFrame, target: str) -> DataFrame:
     return rows.groupingSets([[F.col("method")], [F.col("model"), F.col("method")], [F.col("hops"), F.col("method")]], "method", "model", "hops").agg(best.alias("best"), F.count("*").alias("n"))
 
 
-def default_best(rows: DataFrame, limit: int = 1) -> DataFrame:
-    return rows.orderBy(F.desc("constraint_satisfaction_rate"), "average_route_distance_ratio", F.desc("ndcg_at_5"), "run_id").limit(limit)
+#: The order of the default choice among runs.
+DEFAULT = ("constraint_satisfaction_rate", "average_route_distance_ratio", "ndcg_at_5")
+
 
+def default_best(rows: DataFrame, limit: int = 1, keys: tuple[str, ...] = DEFAULT) -> DataFrame:
+    return rows.orderBy(*(F.col(c).asc() if c in LOWER_BETTER else F.col(c).desc() for c in keys), "run_id").limit(limit)
 
-def route_best(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("average_route_distance_ratio", "run_id").limit(1)
+
+def route_best(rows: DataFrame, key: str = "average_route_distance_ratio") -> DataFrame:
+    return default_best(rows, 1, (key,))
 
 
 def strong_subspace(rows: DataFrame, metrics: list[str]) -> DataFrame:
@@ -81,3 +91,15 @@ def topk_stats(rows: DataFrame, metrics: list[str]) -> DataFrame:
 def scatter_group() -> Column:
     part = lambda c, name: F.concat(F.lit(f"{name}_"), F.when(F.col(c), "on").otherwise("off"))
     return F.concat_ws("_", part("use_community_retrieval", "community"), part("use_summary_layer", "summary"))
+
+
+def lookup(rows: DataFrame, run_id: str | None, order: list[Column]) -> DataFrame:
+    """The run with an id, or the first in order where none has it."""
+    return rows.withColumn("_other", F.coalesce(F.col("run_id") != F.lit(run_id), F.lit(True))).orderBy("_other", *order).limit(1).drop("_other")
+
+
+def top_runs(rows: DataFrame, ids: list[str], order: list[Column], n: int = 5) -> DataFrame:
+    """The runs with these ids in their order, or where there are none the first `n`."""
+    at = F.array_position(F.array(*map(F.lit, ids)) if ids else F.array().cast("array<string>"), F.col("run_id"))
+    known = rows.withColumn("_at", at).withColumn("_any", F.max("_at").over(Window.partitionBy()))  # a row for each run
+    return known.where("_at > 0 or _any = 0").orderBy("_at", *order).limit(n).drop("_at", "_any")

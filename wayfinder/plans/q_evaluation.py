@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfinder.functions.scratch import cut
-from wayfinder.operators import checks, graph, metrics, planning, runs, summary
+from wayfinder.operators import checks, graph, methods, metrics, planning, runs, serial, summary
 from wayfinder.operators import retrieval as R
-from wayfinder.plans.q_retrieval import HAV, KM, items
+from wayfinder.plans.q_retrieval import CELLS, CONS, FUSED, HAV, KM, SCALED, items
 from wayfinder.plans.registry import query
 
 RIDES = """best as (select * from (select *, row_number() over (partition by from_city, to_city order by price, mode = 'flight', number) as k from transport) where k = 1),
@@ -24,7 +24,7 @@ totals as (select s.pid, coalesce(h.price, 0) * day as hotel_total, coalesce((se
 
 
 def hotels(w):
-    return R.top(w.pool.where("etype = 'hotel'"), 1, ["price", "cid"]).select("pid", "cid", "price", "category")
+    return R.top(w.sandbox.where("etype = 'hotel'"), 1, ["price", "cid"]).select("pid", "cid", "price", "category")
 
 
 def rides(w):
@@ -105,39 +105,86 @@ def _feasible(w):
     return metrics.transport_feasibility(w.specs, w.plans, rides(w)).withColumnRenamed("transport_time_feasibility", "rate")
 
 
-CHECKS = f"""{TOTALS}, {ROUTE},
-a as (select pid, bool_and(action <> 'dining' or lo is null or price between lo and hi) as meal_ok, bool_and(action <> 'sightseeing' or opening is null or (start >= 480 and stop <= {CLOSE})) as opening_ok,
-  bool_and(coalesce(stop - start >= {NEED}, true)) as stay_ok, min(start) filter (where plan_day = 1) as f, max(stop) filter (where plan_day = day) as l, count(*) as n from plans group by pid),
-clash as (select distinct a.pid from plans a join plans b on a.pid = b.pid and a.plan_day = b.plan_day and a.seq < b.seq and a.start < b.stop and b.start < a.stop),
+#: Plans with faults: places that no sandbox has, and places visited twice on a day.
+FAULTY = """faulty as (select pid, plan_day, seq, start, stop, action, cid, price, etype, lat, lon, opening, duration from plans
+  union all select pid, 1, 90, 1290, 1310, 'sightseeing', 'attraction:none-' || pid, 7e0, null, null, null, null, null from spec where pid % 3 = 0
+  union all select pid, plan_day, 91, 1311, 1319, action, cid, price, etype, lat, lon, opening, duration from plans where plan_day = 1 and seq = 1 and pid % 4 = 0)"""
+
+
+def faulty(w):
+    columns = ["pid", "plan_day", "seq", "start", "end", "action", "cid", "price", "etype", "lat", "lon", "opening", "duration"]
+    value = lambda c, x: F.lit(x).cast(w.plans.schema[c].dataType).alias(c)
+    foreign = w.specs.where("pid % 3 = 0").select("pid", value("plan_day", 1), value("seq", 90), value("start", 1290), value("end", 1310), value("action", "sightseeing"), F.concat(F.lit("attraction:none-"), F.col("pid").cast("string")).alias("cid"), value("price", 7.0), *(value(c, None) for c in columns[8:]))
+    again = w.plans.where("plan_day = 1 and seq = 1 and pid % 4 = 0").select("pid", "plan_day", value("seq", 91), value("start", 1311), value("end", 1319), *columns[5:])
+    return cut(w.plans.select(*columns).unionByName(foreign).unionByName(again))
+
+
+CHECKS = f"""{FAULTY}, {TOTALS.replace('from plans', 'from faulty')}, {ROUTE.replace('from plans', 'from faulty where lat is not null')},
+a as (select f.pid, bool_and(action <> 'dining' or lo is null or price between lo and hi) as meal_ok, bool_and(action <> 'sightseeing' or opening is null or (start >= 480 and stop <= {CLOSE})) as opening_ok,
+  bool_and(coalesce(stop - start >= {NEED}, true)) as stay_ok, min(start) filter (where plan_day = 1) as f, max(stop) filter (where plan_day = day) as l, count(*) as n from faulty f join spec using (pid) group by f.pid),
+clash as (select distinct a.pid from faulty a join faulty b on a.pid = b.pid and a.plan_day = b.plan_day and a.seq < b.seq and a.start < b.stop and b.start < a.stop),
+foreign_ as (select distinct f.pid from faulty f anti join pool p on p.pid = f.pid and p.cid = f.cid), twice as (select distinct pid from (select pid from faulty group by pid, plan_day, cid having count(*) > 1)),
 km as (select pid, sum(km) / count(*) as km from dayk where stops >= 2 group by pid),
-checked as (select s.pid, h.cid is not null and coalesce(a.n, 0) > 0 and (s.departure = '' or s.destination = '' or (x.pid is not null and y.pid is not null)) as content_ok, true as sandbox_ok, coalesce(hotel_total + transport_total + activity_total <= s.budget, true) as budget_ok, coalesce(meal_ok, true) as meal_ok,
-  s.pid not in (select pid from clash) as time_ok, true as dedup_ok, coalesce(km.km <= 85, true) as route_ok, coalesce(opening_ok, true) as opening_ok, coalesce(stay_ok, true) as stay_ok, coalesce(x.stop + 30 <= a.f, true) and coalesce(a.l + 30 <= y.start, true) as transport_ok
+checked as (select s.pid, h.cid is not null and coalesce(a.n, 0) > 0 and (s.departure = '' or s.destination = '' or (x.pid is not null and y.pid is not null)) as content_ok, s.pid not in (select pid from foreign_) as sandbox_ok, coalesce(hotel_total + transport_total + activity_total <= s.budget, true) as budget_ok, coalesce(meal_ok, true) as meal_ok,
+  s.pid not in (select pid from clash) as time_ok, s.pid not in (select pid from twice) as dedup_ok, coalesce(km.km <= 85, true) as route_ok, coalesce(opening_ok, true) as opening_ok, coalesce(stay_ok, true) as stay_ok, coalesce(x.stop + 30 <= a.f, true) and coalesce(a.l + 30 <= y.start, true) as transport_ok
   from spec s join totals using (pid) left join a on a.pid = s.pid left join km on km.pid = s.pid left join hotels h on h.pid = s.pid left join rides x on x.pid = s.pid and x.direction = 'outbound' left join rides y on y.pid = s.pid and y.direction = 'inbound')"""
 
 
 @query("validator_checks", "pid long, content_ok boolean, sandbox_ok boolean, budget_ok boolean, meal_ok boolean, time_ok boolean, dedup_ok boolean, route_ok boolean, opening_ok boolean, stay_ok boolean, transport_ok boolean, passed boolean",
        "select *, content_ok and sandbox_ok and budget_ok and meal_ok and time_ok and dedup_ok and route_ok and opening_ok and stay_ok and transport_ok as passed from checked", CHECKS)
 def _checks(w):
-    return checks.validate(w.specs, w.plans, hotels(w), rides(w), w.pool)
+    return checks.validate(w.specs, faulty(w), hotels(w), rides(w), w.sandbox)
 
 
-@query("grounding_rates", "pid long, entity_grounding_rate double, faithfulness double, evidence_grounding_rate double", f"""select pid, (acts + beds) / (acts + beds)::double as entity_grounding_rate, least(acts, 1)::double as faithfulness, ev / greatest(1, acts)::double as evidence_grounding_rate from (
-  select coalesce(a.pid, h.pid) as pid, coalesce(acts, 0) as acts, coalesce(ev, 0) as ev, (h.pid is not null)::int as beds from (select p.pid, count(*) as acts, count(t.cid) as ev from plans p left join truth t on t.pid = p.pid and t.cid = p.cid group by p.pid) a full join hotels h on a.pid = h.pid)""", HOTELS)
+@query("grounding_rates", "pid long, entity_grounding_rate double, faithfulness double, evidence_grounding_rate double, feasibility_pass_rate double", """select pid, ok / n::double as entity_grounding_rate, there / greatest(1, acts)::double as faithfulness, ev / greatest(1, acts)::double as evidence_grounding_rate, (ok = n)::int::double as feasibility_pass_rate from (
+  select pid, count(*) as n, sum(ok) as ok, sum(act) as acts, sum(there) as there, sum(ev) as ev from (
+    select f.pid, 1 as act, coalesce((f.action = 'dining') = (p.etype = 'restaurant'), false)::int as ok, (p.cid is not null)::int as there, (t.cid is not null)::int as ev from faulty f left join pool p on p.pid = f.pid and p.cid = f.cid left join truth t on t.pid = f.pid and t.cid = f.cid
+    union all select pid, 0, 1, 0, 0 from hotels) group by pid)""", f"{FAULTY}, {HOTELS}")
 def _grounding(w):
-    return metrics.grounding(w.plans, hotels(w), w.pool, w.truth)
+    found = metrics.grounding(faulty(w), hotels(w), w.sandbox, w.truth).withColumn("transport_grounding_rate", F.lit(1.0))
+    return found.withColumn("feasibility_pass_rate", metrics.feasible())
+
+
+@query("truth_ids", "pid long, cid string", """select distinct r.pid, coalesce(arg_max(p.cid, p.ord) filter (where lower(p.name) = said), arg_min(p.cid, p.ord)) as cid
+  from (select distinct pid, lower(case when k % 2 = 0 then name else split_part(name, ' ', 1) end) as said from truth) r join pool p on p.pid = r.pid and (contains(lower(p.name), said) or contains(said, lower(p.name))) group by r.pid, said""")
+def _truth_ids(w):
+    """What reference plans name, half of them by a part of the name only."""
+    said = F.when(F.col("k") % 2 == 0, F.col("name")).otherwise(F.split_part("name", F.lit(" "), F.lit(1)))
+    return metrics.truth_ids(w.truth.select("pid", said.alias("name")), w.sandbox)
+
+
+@query("resolve_refs", "pid long, at string, ref string, etype string, cid string", """select r.*, case when bool_or(p.cid = ref) then max(p.cid) filter (where p.cid = ref and p.etype = r.etype) else arg_min(p.cid, p.ord) filter (where p.etype = r.etype and (contains(lower(name), lower(ref)) or contains(lower(ref), lower(name)))) end as cid
+  from (select pid, cid as at, case k % 3 when 0 then cid when 1 then upper(name) else split_part(name, ' ', 1) end as ref, case when k % 5 = 0 then 'hotel' else etype end as etype from truth) r join pool p on p.pid = r.pid group by all""")
+def _resolved(w):
+    """References of a model to candidates: ids, names, parts of names, some with a type they do not have."""
+    k = F.col("k")
+    ref = F.when(k % 3 == 0, F.col("cid")).when(k % 3 == 1, F.upper("name")).otherwise(F.split_part("name", F.lit(" "), F.lit(1)))
+    refs = w.truth.select("pid", F.col("cid").alias("at"), ref.alias("ref"), F.when(k % 5 == 0, "hotel").otherwise(F.col("etype")).alias("etype"))
+    return serial.resolved(refs, w.sandbox)
+
+
+@query("plan_text", "pid long, said string", f"""select pid, string_agg(line, chr(10) order by part) as said from (
+  select pid, 0 as part, 'hotel: day 1: ' || name || printf(' (%.2f/night)', floor(price)) as line from (select h.pid, h.price, p.name from hotels h join pool p on p.pid = h.pid and p.cid = h.cid)
+  union all select pid, 1, 'transport: ' || string_agg('day ' || d || ': ' || mode || ' ' || f || ' to ' || t || ' ' || number || ' ' || {{0}} || printf(' %.2f', floor(price)), '; ' order by d, number) from (select s.pid, mode, number, r.start, r.stop, r.price, case when direction = 'outbound' then 1 else day end as d, case when direction = 'outbound' then departure else destination end as f, case when direction = 'outbound' then destination else departure end as t from rides r join spec s using (pid)) group by pid
+  union all select pid, plan_day + 1, 'day_' || plan_day || ': ' || string_agg({{0}} || ' ' || action || ' ' || name || printf(' (%.2f)', floor(price)), '; ' order by seq) from plans group by pid, plan_day) group by pid""".replace("{0}", "printf('%02d:%02d-%02d:%02d', start // 60 % 24, start % 60, stop // 60 % 24, stop % 60)"), f"{RIDES}, {HOTELS}")
+def _plan_text(w):
+    """Whole plans as a judge reads them, prices in whole units."""
+    beds = hotels(w).join(w.sandbox.select("pid", "cid", "name"), ["pid", "cid"])
+    units = lambda rows: rows.withColumn("price", F.floor("price").cast("double"))
+    return serial.plan_form(planning.whole(units(w.plans), units(beds), units(rides(w)), w.specs))
 
 
 @query("context_metrics", "pid long, context_precision double, context_recall double", """select coalesce(a.pid, b.pid) as pid, coalesce(p, 0) as context_precision, coalesce(r, 0) as context_recall from (select x.pid, count(e.cid) / count(*)::double as p from plans x left join ev e on e.pid = x.pid and e.cid = x.cid group by x.pid) a
   full join (select x.pid, count(e.cid) / count(*)::double as r from truth x left join ev e on e.pid = x.pid and e.cid = x.cid group by x.pid) b on a.pid = b.pid""", "ev as (select pid, cid from pool where (k + pid) % 2 = 0)")
 def _context(w):
-    return metrics.context(w.plans, w.pool.where((F.col("k") + F.col("pid")) % 2 == 0), w.truth)
+    return metrics.context(w.plans, w.sandbox.where((F.col("k") + F.col("pid")) % 2 == 0), w.truth)
 
 
 RANKED = "ev as (select pid, cid, row_number() over (partition by pid order by (k * 31 + pid) % 997, cid) as position from pool)"
 
 
 def evidence(w):
-    return w.pool.withColumn("position", F.row_number().over(Window.partitionBy("pid").orderBy((F.col("k") * 31 + F.col("pid")) % 997, "cid")))
+    return w.sandbox.withColumn("position", F.row_number().over(Window.partitionBy("pid").orderBy((F.col("k") * 31 + F.col("pid")) % 997, "cid")))
 
 
 @query("ranking_metrics", "pid long, recall_at_5 double, ndcg_at_5 double, recall_at_10 double, ndcg_at_10 double", """select e.pid, """ + ", ".join(
@@ -168,36 +215,86 @@ def _schema(w):
     return metrics.schema_validity(w.plans, hotels(w), rides(w)).withColumnRenamed("schema_validity_rate", "rate")
 
 
-MEASURE = "m as (select user_id as pid, event_type as method, sum(value) as score, count(*) as n from events group by all)"
+RANKS = ", ".join(f"coalesce(count(t.cid) filter (where position <= {k}) / nullif(max(n), 0)::double, 0) as recall_at_{k}, coalesce(coalesce(sum(1 / log2(position + 1)) filter (where t.cid is not null and position <= {k}), 0) / max(list_sum(list_transform(range(1, least(n, {k}) + 1), lambda i: 1 / log2(i + 1)))), 0) as ndcg_at_{k}" for k in (5, 10))
+ORDERINGS = ["constraint", "fused", "graph", "vector"]
+MEASURE = f"""{FUSED}, sorted_ as (select pid, cid, method, row_number() over (partition by pid, method order by round(s, 8) desc, tier, ord) as position from (select pid, cid, tier, ord, unnest(['constraint', 'fused', 'graph', 'vector']) as method, unnest([constraint_score, fused, graph, vector]) as s from placed)),
+m as (select e.pid, method, {RANKS} from sorted_ e left join (select pid, count(*) as n from truth group by pid) c on c.pid = e.pid left join truth t on t.pid = e.pid and t.cid = e.cid group by e.pid, method)"""
 
 
 def measured(w):
-    return w.table("events").groupBy(F.col("user_id").alias("pid"), F.col("event_type").alias("method")).agg(F.sum("value").alias("score"), F.count("*").alias("n"))
+    """Recall and gain of the candidates of each request, ordered by one score after the other."""
+    scores = [F.round(c, 8).alias(c) for c in ORDERINGS]
+    long = items(w).select("pid", "cid", "tier", "ord", *scores).unpivot(["pid", "cid", "tier", "ord"], ORDERINGS, "method", "score")
+    at = F.array_position(F.array(*map(F.lit, ORDERINGS)), F.col("method"))
+    keyed = long.select((F.col("pid") * 8 + at).alias("pid"), "cid", F.row_number().over(Window.partitionBy("pid", "method").orderBy(F.desc("score"), "tier", "ord")).alias("position"))
+    truth = w.truth.select(F.explode(F.sequence(F.col("pid") * 8 + 1, F.col("pid") * 8 + len(ORDERINGS))).alias("pid"), "cid")
+    found = metrics.ranking(keyed, truth)
+    return found.withColumn("method", F.element_at(F.array(*map(F.lit, ORDERINGS)), (F.col("pid") % 8).cast("int"))).withColumn("pid", F.floor(F.col("pid") / 8))
 
 
-@query("metric_means", "method string, n long, score double", "select method, count(*) as n, avg(score) as score from m group by method", MEASURE)
+@query("metric_means", "method string, n long, recall_at_5 double, ndcg_at_5 double, recall_at_10 double, ndcg_at_10 double", "select method, count(*) as n, avg(recall_at_5) as recall_at_5, avg(ndcg_at_5) as ndcg_at_5, avg(recall_at_10) as recall_at_10, avg(ndcg_at_10) as ndcg_at_10 from m group by method", MEASURE)
 def _means(w):
-    return metrics.means(measured(w), "method", ["score"])
+    return metrics.means(measured(w), "method", ["recall_at_5", "ndcg_at_5", "recall_at_10", "ndcg_at_10"])
 
 
-@query("win_rate_vs_baseline", "method string, win_rate double", "select a.method, case when a.method = 'click' then 0 else avg((a.score > b.score)::int) end as win_rate from m a join m b on a.pid = b.pid and b.method = 'click' group by a.method", MEASURE)
+@query("win_rate_vs_baseline", "method string, win_rate double", "select a.method, case when a.method = 'vector' then 0 else avg((round(a.ndcg_at_10, 9) > round(b.ndcg_at_10, 9))::int) end as win_rate from m a join m b on a.pid = b.pid and b.method = 'vector' group by a.method", MEASURE)
 def _wins(w):
-    return metrics.win_rates(measured(w), "score", "click")
+    return metrics.win_rates(measured(w).withColumn("ndcg_at_10", F.round("ndcg_at_10", 9)), "ndcg_at_10", "vector")
+
+
+@query("metric_rows", "method string, metric string, value double", " union all ".join(f"select method, '{c}' as metric, avg({c}) as value from m group by method" for c in ("recall_at_5", "ndcg_at_5")), MEASURE)
+def _flat(w):
+    means = metrics.means(measured(w), "method", ["recall_at_5", "ndcg_at_5"]).drop("n")
+    return serial.flat(means, ["recall_at_5", "ndcg_at_5"])
 
 
+#: The runs of a sweep over retrieval, each with the means over all requests of what its ranking finds.
 GRID = """g0 as (select h, v, f, e, c, s from unnest([1, 2]) a(h), unnest([20, 30]) b(v), unnest([15, 20]) d(f), unnest([true, false]) x(e), unnest([true, false]) y(c), unnest([true, false]) z(s) where e or not c),
-grid as (select row_number() over (order by h, v, f, e desc, c desc, s desc) as run_index, h as hops, v as topk_vector, f as topk_final, true as use_vector, e as use_graph_expansion, c as use_community_retrieval, s as use_summary_layer from g0),
-rows as (select *, 'run_' || lpad(run_index::varchar, 3, '0') as run_id, (run_index * 37 % 101) / 101e0 as constraint_satisfaction_rate, (run_index * 53 % 97) / 39e0 as average_route_distance_ratio, (run_index * 29 % 89) / 88e0 as ndcg_at_5, (run_index * 41 % 83) / 82e0 as personalization_proxy, (run_index % 2)::double as feasibility_pass_rate, ['a', 'b', 'c'][run_index % 3 + 1] as method, ['m', 'n'][run_index % 2 + 1] as model from grid)"""
-M4 = ["constraint_satisfaction_rate", "average_route_distance_ratio", "ndcg_at_5", "personalization_proxy"]
+grid as (select row_number() over (order by h, v, f, e desc, c desc, s desc) as run_index, h as hops, v as topk_vector, f as topk_final, true as use_vector, e as use_graph_expansion, c as use_community_retrieval, s as use_summary_layer from g0)"""
+ROWS = f"""{CONS}, {CELLS}, {GRID},
+deg as (select cid, etype = 'attraction' as sight, len(list_distinct(list_transform(tags[1:6], lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '-')))) as tags, (select count(*) from near where a = cid) as near from cand),
+tv as (select distinct topk_vector as tv from grid), rseed as (select tv, pid, cid from ranked, tv where vrank <= tv and vector is not null),
+rhits as (select tv, s.pid, s.cid, count(*) as hits from scored s join near on a = s.cid join rseed r on r.pid = s.pid and r.cid = near.b group by all),
+rgraph as (select tv.tv, c.pid, c.cid, c.etype, c.tier, c.ord, coalesce(c.vector, 0) as vector, c.constraint_score, rs.cid is not null as is_seed, h.hits is not null as is_near, coalesce(m.city || '/' || m.cy || '/' || m.cx, c.cid) as community,
+    round(least(1.5e0, (1.5e0 * coalesce(h.hits, 0) + 1 + 0.7e0 * (1 + sight::int + deg.tags)) / (3 + sight::int + deg.tags + deg.near) + case when rs.cid is not null then 0.35e0 else 0 end), 8) as graph
+  from cons c cross join tv join deg using (cid) left join cellm m on m.cid = c.cid left join rhits h on h.tv = tv.tv and h.pid = c.pid and h.cid = c.cid left join rseed rs on rs.tv = tv.tv and rs.pid = c.pid and rs.cid = c.cid),
+rin as (select run_index, topk_final, use_community_retrieval, r.* from grid join rgraph r on tv = topk_vector where not use_graph_expansion or hops >= 2 or is_seed or is_near),
+rsize as (select *, row_number() over (partition by run_index, pid order by overlap desc, size desc, community) as k, max(overlap) over (partition by run_index, pid) as best from (select run_index, pid, community, count(*) filter (where is_seed) as overlap, count(*) as size from rin where use_community_retrieval group by all)),
+rkept as (select rin.* from rin left join rsize z on z.run_index = rin.run_index and z.pid = rin.pid and z.community = rin.community where not use_community_retrieval or (best > 0 and overlap = best) or (best = 0 and k = 1)),
+rfused as (select *, round(0.5e0 * {SCALED.format('vector')} + 0.25e0 * {SCALED.format('constraint_score')} + 0.25e0 * {SCALED.format('graph')}, 10) as fused from rkept window p as (partition by run_index, pid)),
+rplaced as (select * from (select *, row_number() over (partition by run_index, pid order by fused desc, tier, ord) as position from rfused) where position <= topk_final),
+rper as (select run_index, e.pid, {RANKS} from rplaced e left join (select pid, count(*) as n from truth group by pid) c on c.pid = e.pid left join truth t on t.pid = e.pid and t.cid = e.cid group by run_index, e.pid),
+rows as (select grid.*, 'run_' || lpad(run_index::varchar, 3, '0') as run_id, case when use_community_retrieval then 'community' when use_graph_expansion then 'expanded' else 'plain' end as method, 'top' || topk_vector as model, recall_at_5, ndcg_at_5, recall_at_10, ndcg_at_10
+  from grid join (select run_index, {', '.join(f'round(avg({c}), 9) as {c}' for c in ('recall_at_5', 'ndcg_at_5', 'recall_at_10', 'ndcg_at_10'))} from rper group by run_index) using (run_index))"""
+M4 = ["recall_at_5", "ndcg_at_5", "recall_at_10", "ndcg_at_10"]
 M4_COLUMNS = ", ".join(f"{m} double" for m in M4)
 M4_SQL = ", ".join(f"avg({m}) as {m}" for m in M4)
+_swept: dict[tuple[str, str], list] = {}
+
+
+def bundle(w):
+    """The trip tables as what runs read; reference activities lie on the days that their keys give."""
+    from wayfinder.plans.q_graph import mined, the_graph
+
+    truth = w.truth.select("pid", "cid", (1 + F.col("k") % F.col("day")).alias("plan_day"), F.col("ord").alias("seq"), "lat", "lon")
+    return methods.Bundle(w.specs, w.sandbox, w.candidates, cut(w.transport), truth, the_graph(w)[1], graph.skeletons(w.spark, mined(w)))
 
 
 def run_rows(w):
-    """Runs of the grid with made-up, fixed metrics."""
-    i = F.col("run_index")
-    at = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
-    return runs.grid(w.spark).select("*", (i * 37 % 101 / 101).alias(M4[0]), (i * 53 % 97 / 39).alias(M4[1]), (i * 29 % 89 / 88).alias(M4[2]), (i * 41 % 83 / 82).alias(M4[3]), (i % 2).cast("double").alias("feasibility_pass_rate"), at("abc").alias("method"), at("mn").alias("model"))
+    """Each run of the sweep with the means of what its ranking finds: 48 rows, the same for every query of a session."""
+    key = (w.spark.sparkContext.applicationId, w.dir)
+    if key not in _swept:
+        b, settings = bundle(w), methods.grid(w.spark)
+        found = methods.fused(methods.searched(b), methods.table(w.spark, settings), b)
+        top = found.withColumn("position", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("fused"), "tier", "ord"))).where("position <= topk_final")
+        truth = methods.keyed(b.truth.select("pid", "cid"), methods.table(w.spark, settings))
+        per = metrics.ranking(top, truth).withColumn("run_index", F.col("pid") % methods.RUNS + 1)
+        means = per.groupBy("run_index").agg(*(F.round(F.avg(m), 9).alias(m) for m in M4))
+        _swept.clear()
+        _swept[key] = means.collect()
+    means = w.spark.createDataFrame(_swept[key], "run_index long, " + M4_COLUMNS)
+    method = F.when(F.col("use_community_retrieval"), "community").when(F.col("use_graph_expansion"), "expanded").otherwise("plain")
+    return runs.grid(w.spark).join(means, "run_index").select("*", method.alias("method"), F.concat(F.lit("top"), F.col("topk_vector").cast("string")).alias("model"))
 
 
 @query("ablation_grid", "run_index long, hops long, topk_vector long, topk_final long, w_vector double, use_graph_expansion boolean, use_community_retrieval boolean, use_summary_layer boolean", "select *, 0.5e0 as w_vector from grid", GRID)
@@ -205,91 +302,129 @@ def _grid(w):
     return runs.grid(w.spark)
 
 
+@query("retrieval_runs", f"run_id string, {M4_COLUMNS}", "select * from rows", ROWS)
+def _runs(w):
+    return run_rows(w)
+
+
 UNPIVOT = "long as (" + " union all ".join(f"select '{m}' as module, {m} as state, * from rows" for m in runs.MODULES) + ")"
 
 
-@query("module_on_off", f"module string, state boolean, {M4_COLUMNS}", f"select module, state, {M4_SQL} from long group by module, state", f"{GRID}, {UNPIVOT}")
+@query("module_on_off", f"module string, state boolean, {M4_COLUMNS}", f"select module, state, {M4_SQL} from long group by module, state", f"{ROWS}, {UNPIVOT}")
 def _modules(w):
     return runs.module_stats(run_rows(w), M4)
 
 
-@query("module_delta", f"module string, {M4_COLUMNS}", "select module, " + ", ".join(f"{'-1 * ' if m in runs.LOWER_BETTER else ''}(avg({m}) filter (where state) - avg({m}) filter (where not state)) as {m}" for m in M4) + " from long group by module", f"{GRID}, {UNPIVOT}")
+@query("module_delta", f"module string, {M4_COLUMNS}", "select module, " + ", ".join(f"round(avg({m}) filter (where state) - avg({m}) filter (where not state), 9) + 0e0 as {m}" for m in M4) + " from long group by module", f"{ROWS}, {UNPIVOT}")
 def _deltas(w):
-    return runs.module_deltas(runs.module_stats(run_rows(w), M4), M4)
+    found = runs.module_deltas(runs.module_stats(run_rows(w), M4), M4)
+    return found.select("module", *((F.round(m, 9) + 0.0).alias(m) for m in M4))  # no negative zero
 
 
-@query("topk_stats", f"topk_final long, {M4_COLUMNS}", f"select topk_final, {M4_SQL} from rows group by topk_final", GRID)
+@query("topk_stats", f"topk_final long, {M4_COLUMNS}", f"select topk_final, {M4_SQL} from rows group by topk_final", ROWS)
 def _topk(w):
     return runs.topk_stats(run_rows(w), M4)
 
 
-@query("strong_subspace", f"use_summary_layer boolean, {M4_COLUMNS}", f"select use_summary_layer, {M4_SQL} from rows where use_graph_expansion and use_community_retrieval group by 1", GRID)
+@query("strong_subspace", f"use_summary_layer boolean, {M4_COLUMNS}", f"select use_summary_layer, {M4_SQL} from rows where use_graph_expansion and use_community_retrieval group by 1", ROWS)
 def _strong(w):
     return runs.strong_subspace(run_rows(w), M4)
 
 
-@query("scatter_groups", "part string, n long, ndcg double", "select 'community_' || case when use_community_retrieval then 'on' else 'off' end || '_summary_' || case when use_summary_layer then 'on' else 'off' end as part, count(*) as n, avg(ndcg_at_5) as ndcg from rows group by 1", GRID)
+@query("scatter_groups", "part string, n long, ndcg double", "select 'community_' || case when use_community_retrieval then 'on' else 'off' end || '_summary_' || case when use_summary_layer then 'on' else 'off' end as part, count(*) as n, avg(ndcg_at_5) as ndcg from rows group by 1", ROWS)
 def _scatter(w):
     return run_rows(w).groupBy(runs.scatter_group().alias("part")).agg(F.count("*").alias("n"), F.avg("ndcg_at_5").alias("ndcg"))
 
 
-@query("rank_runs", "run_id string, place long", "select run_id, row_number() over (order by average_route_distance_ratio, constraint_satisfaction_rate desc, feasibility_pass_rate desc, personalization_proxy desc) as place from rows", GRID)
+@query("rank_runs", "run_id string, place long", "select run_id, row_number() over (order by recall_at_10 desc, ndcg_at_5 desc, ndcg_at_10 desc, run_id) as place from rows", ROWS)
 def _rank(w):
-    return runs.ranked(run_rows(w), runs.order_for("average_route_distance_ratio"))
+    return runs.ranked(run_rows(w), [*runs.order_for("recall_at_10", ("ndcg_at_5", "ndcg_at_10")), F.col("run_id")])
 
 
-@query("sweep_rank", "run_id string, place long", "select run_id, row_number() over (order by ndcg_at_5 desc, constraint_satisfaction_rate desc, feasibility_pass_rate desc, personalization_proxy desc, average_route_distance_ratio) as place from rows", GRID)
+@query("sweep_rank", "run_id string, place long", "select run_id, row_number() over (order by ndcg_at_5 desc, recall_at_5 desc, ndcg_at_10 desc, run_id) as place from rows", ROWS)
 def _sweep(w):
-    return runs.ranked(run_rows(w), runs.sweep_order("ndcg_at_5"))
+    return runs.ranked(run_rows(w), [*runs.sweep_order("ndcg_at_5", ("recall_at_5", "ndcg_at_10")), F.col("run_id")])
 
 
-@query("best_by_grouping_sets", "method string, model string, hops long, best double, n long", "select method, model, hops, max(ndcg_at_5) as best, count(*) as n from rows group by grouping sets ((method), (model, method), (hops, method))", GRID)
+@query("best_by_grouping_sets", "method string, model string, hops long, best double, n long", "select method, model, hops, max(ndcg_at_5) as best, count(*) as n from rows group by grouping sets ((method), (model, method), (hops, method))", ROWS)
 def _bests(w):
     return runs.bests(run_rows(w), "ndcg_at_5")
 
 
-@query("best_runs", "kind string, run_id string", "select * from (select 'default' as kind, run_id from rows order by constraint_satisfaction_rate desc, average_route_distance_ratio, ndcg_at_5 desc, run_id limit 5) union all select * from (select 'route' as kind, run_id from rows order by average_route_distance_ratio, run_id limit 1)", GRID)
+@query("best_runs", "kind string, run_id string", "select * from (select 'default' as kind, run_id from rows order by ndcg_at_5 desc, recall_at_10 desc, run_id limit 5) union all select * from (select 'recall' as kind, run_id from rows order by recall_at_10 desc, run_id limit 1) union all select 'asked', 'run_007' union all select * from (select 'missing', run_id from rows order by ndcg_at_10 desc, run_id limit 1)", ROWS)
 def _best(w):
-    r = run_rows(w)
-    return runs.default_best(r, 5).select(F.lit("default").alias("kind"), "run_id").union(runs.route_best(r).select(F.lit("route"), "run_id"))
+    """The default choice, the best by one metric, a run by its id, and what stands in for an id that no run has."""
+    r = cut(run_rows(w))
+    order = [F.desc("ndcg_at_10"), F.col("run_id")]
+    of = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), "run_id")
+    return of("default", runs.default_best(r, 5, ("ndcg_at_5", "recall_at_10"))).union(of("recall", runs.route_best(r, "recall_at_10"))).union(of("asked", runs.lookup(r, "run_007", order))).union(of("missing", runs.lookup(r, "none", order)))
 
 
 PLAN = "pid long, plan_day long, seq long, start long, end long, action string, cid string, price double"
 
 
-def planned(w, expanded: bool = True):
-    """Plans of all requests by the whole path: retrieve, summarise, fill slots, schedule."""
-    ranked = items(w, 2 if expanded else 1).where("position <= 20")
-    chosen = summary.quotas(ranked).withColumn("position", F.col("chosen_rank"))
-    windows = cut(planning.day_windows(w.specs, rides(w)))
-    return cut(planning.build(chosen, windows, graph.skeletons(w.spark), summary.day_suggestions(chosen))), windows, ranked
+def planned(w):
+    """Plans of all requests by the whole path: retrieve, rerank, summarise, fill slots, schedule, check, repair."""
+    return methods.plan(bundle(w), (methods.METHODS[-1],))
 
 
 @query("plan_itinerary", PLAN)
 def _plan(w):
-    return planned(w)[0]
-
-
-def with_candidates(w, plans):
-    return plans.drop("price").join(w.pool.drop("start", "end"), ["pid", "cid"])
+    """Plans before any repair."""
+    b = bundle(w)
+    runs_ = methods.table(w.spark, (methods.METHODS[-1],))
+    picked, report = methods.chosen(methods.retrieve(methods.searched(b), runs_, b), runs_, b)
+    specs = methods.keyed(b.specs, runs_)
+    windows = cut(planning.day_windows(specs, planning.cheapest(b.transport, specs)))
+    applied = report.where("mode = 'applied'").select("pid")
+    plans = planning.build(picked, windows, b.slots, summary.day_suggestions(picked.join(applied, "pid", "left_semi")))
+    return methods.told(plans, runs_.select("run"))
 
 
 @query("repair_once", PLAN)
 def _repair(w):
-    plans, windows, ranked = planned(w)
-    fixed = checks.budget_totals(plans, hotels(w), rides(w), w.specs).select("pid", (F.col("hotel_total") + F.col("transport_total")).alias("fixed"))
-    return planning.repair(plans, w.pool.withColumn("position", F.col("ord")).join(ranked.select("pid", "cid"), ["pid", "cid"], "left_semi"), windows, fixed)
+    """Plans after the one repair of those that fail a check."""
+    p = planned(w)
+    return methods.told(p["acts"].select("pid", "plan_day", "seq", "start", "end", "action", "cid", "price"), p["runs"].select("run"))
 
 
-@query("end_to_end_methods", "method string, n long, passed double, recall_at_10 double, opening double")
+METHOD_COLUMNS = "method string, n long, " + ", ".join(f"{m} double" for m in methods.METRICS) + ", personalization_surpassing_rate double"
+
+
+@query("end_to_end_methods", METHOD_COLUMNS)
 def _methods(w):
-    """Both expansion settings over all requests: share of plans that pass, recall, opening compliance."""
-    out = None
-    for method, expanded in (("expanded", True), ("seeds_only", False)):
-        plans, _, ranked = planned(w, expanded)
-        acts = with_candidates(w, plans)
-        ok = checks.validate(w.specs, acts, hotels(w), rides(w), w.pool).select("pid", "passed")
-        one = ok.join(metrics.ranking(ranked, w.truth), "pid", "left").join(metrics.opening_compliance(acts), "pid", "left")
-        rows = one.agg(F.count("*").alias("n"), F.avg(F.col("passed").cast("double")).alias("passed"), F.avg("recall_at_10").alias("recall_at_10"), F.avg("opening_hours_compliance").alias("opening")).withColumn("method", F.lit(method))
-        out = rows if out is None else out.union(rows)
-    return out
+    """The five methods over all requests, planned, checked, repaired, checked again and measured."""
+    return methods.aggregate(methods.experiment(bundle(w)))
+
+
+@query("single_request", "pid long, method string, " + ", ".join(f"{m} double" for m in methods.METRICS))
+def _single(w):
+    """One request, that with the least id, under one method."""
+    return methods.single(bundle(w), w.specs.agg(F.min("pid").alias("pid")).first()["pid"])
+
+
+@query("ablation_runs", "run_id string, place long, n long, hops long, use_graph_expansion boolean, use_community_retrieval boolean, use_summary_layer boolean, " + ", ".join(f"{m} double" for m in methods.METRICS))
+def _ablation(w):
+    """Plans under a sweep of flags: every run over all requests, ranked by the default keys."""
+    settings = methods.grid(w.spark, hops=(2,), topk_vector=(30,), topk_final=(20,))
+    return runs.ranked(methods.ablation(bundle(w), settings), [*runs.order_for("ndcg_at_5"), F.col("run_id")])
+
+
+@query("plan_prompts", "pid long, n_lines long, prompt string")
+def _prompts(w):
+    """What a model is asked for each request, with its shortlist and the windows that rides leave."""
+    chosen = methods.shortlist(w.sandbox).withColumn("position", F.row_number().over(Window.partitionBy("pid").orderBy("etype", "rank")))
+    r = cut(rides(w))
+    found = serial.prompts(w.specs, chosen, r, planning.day_windows(w.specs, r))
+    return found.withColumn("n_lines", F.size(F.split("prompt", "\n")))
+
+
+@query("model_plans", "pid long, plan_day long, seq long, cid string, action string")
+def _model(w):
+    """Plans read from a model's replies: every activity of a stored plan by its id or its name, some replies broken."""
+    act = F.struct(F.when(F.col("k") % 2 == 0, F.col("cid")).otherwise(F.col("name")).alias("candidate_id"), "action")
+    days = w.plans.groupBy("pid", "plan_day").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", act.alias("x")))), lambda x: x["x"]).alias("acts"))
+    said = days.groupBy("pid").agg(F.to_json(F.struct(F.lit("none").alias("hotel_candidate_id"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("plan_day").cast("string"), "acts")))).alias("days"))).alias("reply"))
+    first = said.select("pid", F.lit(1).alias("attempt"), F.when(F.col("pid") % 3 == 0, F.lit("sorry")).otherwise(F.col("reply")).alias("reply"))
+    replies = first.unionByName(said.select("pid", F.lit(2).alias("attempt"), "reply"))
+    return serial.model_plans(replies, w.sandbox, planning.day_windows(w.specs, rides(w)))[0]

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfinder.functions.scratch import cut
-from wayfinder.operators import graph, sinks
+from wayfinder.operators import graph, patterns, sinks
 from wayfinder.operators import retrieval as R
 from wayfinder.plans.q_retrieval import CELLS, FUSED, SEED, scored
+from wayfinder.plans.q_text import PATTERNS, itineraries
 from wayfinder.plans.registry import query
 
 SLUG = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'na')"
+MINED = f"mined as (select signature from ({PATTERNS}) where rank = 1)"
 NODES = f"""{CELLS},
 ways as (select * from (select *, row_number() over (partition by from_city order by case when price <> 0 then price else 999999 end, number) as k from transport) where k <= 3),
 tn as (select *, 'transport:' || mode || ':' || number || ':' || {SLUG.format('from_city')} || ':' || {SLUG.format('to_city')} as node from ways),
 tags as (select cid, unnest(tags[1:6]) as tag from cand),
+{MINED},
 sk0 as (select d as days, unnest(range(1, d + 1)) as day from range(2, 8) t(d)),
-sk1 as (select days, day, case when day = 1 then ['afternoon:transport', 'afternoon:checkin', 'evening:dining', 'evening:sightseeing'] when day = days then ['morning:sightseeing', 'afternoon:dining', 'afternoon:transport'] else ['morning:sightseeing', 'noon:dining', 'afternoon:sightseeing', 'evening:dining'] end as toks from sk0),
+sk1 as (select days, day, case when days = 3 and exists (select 1 from mined) then string_split(string_split((select signature from mined), '/')[day], ',') when day = 1 then ['afternoon:transport', 'afternoon:checkin', 'evening:dining', 'evening:sightseeing'] when day = days then ['morning:sightseeing', 'afternoon:dining', 'afternoon:transport'] else ['morning:sightseeing', 'noon:dining', 'afternoon:sightseeing', 'evening:dining'] end as toks from sk0),
 sk as (select days, day, unnest(range(1, len(toks) + 1)) as slot, unnest(toks) as token from sk1),
 slots as (select *, 'pattern:days:' || days as pat, 'pattern_slot:' || days || ':' || day || ':' || slot || ':' || replace(token, ':', '-') as node, string_split(token, ':')[2] as act from sk),
 nodes0 as (select distinct 'city:' || {SLUG.format('city')} as node, 1 as layer, 'city' as kind from (select departure as city from spec union select destination from spec union select city from cand)
@@ -31,10 +34,18 @@ STEP = f"{NODES}, step as (select distinct src as x, dst as y from gedges union
 
 
 
+def mined(w):
+    """The day patterns of all reference itineraries, a row for each of the best of a trip length."""
+    if "_mined" not in w.__dict__:
+        w.__dict__["_mined"] = cut(patterns.mine(itineraries(w)))
+    return w.__dict__["_mined"]
+
+
 def the_graph(w):
     """The graph of a World; kept per World object, since several operators of one query use it."""
     if "_graph" not in w.__dict__:
-        w.__dict__["_graph"] = graph.build(w.candidates, w.specs, w.transport)
+        nodes, edges = graph.build(w.candidates, w.specs, w.transport, mined(w))
+        w.__dict__["_graph"] = nodes, cut(edges)
     return w.__dict__["_graph"]
 
 
@@ -65,10 +76,14 @@ def _edges(w):
 
 @query("graph_stats", "nodes long, edges long, degree_max long", "select (select count(*) from nodes0) as nodes, (select count(*) from (select distinct src, dst from gedges)) as edges, (select max(d) from (select count(*) as d from step group by x)) as degree_max", STEP)
 def _stats(w):
+    return sinks.graph_stats(*the_graph(w))
+
+
+@query("edges_with_ends", "relation string, n long", "select relation, count(*) as n from gedges join nodes0 a on a.node = src join nodes0 b on b.node = dst where a.layer <= 2 and b.layer <= 2 group by relation", NODES)
+def _ends(w):
+    """Edges inside the first two layers, by their ends."""
     nodes, edges = the_graph(w)
-    edges = edges.select("src", "dst").distinct()
-    top = graph.directed(edges).groupBy("src").count().agg(F.max("count").alias("degree_max"))
-    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(top)  # one row each
+    return graph.with_ends(edges, nodes.where("layer <= 2")).groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @query("graph_upsert_rows", "label string, relation string, nodes long, edges long", """select label, relation, sum(n) as nodes, sum(e) as edges from (
@@ -81,22 +96,47 @@ def _upsert(w):
     return n.select("label", F.lit(None).cast("string").alias("relation"), "nodes", F.lit(0).alias("edges")).union(e.select(F.lit(None).cast("string"), "relation", F.lit(0), "edges"))
 
 
-@query("graph_statements", "kind string, statement string", """select 'edge' as kind, 'MATCH (a:GraphNode {node_id: ' || to_json(src) || '}), (b:GraphNode {node_id: ' || to_json(dst) || '}) MERGE (a)-[r:`' || upper(relation) || '`]->(b);' as statement from gedges""", NODES)
+@query("graph_statements", "kind string, statement string", """select 'edge' as kind, 'MATCH (a:GraphNode {node_id: ' || to_json(src) || '}), (b:GraphNode {node_id: ' || to_json(dst) || '}) MERGE (a)-[r:`' || upper(relation) || '`]->(b);' as statement from gedges
+  union all select 'node', 'MERGE (n:GraphNode:`' || case kind when 'etype' then 'EntityType' when 'pattern_slot' then 'PatternSlot' else upper(kind[1]) || kind[2:] end || '` {node_id: ' || to_json(node) || '}) SET n += {label: ' || to_json(label) || ', layer: ' || layer || ', node_type: ' || to_json(kind) || '};' from labelled""",
+       NODES + f""", labels0 as (select 'city:' || {SLUG.format('city')} as node, city as label from (select departure as city from spec union select destination from spec union select city from cand)
+  union all select node, upper(mode) || ' ' || number from tn union all select 'etype:' || x, x from (select unnest(['attraction', 'restaurant', 'hotel', 'transport']) as x) union all select 'pref:budget:' || x, 'budget_' || x from (select unnest(['low', 'medium', 'high', 'premium']) as x)
+  union all select 'pref:intensity:' || x, 'intensity_' || x from (select unnest(['low', 'moderate', 'high']) as x) union all select cid, name from cand union all select 'pref:tag:' || {SLUG.format('tag')}, tag from tags union all select pat, days || '-day skeleton' from slots union all select node, token from slots),
+  labelled as (select n.node, layer, kind, min(label) as label from nodes0 n join labels0 l on l.node = n.node group by n.node, layer, kind)""")
 def _statements(w):
-    return sinks.statements(*the_graph(w)).where("kind = 'edge'")
+    return sinks.statements(*the_graph(w))
 
 
 def _seeds(w):
-    return w.candidates.where("k % 97 = 0").select(F.col("cid").alias("node"))
+    """The query set: candidates whose key is divisible by 50."""
+    return w.candidates.where("k % 50 = 0").select(F.col("cid").alias("node"))
 
 
 for _hops in (1, 2, 3):
 
     @query(f"bfs_{_hops}", "node string, hop long", "select node, min(hop) as hop from (" + " union all ".join(
-        [f"select cid as node, 0 as hop from cand where {'k % 97 = 0'}"] + [f"select y, {h} from r{h}" for h in range(1, _hops + 1)]) + ") group by node",
-        STEP + ", r0 as (select cid as y from cand where k % 97 = 0)" + "".join(f", r{h} as (select distinct step.y from r{h - 1} r join step on step.x = r.y)" for h in range(1, _hops + 1)))
+        ["select cid as node, 0 as hop from cand where k % 50 = 0"] + [f"select y, {h} from r{h}" for h in range(1, _hops + 1)]) + ") group by node",
+        STEP + ", r0 as (select cid as y from cand where k % 50 = 0)" + "".join(f", r{h} as (select distinct step.y from r{h - 1} r join step on step.x = r.y)" for h in range(1, _hops + 1)))
     def _bfs(w, hops=_hops):
-        return graph.bfs(_seeds(w), cut(the_graph(w)[1]), hops)
+        return graph.bfs(_seeds(w), the_graph(w)[1], hops)
+
+
+@query("bfs_by_request", "pid long, node string, hop long", "select pid, cid as node, 0 as hop from seed union all select distinct s.pid, near.b, 1 from seed s join near on near.a = s.cid where not exists (select 1 from seed t where t.pid = s.pid and t.cid = near.b)", f"{SEED}, {CELLS}")
+def _bfs_by(w):
+    """Candidates one hop around the seeds of each request."""
+    return graph.bfs_by(R.seeds(scored(w)).withColumnRenamed("cid", "node"), the_graph(w)[1], 1, candidate_only=True)
+
+
+HOP = " union all ".join(f"select pid, cid, {h} as hop from h{h}" for h in range(4))
+
+
+@query("reached_items", "pid long, cid string, hop long", f"select pid, cid, min(hop) as hop from ({HOP}) group by pid, cid",
+       f"""{STEP.replace(CELLS + ',', SEED + ', ' + CELLS + ',')}, s8 as (select pid, cid from ranked where vrank <= 2 and vector is not null), item as (select pid, cid from scored), h0 as (select pid, cid from s8),
+  f1 as (select distinct pid, y from s8 join step on x = cid), f2 as (select distinct pid, step.y from f1 join step on step.x = f1.y), b1 as (select distinct pid, cid, y from item join step on x = cid),
+  h1 as (select pid, cid from item join f1 using (pid) where f1.y = cid), h2 as (select distinct b1.pid, cid from b1 join f1 on f1.pid = b1.pid and f1.y = b1.y), h3 as (select distinct b1.pid, cid from b1 join f2 on f2.pid = b1.pid and f2.y = b1.y)""")
+def _reached(w):
+    """How far the filtered candidates are from the two best of their request."""
+    s = scored(w)
+    return graph.reached(s, R.seeds(s, 2), the_graph(w)[1], 3)
 
 
 @query("components", "cid string, component string", "select a as cid, min(b) as component from (select cid as a, cid as b from cand union all select a, b from near) group by a", CELLS)
@@ -116,25 +156,28 @@ def _community(w):
     return graph.keep_communities(s, w.candidates, R.seeds(s))
 
 
-@query("shortest_path", "src string, dst string, hops long, path string", """select src, dst, hops, path from (select *, row_number() over (partition by src, dst order by hops, path) as k from (
-  select x as src, y as dst, 1 as hops, x || ' -> ' || y as path from step join goal on x = src and y = dst
-  union all select a.x, b.y, 2, min(a.x || ' -> ' || a.y || ' -> ' || b.y) from goal join step a on a.x = goal.src join step b on b.x = a.y and b.y = goal.dst group by a.x, b.y)) where k = 1""",
-       STEP + ", goal as (select cid as src, 'pref:tag:' || lower(unnest(['widget', 'ring', 'economy'])) as dst from cand where k % 197 = 0 and etype = 'attraction'), g2 as (select 1)")
+#: Paths of up to three hops between the pairs of `goal`, the least in order among the shortest.
+PATHS = """p1 as (select src, dst, [src, dst] as path from goal join step on x = src and y = dst),
+g2 as (select * from goal anti join p1 using (src, dst)), p2 as (select src, dst, min([src, a.y, dst]) as path from g2 join step a on a.x = src join step b on b.x = a.y and b.y = dst group by src, dst),
+g3 as (select * from g2 anti join p2 using (src, dst)), p3 as (select src, dst, min([src, a.y, b.y, dst]) as path from g3 join step a on a.x = src join step b on b.x = a.y and b.y <> src join step c on c.x = b.y and c.y = dst group by src, dst),
+paths as (select * from p1 union all select * from p2 union all select * from p3)"""
+
+
+@query("shortest_path", "src string, dst string, hops long, path string", "select src, dst, len(path) - 1 as hops, array_to_string(path, ' -> ') as path from paths",
+       f"{STEP}, goal as (select cid as src, unnest(['pref:tag:widget', 'pref:tag:ring', 'pref:tag:economy', 'pattern:days:4', 'attraction:7']) as dst from cand where k % 50 = 0), {PATHS}")
 def _paths(w):
-    tags = F.explode(F.array(*(F.lit(f"pref:tag:{t}") for t in ("widget", "ring", "economy"))))
-    pairs = w.candidates.where("k % 197 = 0 and etype = 'attraction'").select(F.col("cid").alias("src"), tags.alias("dst"))
-    return graph.shortest_paths(pairs, cut(the_graph(w)[1]), 2).withColumn("path", F.array_join("path", " -> "))
+    """From the query set to tags, a pattern and a candidate, up to three hops away."""
+    ends = F.explode(F.array(*map(F.lit, ("pref:tag:widget", "pref:tag:ring", "pref:tag:economy", "pattern:days:4", "attraction:7"))))
+    pairs = w.candidates.where("k % 50 = 0").select(F.col("cid").alias("src"), ends.alias("dst"))
+    return graph.shortest_paths(pairs.where("src <> dst"), the_graph(w)[1]).withColumn("path", F.array_join("path", " -> "))
 
 
-@query("path_evidence", "pid long, cid string, paths string", """select pid, cid, cid || ' -> city:' || trim(regexp_replace(lower(destination), '[^a-z0-9]+', '-', 'g'), '-') || case when len(hit) > 0 then ' | ' || array_to_string(list_transform(hit[1:2], lambda x: cid || ' -> pref:tag:' || x), ' | ') else '' end as paths
-  from (select *, list_filter(interests[1:3], lambda x: list_contains(tags, x)) as hit from placed where position <= 5)""", FUSED)
+@query("path_evidence", "pid long, cid string, paths string", """select pid, cid, array_to_string(list(said order by nth)[1:3], ' | ') as paths from (select pid, cid, nth, array_to_string(path, ' -> ') as said from asked join paths on src = cid and paths.dst = asked.dst) group by pid, cid""",
+       f"""{STEP.replace(CELLS + ',', FUSED + ',')}, kept5 as (select * from placed where position <= 5), asked as (select pid, cid, unnest(range(len(d))) as nth, unnest(d) as dst from (select pid, cid, list_concat(['city:' || {SLUG.format('destination')}], list_transform(interests[1:3], lambda x: 'pref:tag:' || {SLUG.format('x')})) as d from kept5)),
+  goal as (select distinct cid as src, dst from asked), {PATHS}""")
 def _evidence(w):
-    """The direct paths of each kept item: to its city, and to the first interests it has a tag for; three at most."""
-    from wayfinder.functions import text
+    """The paths of each kept item to its city and to the first interests of its request, three at most."""
     from wayfinder.plans.q_retrieval import items
 
-    i = items(w).where("position <= 5")
-    hit = F.filter(F.slice("interests", 1, 3), lambda x: F.array_contains("tags", x))
-    tag = F.transform(hit, lambda x: F.concat("cid", F.lit(" -> pref:tag:"), text.slugify(x)))
-    paths = F.slice(F.concat(F.array(F.concat("cid", F.lit(" -> city:"), text.slugify(F.col("destination")))), tag), 1, 3)
-    return i.select("pid", "cid", F.array_join(paths, " | ").alias("paths"))
+    found = graph.path_evidence(items(w).where("position <= 5"), the_graph(w)[1])
+    return found.withColumn("paths", F.array_join("paths", " | "))

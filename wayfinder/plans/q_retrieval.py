@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfinder.functions import text
 from wayfinder.functions.scratch import cut
-from wayfinder.operators import dense, graph, lexical, summary
+from wayfinder.operators import dense, graph, lexical, methods, summary
 from wayfinder.operators import retrieval as R
 from wayfinder.plans.registry import query
 
@@ -57,22 +57,17 @@ placed as (select *, row_number() over (partition by pid order by fused desc, ti
 
 def scored(w):
     """Filtered candidates with their vector score (null: no word in common)."""
-    kept = cut(R.hard_filter(R.city_filter(w.pool)))
+    kept = cut(R.hard_filter(R.city_filter(w.pool)))  # read several times by what follows
     found = lexical.search(w.candidates, "cid", F.col("text"), w.specs, "pid", F.col("query"), kept.select("pid", "cid"))
     return cut(kept.join(found.withColumnRenamed("score", "vector"), ["pid", "cid"], "left"))  # read several times by what follows
 
 
-def items(w, hops: int = 2, topk: int = 30):
-    """Scored candidates with constraint, graph and fused scores, and their position before reranking."""
+def items(w, topk: int = 30):
+    """Scored candidates with constraint, graph and fused scores, and their position before reranking. Two hops reach every candidate of a city through the city, so none drops out."""
     from wayfinder.plans.q_graph import the_graph
 
     s = scored(w)
     seeds = R.seeds(s, topk)
-    if hops < 2:  # from two hops on every candidate of the city is reached through the city itself
-        near = graph.nearby(w.candidates)
-        both = near.union(near.select("b", "a"))
-        around = seeds.join(both, seeds.cid == both.a).select("pid", F.col("b").alias("cid")).union(seeds).distinct()
-        s = s.join(around, ["pid", "cid"], "left_semi")
     s = s.join(R.anchor(s), "pid", "left").withColumn("constraint", R.constraint_score())
     g = graph.score(the_graph(w)[1], s, seeds)
     s = s.join(g, ["pid", "cid"]).fillna(0.0, ["vector"])
@@ -139,7 +134,12 @@ def _constraint(w):
     return s.join(R.anchor(s), "pid").withColumn("score", R.constraint_score())
 
 
-@query("constraint_notes", "pid long, cid string, notes string")
+@query("constraint_notes", "pid long, cid string, notes string", f"""select pid, cid, array_to_string(list_filter([
+  case when etype = 'restaurant' and lo is not null then printf('meal_fit=%.2f', greatest(0e0, 1 - abs(price - (lo + hi) / 2) / greatest(1, hi - lo))) end,
+  case when etype = 'hotel' and category_pref is not null then 'hotel_pref_match=' || contains(lower(category), lower(category_pref))::int end,
+  case when len(tags) > 0 and len(interests) > 0 then 'interest_overlap=' || shared end, case when bud then 'budget_hint=ok' else 'budget_hint=relaxed' end,
+  case when opening is not null then 'opening_hours=known' end, case when duration is not null then 'duration_min=' || regexp_extract(duration, '(\\d+)', 1)::int * 60 end,
+  'geo=known', printf('route_anchor_km=%.2f', {KM.format('hav')})], lambda x: x is not null), ', ') as notes from cons0""", CONS)
 def _notes(w):
     s = scored(w)
     return s.join(R.anchor(s), "pid").withColumn("notes", F.array_join(R.notes(), ", "))
@@ -215,7 +215,24 @@ def _suggestions(w):
     return s.withColumn("picks", F.array_join("picks", ","))
 
 
-@query("mmr_top5", "pid long, cid string, position long")
+JACCARD = "coalesce(len(list_intersect({0}, {1})) / nullif(len({0}) + len({1}) - len(list_intersect({0}, {1})), 0)::double, 0)"
+
+
+def _mmr_sql(n: int) -> str:
+    """Picks one after another: each step takes the best of what is left, by its score, its likeness to what is taken, and hotels taken before."""
+    steps = [f"""{FUSED},
+x as (select pid, cid, etype, position, fused, lower(name) as plain, list_distinct(tags) as g, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from (select * replace (list_transform(tags, lambda x: lower(x)) as tags) from placed)),
+m1 as (select pid, cid, etype, g, w, plain, 1 as place from x where position = 1)"""]
+    for k in range(2, n + 1):
+        taken = " union all ".join(f"select * from m{j}" for j in range(1, k))
+        steps.append(f"""m{k} as (select pid, cid, etype, g, w, plain, {k} as place from (select *, row_number() over (partition by pid order by worth desc, position) as rk from (
+  select x.pid, x.cid, any_value(x.etype) as etype, any_value(x.g) as g, any_value(x.w) as w, any_value(x.plain) as plain, any_value(x.position) as position,
+    round(0.8e0 * any_value(x.fused) - (1 - 0.8e0) * max(least(1e0, 0.45e0 * {JACCARD.format('x.w', 't.w')} + 0.25e0 * {JACCARD.format('x.g', 't.g')} + 0.2e0 * (x.etype = t.etype)::int + 0.1e0 * (x.plain = t.plain)::int)) - case when any_value(x.etype) = 'hotel' and bool_or(t.etype = 'hotel') then 0.12e0 else 0 end, 10) as worth
+  from x join ({taken}) t on x.pid = t.pid where (x.pid, x.cid) not in (select (pid, cid) from ({taken}) u) group by x.pid, x.cid)) where rk = 1)""")
+    return ", ".join(steps)
+
+
+@query("mmr_top5", "pid long, cid string, position long", " union all ".join(f"select pid, cid, place as position from m{k}" for k in range(1, 6)), _mmr_sql(5))
 def _mmr(w):
     return R.rerank(items(w), 5)
 
@@ -225,23 +242,29 @@ def _mmr(w):
     case when lo is not null and etype = 'restaurant' then (not (price between lo and hi))::int::double when budget is not null then price / greatest(budget, 1) else 0 end as penalty from pool)
   qualify rank <= case etype when 'hotel' then 1 else greatest(4, 2 * day) end""")
 def _direct(w):
-    overlap = F.size(F.array_intersect(text.tokenize(F.col("query")), text.tokenize(F.col("text"))))
-    interest = F.size(F.array_intersect(F.transform("interests", text.normalize), F.transform("tags", text.normalize)))
-    penalty = F.when(F.col("lo").isNotNull() & (F.col("etype") == "restaurant"), F.when(F.col("price").between(F.col("lo"), F.col("hi")), 0.0).otherwise(1.0)).when(F.col("budget").isNotNull(), F.col("price") / F.greatest("budget", F.lit(1.0))).otherwise(0.0)
-    most = F.when(F.col("etype") == "hotel", 1).otherwise(F.greatest(F.lit(4), 2 * F.col("day")))
-    return R.top(w.pool.withColumn("_p", -interest - overlap).withColumn("_q", penalty), most, ["_p", "_q", "ord"], by=("pid", "etype"))
+    return methods.shortlist(w.pool)
+
+
+def _parts(long, short, of: str, like: str):
+    """Rows of `long` with each part of the text `of` that is as long as some text `like` of `short`, so that containment is a join of equal texts."""
+    sizes = short.agg(F.collect_set(F.length(like)).alias("_sizes"))  # one row of as many numbers as texts have lengths
+    at = F.sequence(F.lit(1), F.length(of) - F.col("_n") + 1)
+    cut_ = long.crossJoin(F.broadcast(sizes)).withColumn("_n", F.explode("_sizes")).where(F.col("_n") <= F.length(of))
+    return cut_.select(*long.columns, F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col(of), i, F.col("_n"))))).alias("_part"))
 
 
 @query("name_match", "wanted string, cid string", """select wanted, arg_min(cid, (case when lower(name) = wanted then 0 else 1 end) * 10000000000 + case when lower(name) = wanted then -ord else ord end) as cid
-  from (select distinct lower(r_name) as wanted from region union select distinct lower(p_name) from part where p_partkey % 40 = 0) w join cand on lower(name) = wanted or contains(lower(name), wanted) or contains(wanted, lower(name)) group by wanted""")
+  from (select distinct lower(r_name) as wanted from region union select distinct lower(p_name) from part union select 'hotel ' || lower(s_name) from supplier) w join (select lower(name) as l, name, cid, ord from cand) c on l = wanted or contains(l, wanted) or contains(wanted, l) group by wanted""")
 def _names(w):
-    regions = w.table("region").select(F.lower("r_name").alias("wanted"))
-    wanted = regions.union(w.table("part").where("p_partkey % 40 = 0").select(F.lower("p_name"))).distinct()
-    names = w.candidates.select(text.normalize(F.col("name")).alias("n"), "cid", "ord").where("n <> ''")
-    # exact names meet by hash; only distinct names, far fewer than candidates, are compared by containment
+    """Candidates by name: the last with just that name, else the first whose name holds the wanted one or is held by it."""
+    wanted = w.table("region").select("r_name").union(w.table("part").select("p_name")).union(w.table("supplier").select(F.concat(F.lit("Hotel "), "s_name")))
+    wanted = cut(wanted.select(text.normalize(F.col("r_name")).alias("wanted")).where("wanted <> ''").distinct())
+    names = cut(w.candidates.select(text.normalize(F.col("name")).alias("n"), "cid", "ord").where("n <> ''"))
     exact = names.join(wanted, F.col("n") == F.col("wanted")).groupBy("wanted").agg(F.max_by("cid", "ord").alias("exact"))
-    firsts = names.groupBy("n").agg(F.min(F.struct("ord", "cid")).alias("x"))
-    loose = wanted.join(firsts, F.col("n").contains(F.col("wanted")) | F.col("wanted").contains(F.col("n"))).groupBy("wanted").agg(F.min("x").alias("x"))
+    firsts = cut(names.groupBy("n").agg(F.min(F.struct("ord", "cid")).alias("x")))
+    holds = _parts(firsts, wanted, "n", "wanted").join(wanted, F.col("_part") == F.col("wanted")).select("wanted", "x")
+    held = _parts(wanted, firsts, "wanted", "n").join(firsts, F.col("_part") == F.col("n")).select("wanted", "x")
+    loose = holds.union(held).groupBy("wanted").agg(F.min("x").alias("x"))
     return loose.join(exact, "wanted", "left").select("wanted", F.coalesce("exact", "x.cid").alias("cid"))
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from wayfinder.functions import geo, text
-from wayfinder.operators import dense, patterns, recover, sinks
+from wayfinder.operators import dense, patterns, recover, serial, sinks
 from wayfinder.plans.registry import query
-from wayfinder.sources import files
+from wayfinder.sources import files, store
 from wayfinder.streaming import events
 
-LIST = "array_to_string({}, '|')"
+PATTERNS = r"""with l as (select l_orderkey as o, l_linenumber % 3 as d, (l_quantity::int * 17) % 840 + 360 as s, l_returnflag as f, l_linenumber as n, l_partkey as p, l_suppkey as q from lineitem),
+t as (select o, d, string_agg(case when s < 660 then 'morning' when s < 840 then 'noon' when s < 1080 then 'afternoon' else 'evening' end || ':' || case f when 'R' then 'transport' when 'A' then 'dining' else 'sightseeing' end, ',' order by s, n, p, q) as t from (select *, row_number() over (partition by o, d order by s, n, p, q) as k from l) where k <= 8 group by o, d),
+u as (select distinct o from l),
+s as (select u.o, coalesce(a.t, 'afternoon:transport,afternoon:checkin,evening:dining,evening:sightseeing') || '/' || coalesce(b.t, 'morning:sightseeing,noon:dining,afternoon:sightseeing,evening:dining') || '/' || coalesce(c.t, 'morning:sightseeing,afternoon:dining,afternoon:transport') as signature
+  from u left join t a on a.o = u.o and a.d = 0 left join t b on b.o = u.o and b.d = 1 left join t c on c.o = u.o and c.d = 2)
+select 3 as day_count, * from (select row_number() over (order by count(*) desc, min(o)) as rank, signature, count(*) as support from s group by signature) where rank <= 8"""
 
 
 @query("query_specs", "pid long, departure string, destination string, day long, budget double, lo double, hi double, category_pref string, intensity_pref string, interests string", "select * replace (array_to_string(interests, '|') as interests) from spec")
@@ -142,23 +149,53 @@ def _blind(w):
     return w.requests.select("pid", text.blind_first(F.col("pid"), F.col("query")).alias("generated_first"))
 
 
-@query("fn_judge_score", "pid long, score double", "select pid, greatest(0, least(1, 0.5e0 + (least(10, pid % 13) - least(10, pid % 11)) / 20e0)) as score from spec")
+@query("fn_judge_score", "pid long, score double, winner string, rationale string", """select pid, greatest(0, least(1, 0.5e0 + (case when g then 1 else -1 end) * (least(10, day) - least(10, len(interests) * 4)) / 20e0)) as score,
+  case when pid // 50 % 4 = 0 then 'tie' when g then 'generated' else 'reference' end as winner, 'as asked' as rationale from (select *, ('0x' || substr(sha256(pid || ':' || query), 1, 2))::bigint % 2 = 0 as g from spec) where pid // 50 % 5 <> 0""")
 def _judge(w):
-    return w.requests.select("pid", recover.preference((F.col("pid") % 13).cast("double"), (F.col("pid") % 11).cast("double")).alias("score"))
+    """Scores from a judge's replies: JSON with scores out of range too, one in five without an object."""
+    first = text.blind_first(F.col("pid"), F.col("query"))
+    winner = F.when(F.floor(F.col("pid") / 50) % 4 == 0, "Tie").otherwise("A")
+    said = F.format_string('```json\n{"winner": "%s", "itinerary_a_score": %d, "itinerary_b_score": "%d", "rationale": " as asked "}\n```', winner, F.col("day"), F.size("interests") * 4)
+    replies = w.specs.select("pid", first.alias("a_is_generated"), F.when(F.floor(F.col("pid") / 50) % 5 == 0, "I cannot say.").otherwise(said).alias("reply"))
+    return serial.judged(replies)
+
+
+WIDE = "".join(chr(0xFF21 + k) for k in range(26)) + "".join(chr(0xFF41 + k) for k in range(26)) + "".join(chr(0xFF10 + k) for k in range(10))
 
 
-@query("fn_normalize_nfkc", "conv_id long, turn long, plain string")
+@query("fn_normalize_nfkc", "conv_id long, turn long, plain string", r"select conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as plain from conversations", plain=True)
 def _nfkc(w):
-    return w.table("conversations").select("conv_id", "turn", text.normalize(text.fold_compatibility(F.col("text"))).alias("plain"))
+    """Texts in full-width letters, with marks beside their letters, fold to what they were."""
+    ascii_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    apart = F.col("text")
+    for c in "éèêç":
+        apart = F.replace(apart, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
+    wide = F.when(F.col("turn") % 2 == 0, F.translate("text", ascii_, WIDE)).otherwise(apart)
+    return w.table("conversations").select("conv_id", "turn", text.normalize(wide).alias("plain"))
 
 
-@query("json_recover", "conv_id long, turn long, strict boolean, payload string")
+@query("json_recover", "conv_id long, turn long, strict boolean, payload string", """select conv_id, turn, turn % 3 = 0 as strict, case when turn % 3 < 2 then '{"hotel_candidate_id":"' || body || '","n":' || turn || '}' end as payload
+  from (select *, regexp_replace(text, '[^A-Za-z ]', '', 'g') as body from conversations)""", plain=True)
 def _recover(w):
     body = F.regexp_replace("text", r"[^A-Za-z ]", "")
     shapes = F.when(F.col("turn") % 3 == 0, F.format_string('{"hotel_candidate_id": "%s", "n": %d}', body, F.col("turn"))).when(F.col("turn") % 3 == 1, F.format_string("```json\n{hotel_candidate_id: '%s', n: %d,}\n```", body, F.col("turn"))).otherwise("no object here")
     return recover.json_objects(w.table("conversations").withColumn("reply", shapes), "reply")
 
 
+@query("text_embedding", "item_id long, first score, last score, cosine score", """with t as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\\x{4e00}-\\x{9fff}]')) as term from benchmark),
+v as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as d from embeddings),
+s as (select item_id, d, sum(x) as x from t join v on vec_id = ('0x' || substr(md5(term), 1, 8))::bigint % 500 group by item_id, d),
+n as (select *, x / sqrt(sum(x * x) over (partition by item_id)) as u from s)
+select item_id, max(u) filter (where d = 1) as first, max(u) filter (where d = 64) as last, 1e0 as cosine from n group by item_id""", plain=True)
+def _embedding(w):
+    """Items as the mean of their terms' vectors, with the vectors of `embeddings` standing in for words."""
+    terms = w.table("benchmark").select("item_id", F.explode(text.tokenize(F.col("text"))).alias("term"))
+    at = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % 500
+    words = terms.select("term").distinct().withColumn("vec_id", at).join(w.table("embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    e = store.embed(w.table("benchmark"), "item_id", terms, words.select("term", "vector"))
+    return e.select("item_id", F.get("embedding", F.lit(0)).alias("first"), F.element_at("embedding", -1).alias("last"), store.cosine(F.col("embedding"), F.col("embedding")).alias("cosine"))
+
+
 @query("fingerprint", "fingerprint string", r"""select substr(sha256('tfidf|' || n || '|' || h), 1, 16) as fingerprint from (select count(*) as n,
   sum(('0x' || substr(sha256(item_id || chr(31) || text || chr(30)), 1, 12))::bigint)::varchar as h from benchmark)""", plain=True)
 def _fingerprint(w):
@@ -171,10 +208,11 @@ def _split(w):
     return s.groupBy("part").agg(F.count("*").alias("n"), F.min("pid").alias("low"), F.max("pid").alias("high"))
 
 
-@query("resume_antijoin", "event_id long, user_id long", "select event_id, user_id from events where user_id not in (select user_id from events where event_type = 'error' and event_id % 7 = 0)", plain=True)
+@query("resume_antijoin", "event_id long, user_id long", "select event_id, user_id from events e where not exists (select 1 from events d where d.event_type = 'error' and d.user_id = e.user_id and d.ts::date = e.ts::date)", plain=True)
 def _resume(w):
-    e = w.table("events")
-    return sinks.resume(e, e.where("event_type = 'error' and event_id % 7 = 0").select("user_id").distinct(), ["user_id"])
+    """What is left to do once the days on which a user met an error are done."""
+    e = w.table("events").withColumn("day", F.to_date("ts"))
+    return sinks.resume(e, e.where("event_type = 'error'").select("user_id", "day").distinct(), ["user_id", "day"])
 
 
 def itineraries(w):
@@ -189,12 +227,7 @@ def itineraries(w):
     return one.select(F.col("l_orderkey").alias("pid"), F.lit(3).alias("day"), F.array("0", "1", "2").alias("final_plan"), F.col("l_orderkey").alias("ord"))
 
 
-@query("pattern_top8", "day_count long, rank long, signature string, support long", r"""with l as (select l_orderkey as o, l_linenumber % 3 as d, (l_quantity::int * 17) % 840 + 360 as s, l_returnflag as f, l_linenumber as n, l_partkey as p, l_suppkey as q from lineitem),
-t as (select o, d, string_agg(case when s < 660 then 'morning' when s < 840 then 'noon' when s < 1080 then 'afternoon' else 'evening' end || ':' || case f when 'R' then 'transport' when 'A' then 'dining' else 'sightseeing' end, ',' order by s, n, p, q) as t from (select *, row_number() over (partition by o, d order by s, n, p, q) as k from l) where k <= 8 group by o, d),
-u as (select distinct o from l),
-s as (select u.o, coalesce(a.t, 'afternoon:transport,afternoon:checkin,evening:dining,evening:sightseeing') || '/' || coalesce(b.t, 'morning:sightseeing,noon:dining,afternoon:sightseeing,evening:dining') || '/' || coalesce(c.t, 'morning:sightseeing,afternoon:dining,afternoon:transport') as signature
-  from u left join t a on a.o = u.o and a.d = 0 left join t b on b.o = u.o and b.d = 1 left join t c on c.o = u.o and c.d = 2)
-select 3 as day_count, * from (select row_number() over (order by count(*) desc, min(o)) as rank, signature, count(*) as support from s group by signature) where rank <= 8""", plain=True)
+@query("pattern_top8", "day_count long, rank long, signature string, support long", PATTERNS, plain=True)
 def _patterns(w):
     return patterns.mine(itineraries(w)).withColumn("signature", F.array_join(F.transform("signature", lambda x: F.array_join(x, ",")), "/"))
 

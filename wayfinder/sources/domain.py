@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfinder.functions import text
+from wayfinder.functions.scratch import cut
 
 TYPES = ["economy", "large", "medium", "promo", "small", "standard"]
 CAPS = {"hotel": 4, "restaurant": 12, "attraction": 24}
+RING = 1009
 
 
 def _place(k: Column) -> list[Column]:
@@ -49,7 +51,7 @@ class World:
         supplier = self.table("supplier").withColumn("k", F.col("s_suppkey").cast("long"))
         level = F.element_at(F.array(*map(F.lit, ("Economy", "Midscale", "Luxury"))), (F.col("k") % 3 + 1).cast("int"))
         h = supplier.select(F.lit("hotel").alias("etype"), "k", (F.col("k") + 1_000_000_000).alias("ord"), F.col("s_nationkey").cast("long").alias("city_key"), F.col("s_name").alias("name"), (F.abs("s_acctbal") / 20).alias("price"), F.array(level).alias("tags"), level.alias("category"), *none)
-        customer = self.table("customer").where("c_custkey % 5 = 0").withColumn("k", F.col("c_custkey").cast("long"))
+        customer = self.table("customer").withColumn("k", F.col("c_custkey").cast("long"))
         r = customer.select(F.lit("restaurant").alias("etype"), "k", (F.col("k") + 2_000_000_000).alias("ord"), F.col("c_nationkey").cast("long").alias("city_key"), F.col("c_name").alias("name"), (F.abs("c_acctbal") / 50).alias("price"), F.array(F.lower("c_mktsegment")).alias("tags"), F.lit(None).cast("string").alias("category"), *none)
         all_ = a.unionByName(h).unionByName(r).join(self.cities, "city_key").drop("city_key")
         words = F.concat_ws(" ", "name", "etype", F.lit("in"), "city", F.array_join("tags", " "))
@@ -84,15 +86,39 @@ class World:
 
     @cached_property
     def pool(self) -> DataFrame:
-        """Sandboxes: specs joined with up to CAPS candidates of each type in the destination city."""
-        both = self.specs.join(self.candidates, F.col("destination") == F.col("city"))
-        w = Window.partitionBy("pid", "etype").orderBy((F.col("k") * 13 + F.col("pid")) % 1009, "cid")
-        most = F.when(F.col("etype") == "hotel", CAPS["hotel"]).when(F.col("etype") == "restaurant", CAPS["restaurant"]).otherwise(CAPS["attraction"])
-        return both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+        """Sandboxes: specs joined with up to CAPS candidates of each type in the destination city.
+
+        A request takes the candidates of a city in the order of (13 k + pid) modulo RING, then id:
+        one circle for all requests, entered at a place that follows from the request. Of each
+        step of the circle only the first few candidates can be taken, so what requests meet is a
+        table of bounded size, by equal keys: city, type and place.
+        """
+        cap = F.when(F.col("etype") == "hotel", CAPS["hotel"]).when(F.col("etype") == "restaurant", CAPS["restaurant"]).otherwise(CAPS["attraction"])
+        step = Window.partitionBy("city", "etype", "_step")
+        ring = Window.partitionBy("city", "etype")
+        c = self.candidates.withColumn("_step", (F.col("k") * 13) % RING)
+        c = c.withColumn("_nth", F.row_number().over(step.orderBy("cid"))).where(F.col("_nth") <= cap).drop("_nth")
+        c = c.withColumn("_at", F.row_number().over(ring.orderBy("_step", "cid")) - 1).withColumn("_all", F.count("*").over(ring))
+        c = cut(c)
+        firsts = c.groupBy("city", "etype", "_step").agg(F.min("_at").alias("_at"), F.first("_all").alias("_all"))
+        firsts = firsts.withColumn("_before", F.coalesce(F.lag("_step").over(ring.orderBy("_step")), F.lit(-1)))
+        enter = firsts.select("city", "etype", "_all", "_at", F.explode(F.sequence(F.col("_before") + 1, F.col("_step"))).alias("_enter"))
+        late = firsts.groupBy("city", "etype").agg(F.max("_step").alias("_last"), F.first("_all").alias("_all")).where(F.col("_last") < RING - 1)
+        enter = enter.unionByName(late.select("city", "etype", "_all", F.lit(0).alias("_at"), F.explode(F.sequence(F.col("_last") + 1, F.lit(RING - 1).cast("long"))).alias("_enter")))
+        asked = self.specs.withColumn("_enter", (RING - F.col("pid") % RING) % RING)
+        asked = asked.join(enter, (asked.destination == enter.city) & (asked._enter == enter._enter)).drop("_enter")
+        asked = asked.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_all"), cap) - 1)))
+        asked = asked.withColumn("_at", (F.col("_at") + F.col("_j")) % F.col("_all")).drop("_all", "_j")
+        return asked.join(c.drop("_all", "_step"), ["city", "etype", "_at"]).drop("_at")
+
+    @cached_property
+    def sandbox(self) -> DataFrame:
+        """`pool`, computed once for the operators that read it several times."""
+        return cut(self.pool)
 
     @cached_property
     def truth(self) -> DataFrame:
-        return self.pool.where((F.col("k") * 13 + F.col("pid")) % 7 == 0)
+        return self.sandbox.where((F.col("k") * 13 + F.col("pid")) % 7 == 0)
 
     @cached_property
     def transport(self) -> DataFrame:
@@ -110,8 +136,8 @@ class World:
     @cached_property
     def plans(self) -> DataFrame:
         """Activities of one plan for each request: pid, plan_day, seq, start, end, action and the candidate."""
-        p = self.pool.where((F.col("etype") != "hotel") & ((F.col("k") * 7 + F.col("pid")) % 3 == 0))
+        p = self.sandbox.where((F.col("etype") != "hotel") & ((F.col("k") * 7 + F.col("pid")) % 3 == 0))
         start = 540 + ((F.col("k") * 37 + F.col("pid")) % 10) * 70
         p = p.withColumn("plan_day", 1 + (F.col("k") + F.col("pid")) % F.col("day")).withColumn("start", start).withColumn("end", start + 60 + (F.col("k") % 3) * 45)
         w = Window.partitionBy("pid", "plan_day").orderBy("start", "cid")
-        return p.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("action", F.when(F.col("etype") == "restaurant", "dining").otherwise("sightseeing"))
+        return cut(p.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("action", F.when(F.col("etype") == "restaurant", "dining").otherwise("sightseeing")))

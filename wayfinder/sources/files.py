@@ -80,6 +80,12 @@ def trains(spark: SparkSession, path: str) -> DataFrame:
     return first_and_last(raw.select(F.col("Train_Number").alias("number"), text.safe_int(F.col("Station_Number")).alias("station_number"), F.col("Station_Name").alias("station"), F.col("Departure_Time").alias("departure"), F.col("Arrival_Time").alias("arrival"), text.safe_float(F.col("Second_Class_Price")).alias("price"), "ord"))
 
 
+def timed(trains_: DataFrame) -> DataFrame:
+    """Trains with minutes `start` and `end`, an arrival before its departure being the next day's."""
+    start, end = (text.time_to_minutes(F.col(c)).cast("long") for c in ("departure", "arrival"))
+    return trains_.withColumn("start", start).withColumn("end", F.when(end < start, end + 1440).otherwise(end))
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
     """Runs of a settings sweep: a CSV whose numbers and booleans are typed by column."""
     raw = spark.read.option("header", True).csv(path)
