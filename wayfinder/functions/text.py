@@ -28,6 +28,8 @@ DINING = ["lunch", "dinner", "breakfast", "dining", "restaurant", "meal"]
 ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~]|\][^\x07\x1B]*(?:\x07|\x1B\\))"
 ZERO_WIDTH = r"[​-‏⁠﻿]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+INTERESTED, SPLIT, SHORTEST_TAG = "interested in", ",| and |/", 3
+RATED_OF = ["/5", "/10"]
 OPEN_END = 2147483647.0
 DAY_MINUTES = 1440
 
@@ -121,7 +123,9 @@ def sanitize(text: Column) -> Column:
 
 
 def safe_float(text: Column, default: float = 0.0) -> Column:
-    t = F.replace(F.replace(F.trim(text), F.lit("/5"), F.lit("")), F.lit("/10"), F.lit(""))
+    t = F.trim(text)
+    for mark in RATED_OF:
+        t = F.replace(t, F.lit(mark), F.lit(""))
     return F.coalesce(t.try_cast("double"), F.lit(default))
 
 
@@ -167,12 +171,12 @@ def intensity(text: Column) -> Column:
 def interest_tags(text: Column) -> Column:
     """What follows "interested in", up to the first listed boundary there is, split and cleaned."""
     t = normalize(text)
-    rest = F.when(t.contains("interested in"), F.substring_index(F.regexp_replace(t, "^.*?interested in", "\u0001"), "\u0001", -1))
+    rest = F.when(t.contains(INTERESTED), F.substring_index(F.regexp_replace(t, f"^.*?{INTERESTED}", "\u0001"), "\u0001", -1))
     cut = None
     for b in BOUNDARIES:
         cut = F.when(rest.contains(b), F.substring_index(rest, b, 1)) if cut is None else cut.when(rest.contains(b), F.substring_index(rest, b, 1))
-    parts = F.transform(F.split(cut.otherwise(rest), ",| and |/"), lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", ""))
-    return F.coalesce(F.filter(F.array_distinct(parts), lambda x: F.length(x) > 2), F.array().cast("array<string>"))
+    parts = F.transform(F.split(cut.otherwise(rest), SPLIT), lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", ""))
+    return F.coalesce(F.filter(F.array_distinct(parts), lambda x: F.length(x) >= SHORTEST_TAG), F.array().cast("array<string>"))
 
 
 def time_to_minutes(text: Column) -> Column:

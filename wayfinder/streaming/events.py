@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfinder.functions.scratch import shared_dir
+
 
 def stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
     """The events as a stream, with `ts` as a timestamp that a watermark accepts."""
@@ -34,5 +38,6 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 hour") ->
 def run_once(query: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """All that a stream holds now, through an in-memory sink; for small results."""
     spark = query.sparkSession
-    query.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    state = f"{shared_dir(spark)}/wayfinder/stream-{uuid.uuid4().hex}"
+    query.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
