@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfinder.functions import text
 from wayfinder.functions.scratch import cut
-from wayfinder.operators import graph, metrics, patterns
+from wayfinder.operators import graph, metrics, patterns, sinks
 from wayfinder.operators import retrieval as R
 from wayfinder.operators.methods import Bundle
 from wayfinder.sources import files
@@ -32,7 +32,7 @@ def offers(info: DataFrame, specs: DataFrame) -> DataFrame:
         rows = rows.unionByName(block)
     either = lambda *names: F.coalesce(*(x[n] for n in names))
     start, end = (text.time_to_minutes(either(*n)).cast("long") for n in (("Departure_Time", "Departure Time"), ("Arrival_Time", "Arrival Time")))
-    rows = rows.select("mode", either("Train_Number", "Flight Number").alias("number"), "from_city", "to_city", start.alias("start"), F.when(end < start, end + 1440).otherwise(end).alias("end"), F.coalesce(either("Second_Class_Price", "Price"), F.lit(0.0)).alias("price"))
+    rows = rows.select("mode", either("Train_Number", "Flight Number", "Flight_Number").alias("number"), "from_city", "to_city", start.alias("start"), F.when(end < start, end + 1440).otherwise(end).alias("end"), F.coalesce(either("Second_Class_Price", "Price"), F.lit(0.0)).alias("price"))
     return rows.where("number is not null").distinct()
 
 
@@ -68,8 +68,6 @@ def load(spark: SparkSession, folder: str, requests: str = "test.json", itinerar
     candidates = R.keep_first(own, ["cid"], ["pid", "ord"]).drop("pid")
     rides = offers(boxes, specs)
     for name, read in ((flights, files.flights), (trains, lambda s, p: files.timed(files.trains(s, p)))):
-        from wayfinder.operators import sinks
-
         if sinks.exists(spark, f"{folder}/{name}"):
             rides = rides.unionByName(read(spark, f"{folder}/{name}").select(*rides.columns))
     mined = patterns.mine(files.itineraries(spark, f"{folder}/{itineraries}"))

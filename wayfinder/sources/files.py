@@ -9,7 +9,7 @@ from wayfinder.functions import text
 
 REQUEST = "pid long, query string, departure_city string, destination_city string, day int, budget double, meal_price_range array<double>, final_plan_json string"
 ITINERARY = "pid long, day int, final_plan array<string>"
-RIDE = "Train_Number string, Departure_Time string, Arrival_Time string, Second_Class_Price double, `Flight Number` string, `Departure Time` string, `Arrival Time` string, Price double"
+RIDE = "Train_Number string, Departure_Time string, Arrival_Time string, Second_Class_Price double, `Flight Number` string, Flight_Number string, `Departure Time` string, `Arrival Time` string, Price double"
 BLOCK = f"struct<train_options: array<struct<{RIDE.replace(' string', ': string').replace(' double', ': double')}>>, flight_options: array<struct<{RIDE.replace(' string', ': string').replace(' double', ': double')}>>>"
 
 
