@@ -59,15 +59,49 @@ def skeletons(spark, patterns: DataFrame | None = None) -> DataFrame:
     return slots.select("days", "day", (F.col("slot") + 1).alias("slot"), "token")
 
 
+def _edge(a: Column, b: Column, relation: str) -> list[Column]:
+    return [a.alias("a"), b.alias("b"), F.lit(relation).alias("relation")]
+
+
+def _city(name: Column) -> Column:
+    return F.concat(F.lit("city:"), text.slugify(name))
+
+
+def _tags(candidates: DataFrame) -> DataFrame:
+    rows = candidates.select("cid", F.explode(F.slice("tags", 1, TAGS)).alias("tag"))
+    return rows.withColumn("tnode", F.concat(F.lit("pref:tag:"), text.slugify(F.col("tag"))))
+
+
+def _undirected(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "relation").distinct()
+
+
+def candidate_links(candidates: DataFrame) -> DataFrame:
+    """All links `(a, b, relation)` that a candidate has."""
+    return (
+        candidates.select(*_edge(F.col("cid"), _city(F.col("city")), "in_city"))
+        .union(candidates.select(*_edge(F.col("cid"), F.concat(F.lit("etype:"), "etype"), "is_type")))
+        .union(candidates.select(*_edge(F.col("cid"), F.concat(F.lit("pref:budget:"), text.price_bucket(F.col("price"))), "fits_budget")))
+        .union(candidates.where("etype = 'attraction'").select(*_edge(F.col("cid"), F.lit("pref:intensity:moderate"), "default_intensity")))
+        .union(_tags(candidates).select(*_edge(F.col("cid"), F.col("tnode"), "has_tag")))
+        .union(nearby(candidates).select(*_edge(F.col("a"), F.col("b"), "nearby")))
+    )
+
+
+def candidate_edges(candidates: DataFrame) -> DataFrame:
+    """The edges that scores of candidates read: those that end at one."""
+    return _undirected(candidate_links(candidates))
+
+
 def build(candidates: DataFrame, specs: DataFrame, transport: DataFrame, patterns: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """`nodes(node, layer, kind, label)` and `edges(src, dst, relation)`, an undirected edge once with src < dst."""
     spark = candidates.sparkSession
     node = lambda id_, layer, kind, label: [id_.alias("node"), F.lit(layer).alias("layer"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), label.alias("label")]
-    city_id = lambda c: F.concat(F.lit("city:"), text.slugify(c))
+    city_id = _city
     cities = specs.select(F.col("departure").alias("c")).union(specs.select("destination")).union(candidates.select("city")).where("c <> ''").distinct()
     fixed = [(f"etype:{x}", 2, "etype", x) for x in ETYPES] + [(f"pref:budget:{x}", 3, "preference", f"budget_{x}") for x in BUDGETS] + [(f"pref:intensity:{x}", 3, "preference", f"intensity_{x}") for x in INTENSITIES]
     t = cheapest_routes(transport).withColumn("tnode", F.concat_ws(":", F.lit("transport"), "mode", text.slugify(F.col("number")), text.slugify(F.col("from_city")), text.slugify(F.col("to_city"))))
-    tags = candidates.select("cid", F.explode(F.slice("tags", 1, TAGS)).alias("tag")).withColumn("tnode", F.concat(F.lit("pref:tag:"), text.slugify(F.col("tag"))))
+    tags = _tags(candidates)
     s = skeletons(spark, patterns)
     pattern_id = F.concat(F.lit("pattern:days:"), F.col("days").cast("string"))
     slot_id = F.concat_ws(":", F.lit("pattern_slot"), F.col("days").cast("string"), F.col("day").cast("string"), F.col("slot").cast("string"), text.slugify(F.col("token")))
@@ -81,23 +115,16 @@ def build(candidates: DataFrame, specs: DataFrame, transport: DataFrame, pattern
         .union(s.select(*node(slot_id, 4, "pattern_slot", F.col("token"))))
     )
     nodes = nodes.groupBy("node").agg(F.min(F.struct("layer", "kind", "label")).alias("x")).select("node", "x.*")
-    edge = lambda a, b, relation: [a.alias("a"), b.alias("b"), F.lit(relation).alias("relation")]
     action = F.substring_index("token", ":", -1)
     expects = F.element_at(F.create_map(*(F.lit(x) for kv in EXPECTS.items() for x in kv)), action)
     links = (
-        t.select(*edge(city_id(F.col("from_city")), F.col("tnode"), "departs"))
-        .union(t.select(*edge(F.col("tnode"), city_id(F.col("to_city")), "arrives")))
-        .union(candidates.select(*edge(F.col("cid"), city_id(F.col("city")), "in_city")))
-        .union(candidates.select(*edge(F.col("cid"), F.concat(F.lit("etype:"), "etype"), "is_type")))
-        .union(candidates.select(*edge(F.col("cid"), F.concat(F.lit("pref:budget:"), text.price_bucket(F.col("price"))), "fits_budget")))
-        .union(candidates.where("etype = 'attraction'").select(*edge(F.col("cid"), F.lit("pref:intensity:moderate"), "default_intensity")))
-        .union(tags.select(*edge(F.col("cid"), F.col("tnode"), "has_tag")))
-        .union(s.select(*edge(pattern_id, slot_id, "contains")))
-        .union(s.select(*edge(slot_id, F.concat(F.lit("etype:"), expects), "expects")))
-        .union(nearby(candidates).select(*edge(F.col("a"), F.col("b"), "nearby")))
+        t.select(*_edge(city_id(F.col("from_city")), F.col("tnode"), "departs"))
+        .union(t.select(*_edge(F.col("tnode"), city_id(F.col("to_city")), "arrives")))
+        .union(candidate_links(candidates))
+        .union(s.select(*_edge(pattern_id, slot_id, "contains")))
+        .union(s.select(*_edge(slot_id, F.concat(F.lit("etype:"), expects), "expects")))
     )
-    both = links.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "relation").distinct()
-    return nodes, both
+    return nodes, _undirected(links)
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -64,12 +64,10 @@ def scored(w):
 
 def items(w, topk: int = 30):
     """Scored candidates with constraint, graph and fused scores, and their position before reranking. Two hops reach every candidate of a city through the city, so none drops out."""
-    from wayfinder.plans.q_graph import the_graph
-
     s = scored(w)
     seeds = R.seeds(s, topk)
     s = s.join(R.anchor(s), "pid", "left").withColumn("constraint", R.constraint_score())
-    g = graph.score(the_graph(w)[1], s, seeds)
+    g = graph.score(cut(graph.candidate_edges(w.candidates)), s, seeds)
     s = s.join(g, ["pid", "cid"]).fillna(0.0, ["vector"])
     f = R.fuse(s)
     return cut(f.withColumn("position", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("fused"), "tier", "ord")).cast("long")))
