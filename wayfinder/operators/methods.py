@@ -40,8 +40,8 @@ METHODS = (
     Settings("direct_llm", use_vector=False, use_graph_expansion=False, use_community_retrieval=False, use_summary_layer=False, direct=True),
     Settings("naive_rag", use_graph_expansion=False, use_community_retrieval=False, use_summary_layer=False),
     Settings("kg_only", use_vector=False, use_summary_layer=False),
-    Settings("graphrag_no_summary", use_summary_layer=False),
-    Settings("graphrag_summary"),
+    Settings("graph_no_summary", use_summary_layer=False),
+    Settings("graph_summary"),
 )
 
 
@@ -235,7 +235,7 @@ def experiment(b: Bundle, settings: tuple[Settings, ...] = METHODS) -> DataFrame
     return measure(b, plan(b, settings))
 
 
-def single(b: Bundle, pid: int, method: str = "graphrag_summary") -> DataFrame:
+def single(b: Bundle, pid: int, method: str = "graph_summary") -> DataFrame:
     """One request under one method."""
     return experiment(b.only(pid), tuple(s for s in METHODS if s.method == method))
 
