@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfinder.llm import chat, embedding, mixing, neardup, pieces, quality, secrets, sharding, substring, toxicity
+from wayfinder.llm import centroids, chat, embedding, mixing, neardup, pieces, prefix_trie, quality, secrets, sharding, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -207,6 +215,42 @@ l as (select a as vec_id, count(*) as n from e group by a)
 select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from k left join l using (vec_id)"""
 
 
+#: The CRC-32 of an ASCII text, bit by bit.
+CRC = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)), lambda a, c: list_reduce(list_concat([xor(a, c)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"
+
+
+def _sql_prefix_trie() -> str:
+    return f"""
+with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as i, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} as x from conversations where conv_id is not null),
+l as (select c, list(x order by i) as w from t group by c),
+h as (select c, {CRC.format("c::varchar")} % 6 as h from l),
+p as (select a.c, list_concat(coalesce(b.w[1:h.h], []), a.w[h.h + 1:]) as w from l a join h using (c) left join l b on b.c = a.c - a.c % 100),
+m as (select c, len(w) as n, d, w[1:d] as node, coalesce(length(w[d].text), 0) as size from p, unnest(range(0, len(w) + 1)) r(d)),
+v as (select node, any_value(d) as depth, min(c) as conv_id, count(*) as n_convs, coalesce(max(size), 0) as size, bool_and(n = d) as leaf,
+  sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where n = d), '')) as ends_sha256 from m group by node)
+select a.conv_id, a.depth, (select b.conv_id from v b where a.depth > 0 and b.node = a.node[1:a.depth - 1]) as parent_conv_id, a.n_convs, count(*) filter (where b.depth = a.depth + 1) as n_children,
+  count(*) filter (where b.leaf) as n_leaves, sum((b.n_convs - 1) * b.size)::bigint as saved_tokens, a.ends_sha256
+from v a join v b on b.node[1:a.depth] = a.node group by a.node, a.conv_id, a.depth, a.n_convs, a.ends_sha256"""
+
+
+def _sql_centroids() -> str:
+    rounds, k = 5, 40
+    near = "select vec_id, r, v, arg_min(k, (d, k)) as k, min(d) as d from (select x.vec_id, x.r, v, c.k, list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from x, c{0} c) group by vec_id, r, v"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} as ({near.format(i)})")
+        steps.append(f"s{i} as (select k, list(m order by j) as w from (select k, j, floor(sum(v[j]) / count(*))::bigint as m from a{i}, range(1, 65) q(j) group by k, j) group by k)")
+        steps.append(f"c{i + 1} as (select c{i}.k, coalesce(s{i}.w, c{i}.w) as w from c{i} left join s{i} using (k))")
+    return f"""
+with e as (select vec_id, row_number() over () as r, embedding from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda a: a is null or not isfinite(a))) = 0),
+x as (select vec_id, r, list_transform(embedding, lambda a: floor(256 * a::double)::bigint) as v from e),
+c0 as (select k, v as w from (select v, row_number() over (order by sha256('2:' || coalesce(vec_id::varchar, '')), v) - 1 as k from x) where k < {k}),
+{", ".join(steps)},
+z as ({near.format(rounds)})
+select vec_id, z.k::int as cluster, d as distance, (sum(d) over (partition by z.k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(w, ',')) as centroid_sha256
+from z join c{rounds} c using (k)"""
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
@@ -219,9 +263,11 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_secrets": op9_secrets,
         "op10_minhash": op10_minhash,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_centroids": op13_centroids,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _sql_sharding(), "op3_substring": _sql_substring(), "op4_mixing": _sql_mixing(), "op5_chat": _sql_chat(), "op6_embedding": _sql_embedding(), "op9_secrets": _sql_secrets(), "op10_minhash": _sql_minhash()}
+    return {"op1_sharding": _sql_sharding(), "op3_substring": _sql_substring(), "op4_mixing": _sql_mixing(), "op5_chat": _sql_chat(), "op6_embedding": _sql_embedding(), "op9_secrets": _sql_secrets(), "op10_minhash": _sql_minhash(), "op12_prefix_trie": _sql_prefix_trie(), "op13_centroids": _sql_centroids()}
