@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfinder.llm import centroids, chat, embedding, mixing, neardup, pieces, prefix_trie, quality, secrets, sharding, substring, toxicity
+from wayfinder.llm import centroids, chat, embedding, mixing, neardup, packing, pieces, prefix_trie, quality, secrets, sharding, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,13 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -263,6 +270,7 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_secrets": op9_secrets,
         "op10_minhash": op10_minhash,
+        "op11_packing": op11_packing,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_centroids": op13_centroids,
         "pipeline": pipeline,
