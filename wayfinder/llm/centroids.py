@@ -66,7 +66,7 @@ class Centres:
         self.square = [square[k] for k in order]
         # those that doubles can hold are a prefix of the order
         self.small = next((k for k, r in enumerate(self.rows) if max(map(abs, r)) > SMALL), len(rows))
-        self.x = np.array(self.rows[: self.small], np.float64).reshape(self.small, -1)
+        self.x = np.array(self.rows[: self.small], np.float64).reshape(self.small, len(rows[0]))
         self.squares = np.array(self.square[: self.small], np.float64)
         self.norm = np.array([float(q) ** 0.5 if q < 1 << 53 else float(isqrt(q)) for q in self.square])
 
