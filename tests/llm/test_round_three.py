@@ -68,14 +68,18 @@ def test_packing(spark):
 
 
 def test_encoder_gives_the_tokenizers_ids(monkeypatch):
+    import sys
+
     rng = random.Random(1)
     parts = [" ", "  ", "\n", "\n\n", "a", "ab", "1", "!", "'s", "'", "é", "　", "\xa0", "\t", "\r", "<|endoftext|>", "\x1c", "\x85", "漢", "​", "😀", " x", "long" * 20, ""]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 12))) for _ in range(5000)]
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"a{c}b 1{c} {c}2!{c}! {c}{c}  {c}\n" for c in chars[k : k + 100]) for k in range(0, len(chars), 100)]
+    texts += ["y" * 100_000, " " * 100_000, "x " * 200_000]
     with open(VOCABULARY) as f:
         encoder = packing.Encoder(f.read())
-    monkeypatch.setattr(packing, "CACHE", 50)
-    for a in range(0, len(texts), 100):
-        assert encoder.encode(texts[a : a + 100]) == encoder.plain(texts[a : a + 100])
+    want = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [encoder.encode(t) for t in texts] == want
 
 
 @pytest.mark.parametrize("bits, n", [(1, 2), (3, 2), (2, 4), (3, 3)])
