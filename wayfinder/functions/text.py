@@ -34,17 +34,30 @@ OPEN_END = 2147483647.0
 DAY_MINUTES = 1440
 
 
-def _foldings() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
-    """NFKC by rule: characters that fold to one character and to several, and pairs that compose."""
-    one, more, pairs = {}, {}, {}
-    for c in map(chr, (x for x in range(0x80, sys.maxunicode + 1) if not 0xD800 <= x < 0xE000)):
-        folded = unicodedata.normalize("NFKC", c)
-        if folded != c:
-            (one if len(folded) == 1 else more)[c] = folded
-        parts = unicodedata.decomposition(c).split()
-        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", c) == c:
-            pairs["".join(chr(int(x, 16)) for x in parts)] = c
-    return one, more, pairs
+class _Unicode:
+    """NFKC by rule, from the tables that Python has.
+
+    `one`: characters that fold to a single one; `more`: the decompositions of all others, but for
+    Hangul syllables; `order`: marks by their combining class; `pairs`: what composes;
+    `second`: characters without a class that compose with what stands before them.
+    """
+
+    def __init__(self):
+        self.one, self.more, self.order, self.pairs = {}, {}, {}, {}
+        for c in map(chr, (x for x in range(0x80, sys.maxunicode + 1) if not 0xD800 <= x < 0xE000)):
+            folded, apart = unicodedata.normalize("NFKC", c), unicodedata.normalize("NFKD", c)
+            if len(folded) == 1 and folded != c:
+                self.one[c] = folded
+            elif apart != c and not "\uac00" <= c <= "\ud7a3":
+                self.more[c] = apart
+            if unicodedata.combining(c):
+                self.order[c] = unicodedata.combining(c)
+            parts = unicodedata.decomposition(c).split()
+            if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", c) == c:
+                self.pairs["".join(chr(int(x, 16)) for x in parts)] = c
+        jamo = {chr(x) for x in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+        self.second = {p[-1] for p in self.pairs if p[-1] not in self.order} | jamo
+        self.open = {c for c in self.more if unicodedata.normalize("NFKC", c) != c}
 
 
 def _class(chars) -> str:
@@ -55,30 +68,57 @@ def _class(chars) -> str:
             out[-1][1] = c
         else:
             out.append([c, c])
-    return "[" + "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if b > a else "") for a, b in out) + "]"
+    return "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if b > a else "") for a, b in out)
 
 
 def _quoted(said: str) -> str:
     return "'" + said.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _looked_up(pairs: dict[str, str], key: str) -> str:
-    """What a table has for a key, else the key: a text of all pairs, since a text costs a plan little."""
-    table = _quoted("\u0001" + "".join(f"{k}\u0002{v}\u0001" for k, v in pairs.items()))
-    at = f"instr(t, concat('\u0001', {key}, '\u0002'))"
-    return f"transform(array({table}), t -> if({at} > 0, substring_index(substring(t, {at} + length({key}) + 2), '\u0001', 1), {key}))[0]"
+def _looked_up(pairs: dict[str, str], key: str, otherwise: str) -> str:
+    """What a table has for a key: texts of some pairs each, the right one of which is chosen by order; texts cost a plan little."""
+    names = sorted(pairs)
+    texts = [_quoted("\u0001" + "".join(f"{k}\u0002{pairs[k]}\u0001" for k in names[a : a + 64])) for a in range(0, len(names), 64)]
+    held = " ".join(f"when k < {_quoted(n)} then {t}" for n, t in zip(names[64::64], texts, strict=False))
+    table = f"case {held} else {texts[-1]} end" if held else texts[-1]
+    at = "instr(t, concat('\u0001', k, '\u0002'))"
+    return f"transform(array({key}), k -> transform(array({table}), t -> if({at} > 0, substring_index(substring(t, {at} + length(k) + 2), '\u0001', 1), {otherwise}))[0])[0]"
 
 
 def _folding() -> str:
-    """NFKC of `x` in SQL: single characters, then characters that become several, then marks with what stands before them. ASCII texts pass as they are."""
-    one, more, pairs = _foldings()
-    many, mark = _class(more), _class({p[-1] for p in pairs})
-    chars = lambda t: f"regexp_extract_all({t}, '(?s).', 0)"
-    single = f"translate(x, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
-    several = f"if(y rlike {_quoted(many)}, array_join(transform({chars('y')}, c -> {_looked_up(more, 'c')}), ''), y)"
-    unit = f"aggregate({chars('substring(u, 2)')}, substring(u, 1, 1), (s, m) -> {_looked_up(pairs, 'concat(s, m)')})"
-    marks = f"if(z rlike {_quoted(mark)}, array_join(transform(regexp_extract_all(z, {_quoted(f'(?s).{mark}*')}, 0), u -> {unit}), ''), z)"
-    return f"if(x rlike {_quoted('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')}, transform(transform(array({single}), y -> {several}), z -> {marks})[0], x)"
+    """NFKC of `x` in SQL.
+
+    Characters that fold to one are replaced first. Of the rest only stretches with a character
+    that decomposes, is a mark or joins what stands before it are looked at, each with the
+    character before it: decomposed, marks sorted by class, and composed from left to right.
+    ASCII texts pass as they are.
+    """
+    u = _Unicode()
+    marks, joining = _class(u.order), _class({*u.order, *u.second})
+    busy = _class({*u.order, *u.second, *u.open})
+    all_ = lambda t, pattern: f"regexp_extract_all({t}, {_quoted('(?s)' + pattern)}, 0)"
+    let_ = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    each = lambda parts, name, body: f"array_join(transform({parts}, {name} -> {body}), '')"
+    rank = f"if(c rlike {_quoted(f'[{marks}]')}, ascii(translate(c, {_quoted(''.join(u.order))}, {_quoted(''.join(map(chr, u.order.values())))})), 0)"
+    apart = each(all_("w", "."), "c", f"if(c rlike {_quoted('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')}, {_looked_up(u.more, 'c', 'c')}, c)")
+    # marks behind one character, by class and then as they stand
+    sorted_ = each(f"array_sort(transform({all_('v', '.')}, (c, i) -> struct({rank} as r, i as i, c as c)))", "m", "m.c")
+    in_order = each(all_("g", f"[^{marks}][{marks}]*|[{marks}]+"), "v", f"if(v rlike {_quoted(f'(?s)^(.|[^{marks}].)$')}, v, {sorted_})")
+    # leading and vowel letters of Hangul, or a syllable without tail and a tail
+    lead, vowel, tail = "(ascii(s.a) - 4352)", "(ascii(c) - 4449)", "(ascii(c) - 4519)"
+    made = lambda code: f"decode(unhex(hex({code})), 'UTF-16BE')"
+    hangul = f"case when {lead} between 0 and 18 and {vowel} between 0 and 20 then {made(f'44032 + ({lead} * 21 + {vowel}) * 28')} when ascii(s.a) between 44032 and 55203 and (ascii(s.a) - 44032) % 28 = 0 and {tail} between 1 and 27 then {made(f'ascii(s.a) + {tail}')} end"
+    pair = f"if(c between '\u1161' and '\u11c2', {hangul}, {_looked_up(u.pairs, 'concat(s.a, c)', 'null')})"
+    state = "named_struct('out', {}, 'a', {}, 'rest', {}, 'r', {})".format
+    step = f"if(p is not null and s.a <> '' and (s.rest = '' or (r > 0 and s.r < r)), {state('s.out', 'p', 's.rest', 's.r')}, if(r = 0, {state('concat(s.out, s.a, s.rest)', 'c', chr(39) * 2, '0')}, {state('s.out', 's.a', 'concat(s.rest, c)', 'r')}))"
+    fold = f"aggregate({all_('q', '.')}, {state(chr(39) * 2, chr(39) * 2, chr(39) * 2, '0')}, (s, c) -> {let_(pair, 'p', let_(rank, 'r', step))}, s -> concat(s.out, s.a, s.rest))"
+    composed = each(all_("d", f"[^{joining}][{joining}]*|[{joining}]+"), "g", f"if(length(g) = 1, g, {let_(in_order, 'q', fold)})")
+    stretch = let_(apart, "d", composed)
+    busy_, quiet = f"[{busy}]", f"[^{busy}]"
+    parts = each(all_("y", f"{quiet}+(?!{busy_})|{quiet}?{busy_}+"), "w", f"if(w rlike {_quoted(busy_)}, {stretch}, w)")
+    single = f"translate(x, {_quoted(''.join(u.one))}, {_quoted(''.join(u.one.values()))})"
+    whole = let_(single, "y", f"if(y rlike {_quoted(busy_)}, {parts}, y)")
+    return f"if(x rlike {_quoted('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]')}, {whole}, x)"
 
 
 _FOLD = _folding()
@@ -96,7 +136,7 @@ def let(value: Column, body) -> Column:
 
 
 def fold_compatibility(text: Column) -> Column:
-    """NFKC inside the JVM. Several marks on one letter that stand out of their canonical order are not reordered, and conjoining jamo stay apart."""
+    """NFKC inside the JVM."""
     return _of(text, _FOLD)
 
 

@@ -85,17 +85,23 @@ def judge_prompts(specs: DataFrame, generated: DataFrame, reference: DataFrame)
 
 
 def judged(replies: DataFrame) -> DataFrame:
-    """`(pid, score, winner, generated_score, reference_score, rationale)` from `replies(pid, a_is_generated, reply)`; replies without an object are left out."""
+    """`(pid, a_is_generated, score, winner, generated_score, reference_score, rationale)` from `replies(pid, a_is_generated, reply)`; replies without an object are left out."""
     rows = recover.json_objects(replies, "reply").where("payload is not null")
     field = lambda name: F.get_json_object("payload", f"$.{name}")
     a, b = (recover.clamp(field(f"itinerary_{x}_score").try_cast("double")) for x in "ab")
     won = F.lower(F.trim(field("winner")))
     first = F.col("a_is_generated")
     winner = F.when((won == "a") == first, "generated").otherwise("reference")
-    rows = rows.select("pid", F.when(first, a).otherwise(b).alias("generated_score"), F.when(first, b).otherwise(a).alias("reference_score"), F.when(won.isin("a", "b"), winner).otherwise("tie").alias("winner"), F.trim(F.coalesce(field("rationale"), F.lit(""))).alias("rationale"))
+    rows = rows.select("pid", "a_is_generated", F.when(first, a).otherwise(b).alias("generated_score"), F.when(first, b).otherwise(a).alias("reference_score"), F.when(won.isin("a", "b"), winner).otherwise("tie").alias("winner"), F.trim(F.coalesce(field("rationale"), F.lit(""))).alias("rationale"))
     return rows.withColumn("score", recover.preference(F.col("generated_score"), F.col("reference_score")))
 
 
+def agreement(scored: DataFrame) -> DataFrame:
+    """`scored`, the rows of `judged` for both orders of presentation, with `agree`: whether a request has a score in both and both name one winner."""
+    both = scored.groupBy("pid").agg(F.count_distinct("a_is_generated").alias("_n"), F.min("winner").alias("_low"), F.max("winner").alias("_high"))
+    return scored.join(both, "pid").withColumn("agree", (F.col("_n") == 2) & (F.col("_low") == F.col("_high"))).drop("_n", "_low", "_high")
+
+
 def transport_lines(specs: DataFrame, rides: DataFrame, windows: DataFrame) -> DataFrame:
     """`(pid, said)`: what the rides leave of each day, a line each."""
     there = F.col("direction") == "outbound"

@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from wayfinder.functions import geo, text
+from wayfinder.functions.scratch import cut
 from wayfinder.operators import dense, patterns, recover, serial, sinks
 from wayfinder.plans.registry import query
 from wayfinder.sources import files, store
@@ -160,6 +161,22 @@ def _judge(w):
     return serial.judged(replies)
 
 
+BOTH = """select pid, a_is_generated, score, winner, min(winner) over w = max(winner) over w as agree from (
+  select pid, g as a_is_generated, greatest(0, least(1, 0.5e0 + (case when g then a - b else b - a end) / 20e0)) as score, case when a = b then 'tie' when (a > b) = g then 'generated' else 'reference' end as winner
+  from (select pid, g, least(10, case when g then day else len(interests) * 4 end + 1) as a, least(10, case when g then len(interests) * 4 else day end) as b from spec, (values (true), (false)) o(g)) q) r window w as (partition by pid)"""
+
+
+@query("judge_both_orders", "pid long, a_is_generated boolean, score double, winner string, agree boolean", BOTH)
+def _judge_both(w):
+    """A judge that favours what it reads first by a point is asked in both orders; its stored replies are scored, and whether both name the same winner."""
+    day, tags = F.col("day"), F.size("interests") * 4
+    asked = w.specs.select("pid", "day", "interests", F.explode(F.array(F.lit(True), F.lit(False))).alias("a_is_generated"))
+    a, b = F.when(F.col("a_is_generated"), day).otherwise(tags) + 1, F.when(F.col("a_is_generated"), tags).otherwise(day)
+    won = F.when(F.least(F.lit(10), a) > F.least(F.lit(10), b), "A").when(F.least(F.lit(10), a) < F.least(F.lit(10), b), "b").otherwise("tie")
+    replies = cut(asked.select("pid", "a_is_generated", F.when(F.col("pid") % 100 == 0, F.format_string('{"winner": "%s", "itinerary_a_score": %d, "itinerary_b_score": %d}', won, a, b)).otherwise(F.format_string("My answer: {winner: '%s', itinerary_a_score: %d, itinerary_b_score: %d,}", won, a, b)).alias("reply")))
+    return serial.agreement(serial.judged(replies))
+
+
 WIDE = "".join(chr(0xFF21 + k) for k in range(26)) + "".join(chr(0xFF41 + k) for k in range(26)) + "".join(chr(0xFF10 + k) for k in range(10))
 
 
@@ -174,6 +191,18 @@ def _nfkc(w):
     return w.table("conversations").select("conv_id", "turn", text.normalize(wide).alias("plain"))
 
 
+MARKS = r"lower(nfc_normalize(replace(replace(replace(text, 'a', 'a' || chr(775) || chr(803)), 'o', chr(4370) || chr(4449) || chr(4523)), 'u', 'u' || chr(777) || chr(795))))"
+
+
+@query("fn_normalize_marks", "conv_id long, turn long, plain string, slug string", rf"select conv_id, turn, p as plain, coalesce(nullif(trim(regexp_replace(p, '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+', '-', 'g'), '-'), ''), 'na') as slug from (select conv_id, turn, trim(regexp_replace({MARKS}, '\s+', ' ', 'g')) as p from conversations)", plain=True)
+def _marks(w):
+    """Marks out of their order are put in order and composed, letters of Hangul join into syllables."""
+    apart = F.col("text")
+    for c, said in (("a", "a\u0307\u0323"), ("o", "\u1112\u1161\u11ab"), ("u", "u\u0309\u031b")):
+        apart = F.replace(apart, F.lit(c), F.lit(said))
+    return w.table("conversations").select("conv_id", "turn", text.normalize(apart).alias("plain"), text.slugify(apart).alias("slug"))
+
+
 @query("json_recover", "conv_id long, turn long, strict boolean, payload string", """select conv_id, turn, turn % 3 = 0 as strict, case when turn % 3 < 2 then '{"hotel_candidate_id":"' || body || '","n":' || turn || '}' end as payload
   from (select *, regexp_replace(text, '[^A-Za-z ]', '', 'g') as body from conversations)""", plain=True)
 def _recover(w):
