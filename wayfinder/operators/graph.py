@@ -186,17 +186,55 @@ def bfs_by(seeds: DataFrame, edges: DataFrame, hops: int, candidate_only: bool =
     return seen.where(is_candidate(F.col("node")) | (F.col("hop") == 0)) if candidate_only else seen
 
 
+def placed_bits(keys: DataFrame) -> DataFrame:
+    """The distinct rows of `keys` with `block` and `bit`: 64 keys share a block, as the bits of a number."""
+    keys = cut(keys.distinct())
+    buckets = max(1, keys.count() // 4096)
+    bucket = F.pmod(F.xxhash64(*keys.columns), F.lit(buckets))
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys.columns)) - 1
+    rows = keys.withColumn("_bucket", bucket).withColumn("_nth", nth)
+    return cut(rows.select(*keys.columns, (F.col("_bucket") + buckets * F.shiftright("_nth", 6)).cast("long").alias("block"), F.col("_nth").bitwiseAND(63).alias("bit")))
+
+
+def one_bit(bit: str = "bit") -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit))
+
+
+def spread(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """`(node, block, hop, bits)` from `starts(node, block, bit)`: the keys that first reach a node at a hop.
+
+    All keys go at once, 64 to a row: a hub that all requests pass is a row for each block, and its
+    neighbours take the bits of a block in one step.
+    """
+    steps = cut(directed(edges))
+    front = cut(starts.groupBy("node", "block").agg(F.bit_or(one_bit()).alias("bits")))
+    levels = front.withColumn("hop", F.lit(0))
+    for hop in range(1, hops + 1):
+        seen = levels.groupBy("node", "block").agg(F.bit_or("bits").alias("_seen"))
+        new = front.withColumnRenamed("node", "src").join(steps, "src").groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("bits").alias("bits"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long"))))
+        front = cut(new.join(seen, ["node", "block"], "left").select("node", "block", fresh.alias("bits")).where("bits <> 0"))
+        if front.isEmpty():
+            break
+        levels = levels.unionByName(front.withColumn("hop", F.lit(hop)))
+    return cut(levels)
+
+
 def reached(items: DataFrame, seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
-    """`(pid, cid, hop)` of items within `hops`, three at most, of a seed of their request.
+    """`(pid, cid, hop)` of items within `hops` of a seed of their request.
 
-    Steps from the seeds and steps from the items meet in the middle, by request and node, so that
-    a hub such as a city is never followed to all that hangs on it.
+    Up to three hops, steps from the seeds and steps from the items meet in the middle, by request
+    and node, so that a hub such as a city is never followed to all that hangs on it. Beyond, all
+    requests spread at once as bits.
     """
-    if hops > 3:
-        raise ValueError("beyond three hops use bfs_by")
-    steps = cut(directed(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     mine = items.select("pid", "cid").distinct()
     start = seeds.select("pid", F.col("cid").alias("node")).distinct()
+    if hops > 3:
+        bits = placed_bits(start.select("pid"))
+        found = spread(start.join(bits, "pid").select("node", "block", "bit"), edges, hops)
+        at = mine.join(bits, "pid").join(found.withColumnRenamed("node", "cid"), ["cid", "block"])
+        return at.where(F.col("bits").bitwiseAND(one_bit()) != 0).select("pid", "cid", "hop")
+    steps = cut(directed(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     found = mine.join(start.withColumnRenamed("node", "cid"), ["pid", "cid"]).withColumn("hop", F.lit(0))
     around = cut(mine.join(steps, F.col("cid") == F.col("a")).select("pid", "cid", F.col("b").alias("node")))
     after = cut(start.join(steps, F.col("node") == F.col("a")).select("pid", F.col("b").alias("node")).distinct())
@@ -215,48 +253,38 @@ def reached(items: DataFrame, seeds: DataFrame, edges: DataFrame, hops: int = 3)
     return out.groupBy("pid", "cid").agg(F.min("hop").alias("hop"))
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
-    """For `pairs(src, dst)` of a candidate and a node the shortest path up to `max_hops`, three at most; the least in order among equals: `(src, dst, hops, path)`.
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:
+    """For `pairs(src, dst)` of any nodes the shortest path up to `max_hops`, the least in order among equals: `(src, dst, hops, path)`.
 
-    Only candidates, which have few edges, are followed; a step between two hubs through a
-    candidate is a table with a row for each such pair of hubs.
+    All distinct ends spread at once as bits. Then every start walks towards its end: of the
+    neighbours that are one hop nearer the least, found once for each node and end that walks pass.
     """
-    if max_hops > 3:
-        raise ValueError("paths of up to three hops")
-    steps = cut(directed(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    goals = cut(pairs.select("src", "dst").distinct())
-    path = lambda *c: F.array(*map(F.col, c))
-    best = lambda rows, hops: rows.groupBy("src", "dst").agg(F.min("path").alias("path")).withColumn("hops", F.lit(hops))
-    edge = lambda a, b: steps.select(F.col("a").alias(a), F.col("b").alias(b))
-    found = goals.where("src = dst").select("src", "dst", F.array("src").alias("path"), F.lit(0).alias("hops"))
-    if max_hops >= 1:
-        one = goals.join(edge("src", "dst"), ["src", "dst"]).select("src", "dst", path("src", "dst").alias("path"))
-        found = cut(found.union(best(one, 1)))
-    if max_hops >= 2:
-        left = goals.join(found, ["src", "dst"], "left_anti").join(edge("src", "x"), "src")
-        two = left.join(edge("x", "dst"), ["x", "dst"]).select("src", "dst", path("src", "x", "dst").alias("path"))
-        found = cut(found.union(best(two, 2)))
-    if max_hops >= 3:
-        left = cut(goals.join(found, ["src", "dst"], "left_anti").join(edge("src", "x"), "src"))
-        low, hub = is_candidate(F.col("x")), ~is_candidate(F.col("x"))
-        through = left.where(low).join(edge("x", "y"), "x").join(edge("y", "dst"), ["y", "dst"]).where("y <> src")
-        wanted = left.where(hub).select("x", "dst").distinct()
-        ends = steps.where(is_candidate(F.col("a")) & ~is_candidate(F.col("b")))
-        bridge = ends.select(F.col("a").alias("y"), F.col("b").alias("x")).join(ends.select(F.col("a").alias("y"), F.col("b").alias("dst")), "y").groupBy("x", "dst").agg(F.min("y").alias("y"))
-        bridge = wanted.join(bridge, ["x", "dst"]).union(wanted.join(edge("x", "y").where(~is_candidate(F.col("x")) & ~is_candidate(F.col("y"))), "x").join(edge("y", "dst"), ["y", "dst"]).select("x", "dst", "y"))
-        far = edge("y", "dst").where(is_candidate(F.col("dst")))  # ends that are candidates are entered from their own side
-        entered = left.where(hub & is_candidate(F.col("dst"))).join(far, "dst").join(edge("x", "y"), ["x", "y"]).select("src", "dst", path("src", "x", "y", "dst").alias("path"))
-        three = through.select("src", "dst", path("src", "x", "y", "dst").alias("path")).union(left.where(hub).join(bridge, ["x", "dst"]).select("src", "dst", path("src", "x", "y", "dst").alias("path"))).union(entered)
-        found = cut(found.union(best(three, 3)))
-    return found.select("src", "dst", "hops", "path")
-
-
-def path_evidence(items: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
+    goals = cut(pairs.select("src", "dst").where("src is not null and dst is not null").distinct())
+    ends = placed_bits(goals.where("src <> dst").select("dst"))
+    far = spread(ends.select(F.col("dst").alias("node"), "block", "bit"), edges, max_hops)
+    steps = cut(directed(edges))
+    walks = goals.join(ends, "dst").join(far.withColumnRenamed("node", "src"), ["src", "block"]).where((F.col("bits").bitwiseAND(one_bit()) != 0) & (F.col("hop") > 0))
+    walks = cut(walks.select("src", "dst", "block", "bit", F.col("hop").alias("hops"), F.col("src").alias("at"), F.col("hop").alias("left"), F.array("src").alias("path")))
+    done = goals.where("src = dst").select("src", "dst", F.lit(0).alias("hops"), F.array("src").alias("path"))
+    for _ in range(max_hops):
+        asked = walks.groupBy(F.col("at").alias("src"), "block", (F.col("left") - 1).alias("hop")).agg(F.bit_or(one_bit()).alias("_asked"))
+        near = asked.join(steps, "src").join(far.withColumnRenamed("node", "dst"), ["dst", "block", "hop"])
+        near = near.withColumn("_both", F.col("bits").bitwiseAND(F.col("_asked"))).where("_both <> 0")
+        hit = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("_both"), i) == 1)
+        near = near.select("src", "block", "hop", "dst", F.explode(hit).alias("bit")).groupBy(F.col("src").alias("at"), "block", "bit", (F.col("hop") + 1).alias("left")).agg(F.min("dst").alias("next"))
+        walks = walks.join(near, ["at", "block", "bit", "left"]).select("src", "dst", "block", "bit", "hops", F.col("next").alias("at"), (F.col("left") - 1).alias("left"), F.concat("path", F.array("next")).alias("path"))
+        walks = cut(walks)
+        done = done.union(walks.where("left = 0").select("src", "dst", "hops", "path"))
+        walks = walks.where("left > 0")
+    return done
+
+
+def path_evidence(items: DataFrame, edges: DataFrame, most: int = 3, max_hops: int = 3) -> DataFrame:
     """`(pid, cid, paths)`: the paths of items to the request's city and first three interests, joined by arrows, the first `most` there are."""
     city = F.concat(F.lit("city:"), text.slugify(F.col("destination")))
     tags = F.transform(F.slice("interests", 1, 3), lambda x: F.concat(F.lit("pref:tag:"), text.slugify(x)))
     asked = cut(items.select("pid", "cid", F.posexplode(F.concat(F.array(city), F.coalesce(tags, F.array().cast("array<string>")))).alias("at", "dst")))
-    found = shortest_paths(asked.select(F.col("cid").alias("src"), "dst"), edges)
+    found = shortest_paths(asked.select(F.col("cid").alias("src"), "dst"), edges, max_hops)
     rows = asked.join(found.select(F.col("src").alias("cid"), "dst", F.array_join("path", " -> ").alias("said")), ["cid", "dst"])
     told = rows.groupBy("pid", "cid").agg(F.sort_array(F.collect_list(F.struct("at", "said"))).alias("p"))  # four rows at most
     return told.select("pid", "cid", F.slice(F.transform("p", lambda x: x["said"]), 1, most).alias("paths"))

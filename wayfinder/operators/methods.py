@@ -70,7 +70,9 @@ class Bundle:
 
 
 def table(spark, settings: tuple[Settings, ...]) -> DataFrame:
-    """The settings as rows, a handful, with their number `run`."""
+    """The settings as rows, RUNS at most, with their number `run`."""
+    if len(settings) > RUNS:
+        raise ValueError(f"{len(settings)} runs at once; keys have room for {RUNS}")
     kinds = {"str": "string", "int": "int", "float": "double", "bool": "boolean"}
     schema = "run long, " + ", ".join(f"{f.name} {kinds[f.type]}" for f in fields(Settings))
     return spark.createDataFrame([(k, *astuple(s)) for k, s in enumerate(settings)], schema)
@@ -84,8 +86,12 @@ def keyed(rows: DataFrame, runs: DataFrame, columns: tuple[str, ...] = ()) -> Da
 
 def told(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """`rows` of keys with `pid` and the run's settings again."""
-    run = F.col("pid") % RUNS
-    return rows.withColumn("run", run).withColumn("pid", F.floor(F.col("pid") / RUNS)).join(F.broadcast(runs), "run")
+    return rows.withColumn("run", run_of()).withColumn("pid", F.shiftright("pid", RUNS.bit_length() - 1)).join(F.broadcast(runs), "run")
+
+
+def run_of() -> Column:
+    """The number of the run that a key belongs to."""
+    return F.col("pid").bitwiseAND(RUNS - 1)
 
 
 def searched(b: Bundle) -> DataFrame:
@@ -103,7 +109,12 @@ def fused(scored: DataFrame, runs: DataFrame, b: Bundle) -> DataFrame:
     s = keyed(scored, runs.where("not direct"), ("hops", "topk_vector", "topk_final", "w_vector", "w_constraint", "w_graph", "use_vector", "use_graph_expansion", "use_community_retrieval"))
     s = cut(s.withColumn("vector", F.when(F.col("use_vector"), F.col("vector"))))
     seeds = cut(R.seeds(s, F.col("topk_vector")))
-    near = graph.reached(s.where("use_graph_expansion"), seeds, b.edges)
+    expanded = s.where("use_graph_expansion")
+    far = expanded.where("hops > 3")
+    most = runs.where("use_graph_expansion and not direct").agg(F.max("hops")).first()[0] or 0  # of a handful of rows
+    near = graph.reached(expanded.where("hops <= 3"), seeds, b.edges)
+    if most > 3:
+        near = near.unionByName(graph.reached(far, seeds.join(far.select("pid").distinct(), "pid", "left_semi"), b.edges, most))
     s = s.join(near, ["pid", "cid"], "left").withColumn("_in", F.col("hop") <= F.greatest(F.col("hops"), F.lit(1)))
     any_in = F.coalesce(F.max("_in").over(R.by_pid()), F.lit(False))
     kept = s.withColumn("_any", any_in).where("not use_graph_expansion or not _any or _in").drop("_in", "_any", "hop")
@@ -142,7 +153,7 @@ def shortlist(pool: DataFrame) -> DataFrame:
 def chosen(items: DataFrame, runs: DataFrame, b: Bundle) -> tuple[DataFrame, DataFrame]:
     """`(pid, cid, position, ...)` that plans are made from, and the summaries: gated by the summary layer, the head of the ranking without it, or the shortlist."""
     flags = F.broadcast(runs.select("run", "use_summary_layer", "direct"))
-    rows = items.withColumn("run", F.col("pid") % RUNS).join(flags, "run")
+    rows = items.withColumn("run", run_of()).join(flags, "run")
     layered = cut(rows.where("use_summary_layer"))
     report = cut(summary.summarize(layered))
     ids = report.select("pid", F.posexplode("chosen").alias("_at", "cid"))
@@ -181,7 +192,7 @@ def plan(b: Bundle, settings: tuple[Settings, ...] = METHODS) -> dict[str, DataF
     failed = first.where("not passed").select("pid")
     fixed = checks.budget_totals(acts, hotels, rides, specs).select("pid", (F.col("hotel_total") + F.col("transport_total")).alias("fixed"))
     # repair draws on the ranking, and on the shortlist where there is none
-    ranked = items.select("pid", "cid", "position").unionByName(picked.join(runs.where("direct").select("run"), F.col("pid") % RUNS == F.col("run"), "left_semi").select("pid", "cid", "position"))
+    ranked = items.select("pid", "cid", "position").unionByName(picked.join(runs.where("direct").select("run"), run_of() == F.col("run"), "left_semi").select("pid", "cid", "position"))
     ranked = pool.join(ranked, ["pid", "cid"])
     mended = planning.repair(drawn.join(failed, "pid", "left_semi"), ranked, windows, fixed)
     whole = cut(described(drawn.join(failed, "pid", "left_anti").unionByName(mended)))
@@ -194,7 +205,7 @@ def measure(b: Bundle, p: dict[str, DataFrame], judged: DataFrame | None = None)
     """One row for each request under each run: `(pid, method, ...settings, every metric)`. `judged(pid, score)`, by run key, wins over the heuristic."""
     truth = cut(keyed(b.truth, p["runs"]))
     # a shortlist is no evidence: such plans ground on nothing
-    evidence = p["chosen"].join(p["runs"].where("not direct").select("run"), F.col("pid") % RUNS == F.col("run"), "left_semi").select("pid", "cid", "position")
+    evidence = p["chosen"].join(p["runs"].where("not direct").select("run"), run_of() == F.col("run"), "left_semi").select("pid", "cid", "position")
     acts, hotels, rides, specs, pool = (p[c] for c in ("acts", "hotels", "rides", "specs", "pool"))
     selected = acts.select("pid", "cid").union(hotels.select("pid", "cid"))
     parts = [

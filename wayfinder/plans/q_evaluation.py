@@ -269,7 +269,6 @@ rows as (select grid.*, 'run_' || lpad(run_index::varchar, 3, '0') as run_id, ca
 M4 = ["recall_at_5", "ndcg_at_5", "recall_at_10", "ndcg_at_10"]
 M4_COLUMNS = ", ".join(f"{m} double" for m in M4)
 M4_SQL = ", ".join(f"avg({m}) as {m}" for m in M4)
-_swept: dict[tuple[str, str], list] = {}
 
 
 def bundle(w):
@@ -281,20 +280,15 @@ def bundle(w):
 
 
 def run_rows(w):
-    """Each run of the sweep with the means of what its ranking finds: 48 rows, the same for every query of a session."""
-    key = (w.spark.sparkContext.applicationId, w.dir)
-    if key not in _swept:
-        b, settings = bundle(w), methods.grid(w.spark)
-        found = methods.fused(methods.searched(b), methods.table(w.spark, settings), b)
-        top = found.withColumn("position", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("fused"), "tier", "ord"))).where("position <= topk_final")
-        truth = methods.keyed(b.truth.select("pid", "cid"), methods.table(w.spark, settings))
-        per = metrics.ranking(top, truth).withColumn("run_index", F.col("pid") % methods.RUNS + 1)
-        means = per.groupBy("run_index").agg(*(F.round(F.avg(m), 9).alias(m) for m in M4))
-        _swept.clear()
-        _swept[key] = means.collect()
-    means = w.spark.createDataFrame(_swept[key], "run_index long, " + M4_COLUMNS)
+    """Each run of the sweep with the means of what its ranking finds: 48 rows, as a table of the call."""
+    b, settings = bundle(w), methods.grid(w.spark)
+    found = methods.fused(methods.searched(b), methods.table(w.spark, settings), b)
+    top = found.withColumn("position", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("fused"), "tier", "ord"))).where("position <= topk_final")
+    truth = methods.keyed(b.truth.select("pid", "cid"), methods.table(w.spark, settings))
+    per = metrics.ranking(top, truth).withColumn("run_index", methods.run_of() + 1)
+    means = per.groupBy("run_index").agg(*(F.round(F.avg(m), 9).alias(m) for m in M4))
     method = F.when(F.col("use_community_retrieval"), "community").when(F.col("use_graph_expansion"), "expanded").otherwise("plain")
-    return runs.grid(w.spark).join(means, "run_index").select("*", method.alias("method"), F.concat(F.lit("top"), F.col("topk_vector").cast("string")).alias("model"))
+    return cut(runs.grid(w.spark).join(means, "run_index").select("*", method.alias("method"), F.concat(F.lit("top"), F.col("topk_vector").cast("string")).alias("model")))
 
 
 @query("ablation_grid", "run_index long, hops long, topk_vector long, topk_final long, w_vector double, use_graph_expansion boolean, use_community_retrieval boolean, use_summary_layer boolean", "select *, 0.5e0 as w_vector from grid", GRID)
@@ -354,7 +348,7 @@ def _bests(w):
 @query("best_runs", "kind string, run_id string", "select * from (select 'default' as kind, run_id from rows order by ndcg_at_5 desc, recall_at_10 desc, run_id limit 5) union all select * from (select 'recall' as kind, run_id from rows order by recall_at_10 desc, run_id limit 1) union all select 'asked', 'run_007' union all select * from (select 'missing', run_id from rows order by ndcg_at_10 desc, run_id limit 1)", ROWS)
 def _best(w):
     """The default choice, the best by one metric, a run by its id, and what stands in for an id that no run has."""
-    r = cut(run_rows(w))
+    r = run_rows(w)
     order = [F.desc("ndcg_at_10"), F.col("run_id")]
     of = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), "run_id")
     return of("default", runs.default_best(r, 5, ("ndcg_at_5", "recall_at_10"))).union(of("recall", runs.route_best(r, "recall_at_10"))).union(of("asked", runs.lookup(r, "run_007", order))).union(of("missing", runs.lookup(r, "none", order)))

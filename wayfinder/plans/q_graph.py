@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfinder.functions.scratch import cut
-from wayfinder.operators import graph, patterns, sinks
+from wayfinder.operators import graph, methods, patterns, sinks
 from wayfinder.operators import retrieval as R
 from wayfinder.plans.q_retrieval import CELLS, FUSED, SEED, scored
 from wayfinder.plans.q_text import PATTERNS, itineraries
@@ -139,6 +139,38 @@ def _reached(w):
     return graph.reached(s, R.seeds(s, 2), the_graph(w)[1], 3)
 
 
+#: Edges of tags and places alone, where items of one city can be many hops apart.
+LEVELS = ", ".join(f"f{h} as (select distinct pid, thin.y from f{h - 1} f join thin on thin.x = f.y)" for h in range(1, 7))
+ALL = " union all ".join(f"select pid, y as cid, {h} as h from f{h}" for h in range(7))
+THIN = f"""{STEP.replace(CELLS + ',', SEED + ', ' + CELLS + ',')}, few as (select src, dst from gedges where relation in ('has_tag', 'nearby')), thin as (select src as x, dst as y from few union select dst, src from few),
+f0 as (select pid, cid as y from ranked where vrank <= 2 and vector is not null), {LEVELS}, far as (select pid, cid, min(h) as hop from ({ALL}) join scored using (pid, cid) group by pid, cid)"""
+
+
+def thin(w):
+    return the_graph(w)[1].where("relation in ('has_tag', 'nearby')")
+
+
+@query("reached_far", "pid long, cid string, hop long", "select pid, cid, hop from far", THIN)
+def _reached_far(w):
+    """Up to six hops from the two best of a request, by tags and places alone: all requests at once as bits."""
+    s = scored(w)
+    return graph.reached(s, R.seeds(s, 2), thin(w), 6)
+
+
+@query("fused_hops", "hops long, pid long, cid string", """select h as hops, s.pid, s.cid from scored s cross join range(7) r(h) left join far using (pid, cid)
+  where not exists (select 1 from far f where f.pid = s.pid and f.hop <= greatest(h, 1)) or hop <= greatest(h, 1)""", THIN)
+def _fused_hops(w):
+    """What runs of none to six hops leave of each request's candidates."""
+    from dataclasses import replace
+
+    from wayfinder.plans.q_evaluation import bundle
+
+    b = replace(bundle(w), edges=thin(w))
+    settings = tuple(methods.Settings(f"hops_{h}", hops=h, topk_vector=2, use_community_retrieval=False, use_summary_layer=False) for h in range(7))
+    runs = methods.table(w.spark, settings)
+    return methods.told(methods.fused(methods.searched(b), runs, b).select("pid", "cid"), runs.select("run", "hops"))
+
+
 @query("components", "cid string, component string", "select a as cid, min(b) as component from (select cid as a, cid as b from cand union all select a, b from near) group by a", CELLS)
 def _components(w):
     e = graph.nearby(w.candidates).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
@@ -169,7 +201,22 @@ def _paths(w):
     """From the query set to tags, a pattern and a candidate, up to three hops away."""
     ends = F.explode(F.array(*map(F.lit, ("pref:tag:widget", "pref:tag:ring", "pref:tag:economy", "pattern:days:4", "attraction:7"))))
     pairs = w.candidates.where("k % 50 = 0").select(F.col("cid").alias("src"), ends.alias("dst"))
-    return graph.shortest_paths(pairs.where("src <> dst"), the_graph(w)[1]).withColumn("path", F.array_join("path", " -> "))
+    return graph.shortest_paths(pairs.where("src <> dst"), the_graph(w)[1], 3).withColumn("path", F.array_join("path", " -> "))
+
+
+HUBS = ["etype:hotel", "pref:budget:low", "pref:intensity:moderate", "pattern:days:7"]
+HUB_ENDS = ["pref:tag:ring", "pref:intensity:high", "pattern:days:4", "pattern:days:2", "attraction:7", "restaurant:50", "hotel:3", "city:france", "no:node"]
+
+
+@query("shortest_path_hubs", "src string, dst string, hops long, path string", "select src, dst, len(path) - 1 as hops, array_to_string(path, ' -> ') as path from paths union all select src, dst, 4, array_to_string(path, ' -> ') from p4 union all select src, dst, 0, src from all_goals where src = dst",
+       f"""{STEP}, all_goals as (select src, unnest({HUB_ENDS}) as dst from (select node as src from nodes0 where kind = 'city' union select unnest({HUBS}))), goal as (select * from all_goals where src <> dst), {PATHS},
+  g4 as (select * from goal anti join paths using (src, dst)), fw as (select distinct src, a.y as y1, b.y as y2 from (select distinct src from g4) join step a on a.x = src join step b on b.x = a.y), bw as (select distinct dst, d.x as y3, c.x as y2 from (select distinct dst from g4) join step d on d.y = dst join step c on c.y = d.x),
+  p4 as (select src, dst, min([src, y1, y2, y3, dst]) as path from g4 join fw using (src) join bw using (dst, y2) group by src, dst)""")
+def _paths_of_hubs(w):
+    """From cities and other hubs, which any number of candidates hang on, to hubs and candidates up to four hops away."""
+    starts = the_graph(w)[0].where("kind = 'city'").select(F.col("node").alias("src")).union(w.spark.createDataFrame([(h,) for h in HUBS], "src string"))
+    pairs = starts.select("src", F.explode(F.array(*map(F.lit, HUB_ENDS))).alias("dst"))
+    return graph.shortest_paths(pairs, the_graph(w)[1], 4).withColumn("path", F.array_join("path", " -> "))
 
 
 @query("path_evidence", "pid long, cid string, paths string", """select pid, cid, array_to_string(list(said order by nth)[1:3], ' | ') as paths from (select pid, cid, nth, array_to_string(path, ' -> ') as said from asked join paths on src = cid and paths.dst = asked.dst) group by pid, cid""",
