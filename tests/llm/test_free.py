@@ -342,3 +342,46 @@ def test_toxicity_reads_whole_words():
     model = toxicity.train(pa.array(texts[:600]), y[:600], np.ones(600))
     scores = np.concatenate([model.scores(toxicity.slots(w), w.offset) for _, _, w in toxicity.chunks(pa.array(texts[600:]))])
     assert np.mean((scores >= 0.3) == y[600:]) > 0.95
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_unlike_words_are_never_taken_for_equal(spark):
+    """A word and its complement whose difference any polynomial modulo a power of two loses."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    plain = [f"p{k}" for k in range(49)]
+    docs = spark.createDataFrame([(1, " ".join([*plain, one])), (2, " ".join([*plain, other])), (3, " ".join([*plain, other]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring.repeats(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+    rows = [(1, f"{one} x y z"), (2, f"{other} x y z"), (3, f"{other.upper()} X y z"), (4, one), (5, other)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
+    # sequences of words in that order, as shingles and as windows
+    turns = [thue_morse(64).replace("a", "u ").replace("b", "v "), thue_morse(64).replace("a", "v ").replace("b", "u ")]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(turns)], "doc_id long, text string")
+    words = [t.split() for t in turns]
+    starts = {tuple(words[0][i : i + 50]) for i in range(15)}
+    gone = {p for i in range(15) if tuple(words[1][i : i + 50]) in starts for p in range(i, i + 50)}
+    assert {r["doc_id"]: r["n_removed"] for r in substring.repeats(docs).collect()} == {0: 0, 1: len(gone)}
+
+
+def test_names_are_of_whole_words():
+    import pyarrow as pa
+
+    from wayfinder.llm._text import chunks
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abAB漢") for _ in range(rng.randrange(1, 40))) for _ in range(3000)} | {"a" * n for n in range(1, 70)} | {"é" * 5000})
+    for fold in (False, True):
+        (_, _, w), *more = chunks(pa.array([" ".join(words)]), fold)
+        assert not more
+        real = ["".join(c.lower() if fold and c.isascii() else c for c in x) for x in words]
+        assert [x.decode() for x in w.pieces().to_pylist()] == real
+        for names in w.names:
+            by = {}
+            for x, h in zip(real, names.tolist(), strict=True):
+                assert by.setdefault(h, x) == x
+            assert len(by) == len(set(real))

@@ -1,6 +1,7 @@
 """Near-duplicate documents by MinHash bands and odd sketches.
 
-1. One pass over the texts gives every document a 128-bit fingerprint of its set of shingles, the
+1. One pass over the texts gives every document a 128-bit fingerprint of its set of shingles (two
+   sums over independent names of words), the
    band keys of a MinHash signature, and an odd sketch: the signature's samples folded into a
    bitmap by parity, so that the XOR of two bitmaps counts the samples that differ.
 2. Documents with equal sets become one node. In each bucket of a band one member, another in each
@@ -9,7 +10,7 @@
    itself and with the bucket's other members, sketch by sketch in blocks of bounded size, and gives
    a forest of candidates. A bucket of n alike members so costs n pairs, not n squared.
 3. Nodes joined by candidates form groups. Each group's texts meet once, in blocks of bounded size;
-   there links are decided exactly, on full sets. Within a block, members of the largest cluster
+   there links are decided exactly, on full sets of real words. Within a block, members of the largest cluster
    need no more comparisons among themselves, and all others are compared with every member.
    Groups of several blocks share some members between blocks, and what is not in the largest
    cluster by then is compared with all blocks, so no link between clusters is missed.
@@ -75,7 +76,7 @@ def _sketched(k: int):
         for batch in batches:
             ids = batch.column(0)
             for a, b, w in chunks(batch.column(1), fold=True):
-                sets, offs = shingles(w, k)
+                sets, second, offs = shingles(w, k)
                 n = np.diff(offs)
                 some = np.flatnonzero(n)
                 f1, f2 = np.zeros(b - a, U64), np.zeros(b - a, U64)
@@ -83,7 +84,7 @@ def _sketched(k: int):
                 if len(some):
                     starts = offs[:-1][some]
                     f1[some] = np.add.reduceat(mix(sets ^ U64(0x1234567)), starts)
-                    f2[some] = np.bitwise_xor.reduceat(mix(sets + U64(0x7654321)), starts)
+                    f2[some] = np.add.reduceat(mix(second ^ U64(0x7654321)), starts)
                     sig = signatures(sets, np.append(starts, len(sets)))
                     sketch[some] = odd_sketch(sig)
                     for j in range(BANDS):
@@ -167,12 +168,25 @@ def cluster(sets: np.ndarray, offs: np.ndarray, percent: int) -> list[tuple[int,
 
 
 def _sets(texts: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    parts, sizes = [np.zeros(0, U64)], [0]
+    """The sets of some texts, as numbers that stand for the real shingles: words are numbered by their bytes, and pairs of numbers are numbered in turn."""
+    starts, words, n = [0], [], []
     for _, _, w in chunks(texts, fold=True):
-        sets, offs = shingles(w, k)
-        parts.append(sets)
-        sizes.extend(np.diff(offs).tolist())
-    return np.concatenate(parts), np.cumsum(sizes)
+        words.append(w.pieces())
+        n.append(np.diff(w.offset))
+    number = lambda x: np.unique(x, return_inverse=True)[1].astype(np.int64)
+    own = pa.chunked_array(words or [pa.array([], pa.large_binary())]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n = np.concatenate([np.zeros(0, np.int64), *n])
+    offset = np.concatenate([[0], np.cumsum(n)])
+    count = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
+    starts = np.concatenate([[0], np.cumsum(count)])
+    text = np.repeat(np.arange(len(n)), count)
+    first = np.arange(starts[-1]) - starts[text] + offset[text]
+    length = np.minimum(n[text], k)
+    name = own[first] if len(own) else np.zeros(0, np.int64)
+    for j in range(1, k):  # 0: the text has ended
+        name = number(name << 32 | np.where(j < length, own[first + np.minimum(j, length - 1)] + 1, 0))
+    both = np.unique(text << 32 | name)
+    return (both & 0xFFFFFFFF).astype(U64), np.searchsorted(both >> 32, np.arange(len(n) + 1))
 
 
 def _edges(a: list[int], b: list[int]) -> pa.Table:

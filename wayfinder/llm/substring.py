@@ -13,8 +13,9 @@ so equal windows have equal anchor keys, and the keys are few.
 
 1. One pass gives each document its distinct anchor keys. Spark groups them globally: keys of more
    than one text are shared; each document gets its shared keys back.
-2. Only documents with shared keys are read again. Windows with a shared key are named by 128 bits;
-   grouping them globally verifies the repeat and gives its first document.
+2. Only documents with shared keys are read again. Windows with a shared key are named by 128 bits,
+   two names made from independent names of the words, which unlike windows share with a chance of
+   2 ** -128 a pair; grouping them globally verifies the repeat and gives its first document.
 3. The words that covered windows hold are dropped.
 
 Rounds end at symbols of CAPS[-1] words, and windows, not still higher symbols, decide: each round
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfinder.functions.scratch import Scratch
-from wayfinder.llm._text import U64, Words, chunks, mix, polynomial
+from wayfinder.llm._text import U64, Words, chunks, mix, polynomial, windows
 
 #: Longest run that is named; longest symbol after each round of pairs.
 RUN, CAPS = 3, (3, 5, 8)
@@ -93,8 +94,8 @@ def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first word of each window, the first word of its anchor, and the anchor's key."""
     counts = np.diff(w.offset)
     doc = np.repeat(np.arange(len(counts)), counts)
-    name, at, size = compress(w.hash.copy(), doc)
-    n = len(w.hash)
+    name, at, size = compress(w.names[0].copy(), doc)
+    n = len(w.names[0])
     rank = np.zeros(n, U64)
     rank[at] = (size.astype(U64) << U64(60)) | (mix(name + U64(7)) >> U64(4))
     length = np.zeros(n, np.int8)
@@ -110,7 +111,7 @@ def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         better = r > best
         best[better] = r[better]
         where[better] = p[better]
-    sums, inverse = polynomial(w.hash, _A, "anchors")
+    sums, inverse = polynomial(w.names[0], _A, "anchors")
     used = np.unique(where)
     lo, hi = used - EDGE, used + length[used] + EDGE
     key = np.zeros(n, U64)
@@ -162,10 +163,7 @@ def _windows(window: int):
                         shared = lists[a + k].values.to_numpy(zero_copy_only=False).view(U64)
                         hit[cut[k] : cut[k + 1]] = np.isin(key[where[cut[k] : cut[k + 1]]], shared)
                 s, owner = starts[hit], owner[hit]
-                names = []
-                for base, label in ((_A, "anchors"), (_B, "windows")):
-                    sums, inverse = polynomial(w.hash, base, label)
-                    names.append(pa.array(mix((sums[s + window] - sums[s]) * inverse[s]).view(np.int64)))
+                names = [pa.array(windows(w.names[k], window, k)[s].view(np.int64)) for k in range(2)]
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([*names, ids.slice(a, b - a).take(at), fs.slice(a, b - a).take(at), pa.array((s - w.offset[:-1][owner]).astype(np.int32))], schema=arrow)
 
