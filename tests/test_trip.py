@@ -104,7 +104,7 @@ def test_reach_and_paths_of_hubs(spark):
 
     low = [k for k in kinds if k.split(":")[0] in graph.CANDIDATES]
     pairs = [(a, b) for a in low for b in kinds if a != b]
-    got = {(r["src"], r["dst"]): tuple(r["path"]) for r in graph.shortest_paths(spark.createDataFrame(pairs, "src string, dst string"), edges).collect()}
+    got = {(r["src"], r["dst"]): tuple(r["path"]) for r in graph.shortest_paths(spark.createDataFrame(pairs, "src string, dst string"), edges, 3).collect()}
     assert got == {p: shortest(*p) for p in pairs if shortest(*p)}
     seeds = spark.createDataFrame([(1, "attraction:1"), (2, "hotel:1"), (2, "restaurant:2")], "pid long, cid string")
     items = spark.createDataFrame([(pid, c) for pid in (1, 2) for c in low], "pid long, cid string")

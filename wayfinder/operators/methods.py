@@ -6,7 +6,7 @@ keyed by `pid` serves all runs at once: plans of five methods, or of a whole gri
 
 from __future__ import annotations
 
-from dataclasses import astuple, dataclass, fields
+from dataclasses import astuple, dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ class Settings:
     use_community_retrieval: bool = True
     use_summary_layer: bool = True
     direct: bool = False
+    model: str = ""  # whose replies plan; none: the engine plans by itself
 
 
 #: The five methods.
@@ -168,11 +169,27 @@ def chosen(items: DataFrame, runs: DataFrame, b: Bundle) -> tuple[DataFrame, Dat
     return cut(all_), report
 
 
-def plan(b: Bundle, settings: tuple[Settings, ...] = METHODS) -> dict[str, DataFrame]:
+def by_models(replies: DataFrame, runs: DataFrame):
+    """Answers of stored `replies(model, pid, attempt, repair, reply)` to prompts of requests under runs."""
+    few = F.broadcast(runs.select("run", "model"))  # at most RUNS rows
+
+    def serve(asked: DataFrame) -> DataFrame:
+        of = asked.withColumn("run", run_of()).join(few, "run").withColumn("_pid", F.shiftright("pid", RUNS.bit_length() - 1))
+        said = replies.select("model", F.col("pid").alias("_pid"), "attempt", "repair", "reply")
+        return of.join(said, ["model", "_pid", "attempt", "repair"]).select("pid", "attempt", "repair", "reply")
+
+    return serve
+
+
+def plan(b: Bundle, settings: tuple[Settings, ...] = METHODS, replies: DataFrame | None = None, attempts: int = 3) -> dict[str, DataFrame]:
     """Plans of every request under every run, checked, repaired once where a check fails, and checked again.
 
+    A run with a `model` plans from its `replies(model, pid, attempt, repair, reply)`; a request whose
+    attempts all fail is planned by the engine.
+
     Tables by name, keyed by `pid` as `keyed` makes it: runs, specs, items, chosen, summaries, acts
-    (activities with their candidate), hotels, rides, report (of the last check, with `repaired`).
+    (activities with their candidate), hotels, rides, report (of the last check, with `repaired`),
+    modes (`planner_mode`, `planning_error` and how often a model was asked), log (of its replies).
     """
     spark = b.specs.sparkSession
     runs = table(spark, settings)
@@ -185,7 +202,24 @@ def plan(b: Bundle, settings: tuple[Settings, ...] = METHODS) -> dict[str, DataF
     hotels = cut(planning.hotel_of(picked, pool))
     applied = summaries.where("mode = 'applied'").select("pid")
     suggested = summary.day_suggestions(picked.join(applied, "pid", "left_semi"))
-    drawn = cut(planning.build(picked, windows, b.slots, suggested))
+    modelled = runs.where("model <> ''")
+    if modelled.isEmpty():
+        given = log = None
+        modes = specs.select("pid", F.lit("heuristic").alias("planner_mode"), F.lit(None).cast("string").alias("planning_error"), F.lit(0).cast("long").alias("asks"))
+    else:
+        if replies is None:
+            raise ValueError("runs with a model need its replies")
+        ours = lambda t: t.withColumn("run", run_of()).join(F.broadcast(modelled.select("run")), "run", "left_semi").drop("run")
+        prompts = serial.prompts(ours(specs), ours(picked), ours(rides), ours(windows), suggested, summaries)
+        settled, log = serial.converse(prompts, by_models(replies, modelled), attempts)
+        settled = cut(settled)
+        said, beds = serial.planned_items(settled.where("payload is not null"), ours(pool), windows)
+        given = said.select("pid", "plan_day", "seq", "cid").unionByName(settled.where("payload is not null").select("pid"), allowMissingColumns=True)
+        hotels = cut(planning.hotel_of(picked, pool, beds))
+        mode = F.when(F.col("payload").isNotNull(), "llm").when(F.col("asks").isNotNull(), "heuristic_fallback").otherwise("heuristic")
+        error = F.when(F.col("payload").isNull(), F.col("last_error"))
+        modes = cut(specs.select("pid").join(settled, "pid", "left").select("pid", mode.alias("planner_mode"), error.alias("planning_error"), F.coalesce("asks", F.lit(0)).alias("asks")))
+    drawn = cut(planning.build(picked, windows, b.slots, suggested, pool, given))
     described = lambda plans: plans.drop("price").join(pool.drop("start", "end"), ["pid", "cid"], "left").fillna(0.0, ["price"])
     acts = cut(described(drawn))
     first = cut(checks.validate(specs, acts, hotels, rides, pool))
@@ -198,7 +232,7 @@ def plan(b: Bundle, settings: tuple[Settings, ...] = METHODS) -> dict[str, DataF
     whole = cut(described(drawn.join(failed, "pid", "left_anti").unionByName(mended)))
     again = checks.validate(specs.join(failed, "pid", "left_semi"), whole.join(failed, "pid", "left_semi"), hotels, rides, pool)
     report = cut(first.where("passed").withColumn("repaired", F.lit(False)).unionByName(again.withColumn("repaired", F.lit(True))))
-    return {"runs": runs, "specs": specs, "pool": pool, "items": items, "chosen": picked, "summaries": summaries, "acts": whole, "hotels": hotels, "rides": rides, "report": report, "windows": windows}
+    return {"runs": runs, "specs": specs, "pool": pool, "items": items, "chosen": picked, "summaries": summaries, "acts": whole, "hotels": hotels, "rides": rides, "report": report, "windows": windows, "modes": modes, "log": log}
 
 
 def measure(b: Bundle, p: dict[str, DataFrame], judged: DataFrame | None = None) -> DataFrame:
@@ -221,6 +255,7 @@ def measure(b: Bundle, p: dict[str, DataFrame], judged: DataFrame | None = None)
         metrics.context(selected, evidence, truth),
         metrics.ranking(evidence, truth),
         p["report"].select("pid", "passed", "repaired", "errors"),
+        p["modes"],
     ]
     t = specs.select("pid")
     for part in parts:
@@ -242,8 +277,13 @@ METRICS = [
 ]
 
 
-def experiment(b: Bundle, settings: tuple[Settings, ...] = METHODS) -> DataFrame:
-    return measure(b, plan(b, settings))
+def experiment(b: Bundle, settings: tuple[Settings, ...] = METHODS, replies: DataFrame | None = None) -> DataFrame:
+    return measure(b, plan(b, settings, replies))
+
+
+def by_model(models: tuple[str, ...], hops: tuple[int, ...] = (2,), methods: tuple[Settings, ...] = METHODS) -> tuple[Settings, ...]:
+    """Every method under every model and number of hops."""
+    return tuple(replace(s, model=m, hops=h) for m in models for s in methods for h in hops)
 
 
 def single(b: Bundle, pid: int, method: str = "graph_summary") -> DataFrame:
@@ -264,12 +304,12 @@ def grid(spark, **options) -> tuple[Settings, ...]:
     """The settings of a sweep, from the rows of `runs.grid`."""
     from wayfinder.operators import runs
 
-    names = [f.name for f in fields(Settings) if f.name not in ("method", "direct")]
+    names = [f.name for f in fields(Settings) if f.name not in ("method", "direct", "model")]
     return tuple(Settings(r["run_id"], **{n: r[n] for n in names}) for r in runs.grid(spark, **options).orderBy("run_index").collect())
 
 
 def ablation(b: Bundle, settings: tuple[Settings, ...]) -> DataFrame:
     """A row for each run of a sweep: its settings, the means of its metrics and `n`."""
-    names = [f.name for f in fields(Settings) if f.name not in ("method", "direct")]
+    names = [f.name for f in fields(Settings) if f.name not in ("method", "direct", "model")]
     rows = experiment(b, settings)
     return aggregate(rows, ("run", "method", *names)).withColumn("run_index", F.col("run") + 1).withColumnRenamed("method", "run_id").drop("run")

@@ -1,7 +1,7 @@
 """Day-by-day plans: transport, hotel, pattern slots, scheduling, and one repair pass.
 
-Windows, durations and opening hours are columns. Filling slots and repairing are recurrences over
-a request's few items; each request is one pandas group. A plan row is `(pid, plan_day, seq, start,
+Windows, durations and opening hours are columns. Filling slots and placing activities are folds over
+a request's days inside the JVM, with one clock. A plan row is `(pid, plan_day, seq, start,
 end, action, cid, price)`.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfinder.functions import text
+from wayfinder.functions.scratch import cut
 from wayfinder.operators.retrieval import top
 
 # The day, buffers and lengths in minutes; the times of slots.
@@ -53,11 +54,14 @@ def price_index(pool: DataFrame) -> DataFrame:
     return pool.withColumn("cheap", F.row_number().over(Window.partitionBy("pid", "etype").orderBy("price", "ord", "cid")).cast("long"))
 
 
-def hotel_of(chosen: DataFrame, pool: DataFrame) -> DataFrame:
-    """`(pid, cid, price, category, name)`: the first chosen hotel, else the cheapest of the sandbox."""
+def hotel_of(chosen: DataFrame, pool: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """`(pid, cid, price, category, name)`: the hotel that `named(pid, cid)` says, else the first chosen one, else the cheapest of the sandbox."""
     first = top(chosen.where("etype = 'hotel'"), 1, ["position"]).select("pid", "cid", F.lit(0).alias("_from"))
     cheapest = price_index(pool.where("etype = 'hotel'")).where("cheap = 1").select("pid", "cid", F.lit(1).alias("_from"))
-    one = first.union(cheapest).groupBy("pid").agg(F.min(F.struct("_from", "cid")).alias("x")).select("pid", F.col("x.cid").alias("cid"))
+    said = [named.select("pid", "cid", F.lit(-1).alias("_from"))] if named is not None else []
+    for more in (cheapest, *said):
+        first = first.union(more)
+    one = first.groupBy("pid").agg(F.min(F.struct("_from", "cid")).alias("x")).select("pid", F.col("x.cid").alias("cid"))
     return pool.select("pid", "cid", "price", "category", "name").join(one, ["pid", "cid"]).dropDuplicates(["pid"])
 
 
@@ -78,25 +82,44 @@ def needed() -> Column:
     return F.when(F.col("etype") == "restaurant", MEAL).otherwise(F.when(d.isNotNull(), F.least(F.greatest(d, F.lit(SHORTEST)), F.lit(LONGEST))).otherwise(USUAL)).cast("long")
 
 
-def schedule(items: DataFrame, windows: DataFrame) -> DataFrame:
-    """Times for ordered activities of a day by the running recurrence, in the JVM: `(pid, plan_day, cid, start, end)`.
+PLACED = "array<struct<start:bigint,end:bigint,cid:string,etype:string,price:double>>"
 
-    items: pid, plan_day, seq, cid, etype, opening, duration. An activity that cannot fit is skipped;
-    the next begins after the gap. One fold over the day's array, which a day's length bounds.
-    """
+
+def item() -> Column:
+    """A candidate as what planning asks of it; opening hours bind attractions alone."""
     hours = text.opening_hours(F.col("opening"))
-    one = F.struct("seq", "cid", needed().alias("need"), F.when(F.col("etype") == "attraction", hours["start"]).cast("long").alias("o"), F.when(F.col("etype") == "attraction", hours["end"]).cast("long").alias("c"))
-    days = items.groupBy("pid", "plan_day").agg(F.sort_array(F.collect_list(one)).alias("acts")).join(windows, ["pid", "plan_day"])
-    zero = F.struct(F.col("open").alias("now"), F.array().cast("array<struct<cid:string,start:bigint,end:bigint>>").alias("out"))
+    sight = F.col("etype") == "attraction"
+    return F.struct(F.col("cid"), F.col("etype"), F.col("price").cast("double").alias("price"), needed().alias("need"), F.when(sight, hours["start"]).cast("long").alias("o"), F.when(sight, hours["end"]).cast("long").alias("c"))
+
+
+def clock(acts: Column, gone: Column, open_: Column, close: Column) -> Column:
+    """Activities of a day in order at their times, an array of PLACED: one after another with a gap, within the window and opening hours.
+
+    Those that do not fit, that the day has already or that are `gone` are left out; a day of under
+    45 minutes takes none.
+    """
+    zero = F.struct(open_.alias("now"), F.array().cast(PLACED).alias("out"))
 
     def step(s, x):
-        start = F.greatest(s["now"], F.coalesce(x["o"], s["now"]))
-        end = start + x["need"]
-        fits = (end <= F.col("close")) & (x["c"].isNull() | (end <= x["c"])) & (F.col("close") - F.col("open") >= 45)
-        grown = F.concat(s["out"], F.array(F.struct(x["cid"].alias("cid"), start.alias("start"), end.alias("end"))))
-        return F.struct(F.when(fits, F.least(F.col("close"), end + GAP)).otherwise(s["now"]).alias("now"), F.when(fits, grown).otherwise(s["out"]).alias("out"))
+        def at(span):
+            start, end = span["start"], span["start"] + x["need"]
+            free = ~F.array_contains(gone, x["cid"]) & ~F.exists(s["out"], lambda y: y["cid"] == x["cid"])
+            fits = free & (end <= close) & (x["c"].isNull() | (end <= x["c"])) & (close - open_ >= 45)
+            grown = F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["cid"].alias("cid"), x["etype"].alias("etype"), x["price"].alias("price"))))
+            return F.when(fits, F.struct(F.least(close, end + GAP).alias("now"), grown.alias("out"))).otherwise(s)
+
+        return text.let(F.struct(F.greatest(s["now"], F.coalesce(x["o"], s["now"])).alias("start")), at)
+
+    return F.aggregate(acts, zero, step, lambda s: s["out"])
+
+
+def schedule(items: DataFrame, windows: DataFrame) -> DataFrame:
+    """Times for ordered activities of a day, in the JVM: `(pid, plan_day, seq, cid, start, end)`; a day's length bounds its array.
 
-    done = days.select("pid", "plan_day", F.aggregate("acts", zero, step, lambda s: s["out"]).alias("out"))
+    items: pid, plan_day, seq, cid, etype, price, opening, duration.
+    """
+    days = items.groupBy("pid", "plan_day").agg(F.sort_array(F.collect_list(F.struct("seq", "cid", item().alias("x")))).alias("acts")).join(windows, ["pid", "plan_day"])
+    done = days.select("pid", "plan_day", clock(F.transform("acts", lambda x: x["x"]), F.array().cast("array<string>"), F.col("open"), F.col("close")).alias("out"))
     return done.select("pid", "plan_day", F.posexplode("out").alias("at", "x")).select("pid", "plan_day", (F.col("at") + 1).cast("long").alias("seq"), F.col("x.cid").alias("cid"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
@@ -130,62 +153,135 @@ def _frame(pid: int, days: dict[int, list]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pid", "plan_day", "seq", "start", "end", "action", "cid", "price"])
 
 
-def _cycle(pool: list[dict], used: set[str], at: int) -> dict | None:
-    return next((x for x in (pool[(at + i) % len(pool)] for i in range(len(pool))) if x["cid"] not in used), None) if pool else None
+def _unused(pool: Column, used: Column, at: Column) -> Column:
+    """The first candidate that is not used, from place `at` of the pool on and around; null if there is none."""
+    n = F.size(pool)
+    turn = F.when(n > 0, at % n).otherwise(0)
+    around = F.concat(F.slice(pool, turn + 1, n), F.slice(pool, F.lit(1), turn))
+    return F.get(F.filter(around, lambda x: ~F.array_contains(used, x["cid"])), F.lit(0))
 
 
-def build(chosen: DataFrame, windows: DataFrame, slots: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:
-    """Plans from chosen items in order (`position`), windows, `slots(days, day, slot, token)` and suggested picks for days."""
-    hours = text.opening_hours(F.col("opening"))
-    item = F.struct("position", "cid", "etype", "price", needed().alias("need"), hours["start"].cast("long").alias("o"), hours["end"].cast("long").alias("c"))
-    asked = chosen.groupBy("pid").agg(F.sort_array(F.collect_list(item)).alias("items"), F.first("day").alias("day"))
+def _else(pool: Column, used: Column, at: Column) -> Column:
+    """The first that is not used, or what stands at place `at`, around."""
+    return F.coalesce(_unused(pool, used, F.lit(0)), F.get(pool, F.when(F.size(pool) > 0, (at % F.size(pool)).cast("int"))))
+
+
+def _ids(items: Column) -> Column:
+    return F.transform(items, lambda x: x["cid"])
+
+
+def fallback_day(sights: Column, meals: Column, used: Column, day: Column, most: Column) -> Column:
+    """What fills an empty day: a sight, a meal and another sight, as many as the day takes, unused ones first."""
+    none = F.size(sights) == 0
+
+    def with_first(a):
+        taken = F.when(a.isNull(), used).otherwise(F.array_append(used, a["cid"]))
+
+        def with_meal(m):
+            both = F.when(m["x"].isNull(), m["used"]).otherwise(F.array_append(m["used"], m["x"]["cid"]))
+            held = F.when(a.isNull(), 0).otherwise(1) + F.when(m["x"].isNull(), 0).otherwise(1)
+            last = F.when(~none & (held < most), _else(sights, both, day))
+            return F.array_compact(F.array(a, m["x"], last))
+
+        return text.let(F.struct(F.when(F.when(a.isNull(), 0).otherwise(1) < most, _else(meals, taken, day - 1)).alias("x"), taken.alias("used")), with_meal)
+
+    filled = text.let(F.struct(_else(sights, used, day - 1).alias("a")), lambda s: with_first(s["a"]))
+    return F.when(most > 0, filled).otherwise(F.array().cast(ITEMS))
+
+
+ITEMS = "array<struct<cid:string,etype:string,price:double,need:bigint,o:bigint,c:bigint>>"
+_TOKENS = "struct<used:array<string>,today:array<string>,a:int,r:int,acts:" + ITEMS + ">"
+
+
+def _filled(tokens: Column, picks: Column, sights: Column, meals: Column, used: Column, a: Column, r: Column) -> Column:
+    """A day's activities by its tokens, a struct of _TOKENS: suggested picks first, then the next of the pool that the trip lacks, then that the day lacks."""
+    zero = F.struct(used.alias("used"), F.array().cast("array<string>").alias("today"), a.alias("a"), r.alias("r"), F.array().cast(ITEMS).alias("acts"))
+
+    def step(s, kind):
+        sight = kind == "attraction"
+        pool, at = F.when(sight, sights).otherwise(meals), F.when(sight, s["a"]).otherwise(s["r"])
+        pick = F.get(F.filter(picks, lambda x: (x["etype"] == kind) & ~F.array_contains(s["used"], x["cid"])), F.lit(0))
+        found = F.coalesce(pick, _unused(pool, s["used"], at), _unused(pool, s["today"], at))
+        taken = lambda x: F.struct(F.array_append(s["used"], x["cid"]).alias("used"), F.array_append(s["today"], x["cid"]).alias("today"), F.when(sight, s["a"] + 1).otherwise(s["a"]).alias("a"), F.when(sight, s["r"]).otherwise(s["r"] + 1).alias("r"), F.array_append(s["acts"], x).alias("acts"))
+        return F.when(kind.isin("attraction", "restaurant"), text.let(F.struct(found.alias("x")), lambda f: F.when(f["x"].isNull(), s).otherwise(taken(f["x"])).cast(_TOKENS))).otherwise(s)
+
+    return F.aggregate(tokens, zero.cast(_TOKENS), step)
+
+
+_TRIP = f"struct<used:array<string>,trip:array<string>,a:int,r:int,out:array<struct<plan_day:bigint,acts:{PLACED}>>>"
+
+
+def build(chosen: DataFrame, windows: DataFrame, slots: DataFrame, suggestions: DataFrame | None = None, pool: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
+    """Plans from chosen items in order (`position`), windows, `slots(days, day, slot, token)` and suggested picks for days.
+
+    A request is one row, whose arrays its days and shortlist bound, folded day after day in the
+    JVM. A day is filled by its tokens or, where `given(pid, plan_day, seq, cid)` has any row of the
+    request (be its cid null), by what that has for the day; one that stays empty gets `fallback_day`, and so does one on
+    which nothing fits, from what the trip has not visited. `pool`, sandboxes, stands in by price
+    where nothing of a type was chosen.
+    """
+    bare = F.struct("position", item().alias("x"))
+    asked = chosen.groupBy("pid").agg(F.sort_array(F.collect_list(bare)).alias("items"), F.first("day").cast("int").alias("day"))
     tokens = slots.groupBy("days", "day").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "token"))), lambda x: x["token"]).alias("tokens"))
-    tokens = tokens.groupBy("days").agg(F.map_from_entries(F.collect_list(F.struct("day", "tokens"))).alias("tokens"))
+    tokens = tokens.groupBy("days").agg(F.map_from_entries(F.collect_list(F.struct(F.col("day").cast("long"), "tokens"))).alias("tokens"))
     days = windows.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("plan_day", "open", "close", "most"))).alias("windows"))
-    rows = asked.join(days, "pid").join(tokens, F.col("day") == F.col("days"), "left").drop("days")
-    if suggestions is None:
-        rows = rows.withColumn("picks", F.lit(None).cast("map<bigint,array<string>>"))
+    rows = days.join(asked, "pid", "left" if pool is not None else "inner").join(tokens, F.col("day") == F.col("days"), "left").drop("days")
+    none = lambda kind: F.lit(None).cast(kind)
+    if pool is not None:
+        all_ = price_index(pool).groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("etype", "cheap", item().alias("x")))).alias("all"))
+        rows = rows.join(all_, "pid", "left").withColumn("all", F.transform("all", lambda x: x["x"]))
     else:
+        rows = rows.withColumn("all", none(ITEMS))
+    if suggestions is not None:
         rows = rows.join(suggestions.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("plan_day", "picks"))).alias("picks")), "pid", "left")
-
-    def plan(row) -> pd.DataFrame:
-        items = [dict(x) for x in row["items"]]
-        by_id = {x["cid"]: x for x in items}
-        pools = {t: [x for x in items if x["etype"] == t] for t in ("attraction", "restaurant")}
-        tokens, picks = dict(row["tokens"] or {}), dict(row["picks"] or {})
-        cursor = dict.fromkeys(pools, 0)
-        planned: set[str] = set()
-        trip: set[str] = set()
-        out = {}
-        for w in map(dict, row["windows"]):
-            d, wanted = w["plan_day"], []
-            today: set[str] = set()
-            for token in list(tokens.get(d, []))[: w["most"]]:
-                kind = {"sightseeing": "attraction", "dining": "restaurant"}.get(token.split(":")[-1])
-                if kind is None:
-                    continue
-                found = next((by_id[c] for c in picks.get(d, []) if c in by_id and by_id[c]["etype"] == kind and c not in planned), None)
-                found = found or _cycle(pools[kind], planned, cursor[kind]) or _cycle(pools[kind], today, cursor[kind])
-                if found:
-                    cursor[kind] += 1
-                    planned.add(found["cid"])
-                    today.add(found["cid"])
-                    wanted.append(found)
-            day = _Day(w, trip)
-            for x in wanted[: w["most"]]:
-                day.put(x)
-            if not day.rows and w["most"]:
-                for kind in ("attraction", "restaurant", "attraction")[: w["most"]]:
-                    day.put(_cycle(pools[kind], trip, 0))
-            out[d] = day.rows
-        return _frame(row["pid"], out)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                yield plan(row)
-
-    return rows.mapInPandas(run, SCHEMA)
+    else:
+        rows = rows.withColumn("picks", none("map<bigint,array<string>>"))
+    if given is not None:
+        known = given.join((pool if pool is not None else chosen).select("pid", "cid", item().alias("x")).dropDuplicates(["pid", "cid"]), ["pid", "cid"])
+        known = known.groupBy("pid", "plan_day").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "cid", "x"))), lambda x: x["x"]).alias("acts"))
+        known = known.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("plan_day", "acts"))).alias("given"))
+        rows = rows.join(given.select("pid", F.lit(True).alias("_said")).distinct(), "pid", "left").join(known, "pid", "left")
+        rows = rows.withColumn("given", F.when(F.col("_said"), F.coalesce("given", F.create_map().cast(f"map<bigint,{ITEMS}>")))).drop("_said")
+    else:
+        rows = rows.withColumn("given", none(f"map<bigint,{ITEMS}>"))
+    empty, no_ids = F.array().cast(ITEMS), F.array().cast("array<string>")
+    rows = rows.withColumn("items", F.coalesce(F.transform("items", lambda x: x["x"]), empty)).withColumn("all", F.coalesce("all", empty)).withColumn("day", F.coalesce(F.col("day"), F.size("windows")))
+    of = lambda items, kind: F.filter(items, lambda x: x["etype"] == kind)
+    for kind, name in (("attraction", "sights"), ("restaurant", "meals")):
+        rows = rows.withColumn(f"own_{name}", of(F.col("items"), kind)).withColumn(f"all_{name}", of(F.col("all"), kind))
+        stand_in = F.when(F.col("given").isNull(), F.slice(F.col(f"all_{name}"), F.lit(1), F.greatest(F.lit(2), F.col("day")))).otherwise(empty)
+        rows = rows.withColumn(name, F.when(F.size(f"own_{name}") > 0, F.col(f"own_{name}")).otherwise(stand_in))
+        rows = rows.withColumn(f"last_{name}", F.when(F.size(f"own_{name}") > 0, F.col(f"own_{name}")).otherwise(F.col(f"all_{name}")))
+    zero = F.struct(no_ids.alias("used"), no_ids.alias("trip"), F.lit(0).alias("a"), F.lit(0).alias("r"), F.array().cast(f"array<struct<plan_day:bigint,acts:{PLACED}>>").alias("out")).cast(_TRIP)
+    kinds = lambda t: F.transform(t, lambda x: F.when(x.endswith(":sightseeing"), "attraction").when(x.endswith(":dining"), "restaurant").otherwise("-"))
+    both = F.col("items") if pool is None else F.concat("items", "all")
+
+    def one(s, w):
+        d, most = w["plan_day"], w["most"].cast("int")
+        own = F.slice(F.coalesce(F.try_element_at(F.col("given"), d), empty), F.lit(1), most)
+        asked_ = F.coalesce(F.try_element_at(F.col("picks"), d), no_ids)
+        picks = F.array_compact(F.transform(asked_, lambda c: F.get(F.filter(both, lambda x: x["cid"] == c), F.lit(0))))
+        by_tokens = _filled(F.slice(kinds(F.coalesce(F.try_element_at(F.col("tokens"), d), no_ids)), F.lit(1), most), picks, F.col("sights"), F.col("meals"), s["used"], s["a"], s["r"])
+        by_model = F.struct(F.array_union(s["used"], _ids(own)).alias("used"), no_ids.alias("today"), s["a"].alias("a"), s["r"].alias("r"), own.alias("acts")).cast(_TOKENS)
+
+        def placed(f):
+            acts = F.when(F.size(f["acts"]) > 0, f["acts"]).otherwise(fallback_day(F.col("sights"), F.col("meals"), f["used"], d.cast("int"), most))
+
+            def timed(g):
+                first = clock(F.slice(g["acts"], F.lit(1), most), s["trip"], w["open"], w["close"])
+                again = clock(fallback_day(F.col("last_sights"), F.col("last_meals"), s["trip"], d.cast("int"), most), s["trip"], w["open"], w["close"])
+                on = lambda out: F.struct(F.array_union(f["used"], _ids(g["acts"])).alias("used"), F.concat(s["trip"], _ids(out["x"])).alias("trip"), f["a"].alias("a"), f["r"].alias("r"), F.array_append(s["out"], F.struct(d.alias("plan_day"), out["x"].alias("acts"))).alias("out"))
+                return text.let(F.struct(text.let(F.struct(first.alias("x")), lambda x: F.when(F.size(x["x"]) > 0, x["x"]).otherwise(again)).alias("x")), on)
+
+            return text.let(F.struct(acts.alias("acts")), timed)
+
+        return F.when(most > 0, text.let(F.when(F.col("given").isNull(), by_tokens).otherwise(by_model), placed).cast(_TRIP)).otherwise(s)
+
+    rows = cut(rows.select("pid", "windows", "tokens", "picks", "given", "items", "all", "sights", "meals", "last_sights", "last_meals"))
+    done = rows.select("pid", F.explode(F.aggregate("windows", zero, one, lambda s: s["out"])).alias("x"))
+    done = done.select("pid", F.col("x.plan_day").alias("plan_day"), F.posexplode("x.acts").alias("at", "y"))
+    action = F.when(F.col("y.etype") == "restaurant", "dining").otherwise("sightseeing")
+    return done.select("pid", "plan_day", (F.col("at") + 1).cast("long").alias("seq"), F.col("y.start").alias("start"), F.col("y.end").alias("end"), action.alias("action"), F.col("y.cid").alias("cid"), F.col("y.price").alias("price"))
 
 
 def repair(plans: DataFrame, ranked: DataFrame, windows: DataFrame, totals: DataFrame) -> DataFrame:

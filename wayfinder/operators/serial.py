@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfinder.functions import text
+from wayfinder.functions.scratch import cut
 from wayfinder.operators import recover
 from wayfinder.operators.planning import BUFFER
 
@@ -161,18 +162,49 @@ def resolved(refs: DataFrame, pool: DataFrame) -> DataFrame:
     return one.select(*refs.columns, F.when(F.col("there"), F.col("same")).otherwise(F.col("first._cid")).alias("cid"))
 
 
-def model_plans(replies: DataFrame, pool: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What replies plan: activities `(pid, plan_day, seq, cid, action)`, hotels `(pid, cid)` and failures `(pid, attempt, error, response)`.
+#: What a plan's JSON holds.
+SHAPE = "hotel_candidate_id string, days map<string,array<struct<candidate_id:string,name:string,action:string>>>"
+
+
+def converse(prompts: DataFrame, serve, attempts: int = 3, repairs: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Asks a model for plans until each request has one or its attempts are used up: `(pid, payload, asks)` and the log `(pid, attempt, repair, error, response)`.
 
-    Of the attempts of a request the first with an object that has days counts. An activity needs a
-    known action and a candidate of its type, once a day, within what the day takes.
+    `serve(asked)` answers `asked(pid, attempt, repair, prompt)` with `(pid, attempt, repair, reply)`;
+    a missing answer counts as an empty one. A reply without an object is sent back to be repaired,
+    `repairs` times at most; then, or where its days are no object, the next attempt says what was
+    wrong. Every round asks for the open requests alone and is kept as a table; there are
+    attempts * (repairs + 1) rounds at most. A request that never settles has a null payload.
     """
-    shape = "hotel_candidate_id string, days map<string,array<struct<candidate_id:string,name:string,action:string>>>"
-    parsed = recover.json_objects(replies, "reply").withColumn("p", F.from_json("payload", shape))
-    error = F.when(F.col("payload").isNull(), "no JSON object").when(F.col("p.days").isNull(), "no days")
-    parsed = parsed.withColumn("error", error)
-    failures = parsed.where("error is not null").select("pid", "attempt", "error", text.sanitize(F.col("reply")).alias("response"))
-    good = parsed.where("error is null").groupBy("pid").agg(F.min_by("p", "attempt").alias("p"))
+    open_ = cut(prompts.select("pid", F.col("prompt").alias("base"), F.lit(1).alias("attempt"), F.lit(0).alias("repair"), "prompt"))
+    rounds = []
+    while not open_.isEmpty():
+        heard = open_.join(serve(open_.select("pid", "attempt", "repair", "prompt")).select("pid", "attempt", "repair", "reply"), ["pid", "attempt", "repair"], "left")
+        parsed = recover.json_objects(heard, "reply")
+        days = F.trim(F.get_json_object("payload", "$.days"))
+        error = F.when(F.col("payload").isNull(), "no JSON object").when(days.isNotNull() & ~days.startswith("{"), "days is no object")
+        now = cut(parsed.withColumn("error", error).withColumn("response", text.sanitize(F.col("reply"))))
+        rounds.append(now.select("pid", "attempt", "repair", "error", "response", "payload"))
+        again = F.col("payload").isNull() & (F.col("repair") < repairs)
+        failed = now.where("error is not null").where(again | (F.col("attempt") < attempts))
+        later = retry_prompt(F.col("base"), F.col("attempt") + 1, F.col("response"), F.col("error"))
+        asked = F.when(again, repair_prompt(F.coalesce("reply", F.lit("")), F.col("error"))).otherwise(later)
+        open_ = cut(failed.select("pid", "base", F.when(again, F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"), F.when(again, F.col("repair") + 1).otherwise(0).alias("repair"), asked.alias("prompt")))
+    if not rounds:
+        none = prompts.select("pid", F.lit(0).alias("attempt"), F.lit(0).alias("repair"), *(F.lit(None).cast("string").alias(c) for c in ("error", "response", "payload"))).limit(0)
+        rounds = [none]
+    log = rounds[0]
+    for r in rounds[1:]:
+        log = log.unionByName(r)
+    settled = log.groupBy("pid").agg(F.max(F.when(F.col("error").isNull(), F.col("payload"))).alias("payload"), F.count("*").alias("asks"), F.max_by("error", F.struct("attempt", "repair")).alias("last_error"))
+    return settled, log.drop("payload")
+
+
+def planned_items(payloads: DataFrame, pool: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `payloads(pid, payload)` plan: activities `(pid, plan_day, seq, cid, action)` and hotels `(pid, cid)`.
+
+    An activity needs a known action and a candidate of its type, once a day, within what the day takes.
+    """
+    good = payloads.select("pid", F.from_json("payload", SHAPE).alias("p"))
     items = good.select("pid", F.explode("p.days").alias("d", "list")).select("pid", F.col("d").try_cast("long").alias("plan_day"), F.posexplode("list").alias("n", "x"))
     items = items.join(windows.select("pid", "plan_day", "most"), ["pid", "plan_day"]).where(F.col("n") < F.col("most"))
     act = F.lower(F.trim("x.action"))
@@ -181,7 +213,18 @@ def model_plans(replies: DataFrame, pool: DataFrame, windows: DataFrame) -> tupl
     found = resolved(refs, pool).where("cid is not null").groupBy("pid", "plan_day", "cid", "action").agg(F.min("n").alias("n"))
     acts = found.select("pid", "plan_day", (F.col("n") + 1).cast("long").alias("seq"), "cid", "action")
     beds = good.select("pid", F.lit("hotel").alias("at"), F.trim(F.coalesce("p.hotel_candidate_id", F.lit(""))).alias("ref"), F.lit("hotel").alias("etype")).where("ref <> ''")
-    return acts, resolved(beds, pool).where("cid is not null").select("pid", "cid"), failures
+    return acts, resolved(beds, pool).where("cid is not null").select("pid", "cid")
+
+
+def model_plans(replies: DataFrame, pool: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What stored replies plan: activities and hotels as of `planned_items`, and failures `(pid, attempt, error, response)`. Of the attempts of a request the first with an object that has days counts."""
+    parsed = recover.json_objects(replies, "reply").withColumn("p", F.from_json("payload", SHAPE))
+    error = F.when(F.col("payload").isNull(), "no JSON object").when(F.col("p.days").isNull(), "no days")
+    parsed = cut(parsed.withColumn("error", error))
+    failures = parsed.where("error is not null").select("pid", "attempt", "error", text.sanitize(F.col("reply")).alias("response"))
+    good = parsed.where("error is null").groupBy("pid").agg(F.min_by("payload", "attempt").alias("payload"))
+    acts, beds = planned_items(good, pool, windows)
+    return acts, beds, failures
 
 
 def reasons() -> Column:

@@ -36,9 +36,12 @@ def _rides(w):
     return rides(w)
 
 
-@query("day_windows", "pid long, plan_day long, open long, close long, most long", """select pid, plan_day, o as open, c as close, case when c - o < 60 then 0 when day > 1 and plan_day in (1, day) then least(3, greatest(1, least(5, (c - o) // 105))) else greatest(1, least(5, (c - o) // 105)) end as most from (
+WINDOWS = """select pid, plan_day, o as open, c as close, case when c - o < 60 then 0 when day > 1 and plan_day in (1, day) then least(3, greatest(1, least(5, (c - o) // 105))) else greatest(1, least(5, (c - o) // 105)) end as most from (
   select *, greatest(o, c0) as c from (select s.pid, day, plan_day, case when plan_day = 1 then greatest(540, coalesce(a.stop + 30, 540)) else 540 end as o, case when plan_day = day then least(1320, coalesce(b.start - 30, 1320)) else 1320 end as c0
-  from (select pid, day, unnest(range(1, day + 1)) as plan_day from spec) s left join rides a on a.pid = s.pid and a.direction = 'outbound' left join rides b on b.pid = s.pid and b.direction = 'inbound'))""", RIDES)
+  from (select pid, day, unnest(range(1, day + 1)) as plan_day from spec) s left join rides a on a.pid = s.pid and a.direction = 'outbound' left join rides b on b.pid = s.pid and b.direction = 'inbound'))"""
+
+
+@query("day_windows", "pid long, plan_day long, open long, close long, most long", WINDOWS, RIDES)
 def _day_windows(w):
     return planning.day_windows(w.specs, rides(w))
 
@@ -271,6 +274,12 @@ M4_COLUMNS = ", ".join(f"{m} double" for m in M4)
 M4_SQL = ", ".join(f"avg({m}) as {m}" for m in M4)
 
 
+def _nodes() -> str:
+    from wayfinder.plans.q_graph import NODES
+
+    return NODES
+
+
 def bundle(w):
     """The trip tables as what runs read; reference activities lie on the days that their keys give."""
     from wayfinder.plans.q_graph import mined, the_graph
@@ -354,6 +363,60 @@ def _best(w):
     return of("default", runs.default_best(r, 5, ("ndcg_at_5", "recall_at_10"))).union(of("recall", runs.route_best(r, "recall_at_10"))).union(of("asked", runs.lookup(r, "run_007", order))).union(of("missing", runs.lookup(r, "none", order)))
 
 
+UNUSED = "list_filter({0}, lambda z: not list_contains({1}, z['cid']))[1]"
+TURNED = "list_filter(list_concat({0}[({2} % len({0}))::int + 1:], {0}[:({2} % len({0}))::int]), lambda z: not list_contains({1}, z['cid']))[1]"
+STOP = "struct(cid varchar, etype varchar, price double, need bigint, o bigint, c bigint)"
+AT = "struct(plan_day bigint, seq bigint, start bigint, stop bigint, cid varchar, etype varchar, price double)"
+
+
+def _fallback_sql(sights: str, meals: str, used: str, x: str) -> str:
+    """A sight, a meal and another sight, unused ones first, as columns one after another, and the list of them."""
+    one = f"list_append({used}, coalesce({x}1['cid'], ''))"
+    two = f"list_concat({used}, [coalesce({x}1['cid'], ''), coalesce({x}2['cid'], '')])"
+    return f"""coalesce({UNUSED.format(sights, used)}, {sights}[(d - 1) % len({sights}) + 1]) as {x}1, case when ({x}1 is not null)::int < most then coalesce({UNUSED.format(meals, one)}, {meals}[(d - 1) % len({meals}) + 1]) end as {x}2,
+      case when ({x}1 is not null)::int + ({x}2 is not null)::int < most and len({sights}) > 0 then coalesce({UNUSED.format(sights, two)}, {sights}[d % len({sights}) + 1]) end as {x}3, list_filter([{x}1, {x}2, {x}3], lambda z: z is not null)"""
+
+
+def plan_sql(chosen: str, picks: str | None = None, given: tuple[str, str] | None = None) -> str:
+    """Tables up to `drawn`, the plans of `chosen(pid, cid, position)`: a walk over tokens, fallbacks and activities, one step a row. `slots` has the tokens, `picks(pid, d, ids)` what is suggested, `given` what a model says, `(pid, d, acts)`, and of which requests it says anything."""
+    bare = "{'cid': cid, 'etype': etype, 'price': price, 'need': case when etype = 'restaurant' then 60 when duration is not null then least(480, greatest(30, regexp_extract(duration, '([0-9]+)', 1)::int * 60)) else 90 end::bigint, 'o': (case when etype = 'attraction' and opening is not null then 480 end)::bigint, 'c': (case when etype = 'attraction' and opening is not null then " + CLOSE + " end)::bigint}"
+    kinds = (("attraction", "sights"), ("restaurant", "meals"))
+    return f"""{RIDES}, win as ({WINDOWS}), stop0 as (select pid, cid, etype, price, ord, day, {bare} as x from pool), picked as ({chosen}),
+own as (select pid, {", ".join(f"coalesce(list(x order by position) filter (where etype = '{k}'), []) as own_{n}" for k, n in kinds)} from picked join stop0 using (pid, cid) group by pid),
+everything as (select pid, any_value(day) as day, {", ".join(f"coalesce(list(x order by price, ord, cid) filter (where etype = '{k}'), []) as all_{n}" for k, n in kinds)} from stop0 group by pid),
+pools as (select pid, {", ".join(f"case when len(own_{n}) > 0 then own_{n} when said then [] else all_{n}[:greatest(2, day)] end as {n}, case when len(own_{n}) > 0 then own_{n} else all_{n} end as last_{n}" for _, n in kinds)}, said
+  from (select e.*, {", ".join(f"coalesce(own_{n}, []) as own_{n}" for _, n in kinds)}, {given[1].format("e.pid") if given else "false"} as said from everything e left join own using (pid))),
+{f"given0 as ({given[0]})," if given else ""} {f"picks0 as ({picks})," if picks else ""}
+op0 as (select w.pid, plan_day as d, open, close, most, slot as n, 't' as op, case act when 'sightseeing' then 'attraction' when 'dining' then 'restaurant' else '-' end as kind from win w join spec using (pid) join slots on slots.days = spec.day and slots.day = plan_day where slot <= most {f"and not ({given[1].format('w.pid')})" if given else ""}
+  union all select pid, plan_day, open, close, most, unnest([90, 100, 200, 300] || range(101, 101 + most) || range(201, 204)) as n, case n when 90 then 'm' when 100 then 'f' when 200 then 'g' when 300 then 'e' else 's' end, null from win where most > 0),
+op as (select *, row_number() over (partition by pid order by d, n) as i from op0),
+fold(pid, i, used, today, a, r, acts, k, now, placed, trip, done) as (
+  select pid, 0::bigint, []::varchar[], []::varchar[], 0::bigint, 0::bigint, []::{STOP}[], 1::bigint, 0::bigint, []::{AT}[], []::varchar[], []::{AT}[] from pools
+  union all
+  select pid, i, case op when 't' then case when t is null then used else list_append(used, t['cid']) end when 'm' then used || list_transform(m, lambda z: z['cid']) when 'f' then used || list_transform(acts1, lambda z: z['cid']) else used end,
+    case op when 't' then case when t is null then today else list_append(today, t['cid']) end when 'e' then [] else today end,
+    a + (op = 't' and t is not null and kind = 'attraction')::int, r + (op = 't' and t is not null and kind = 'restaurant')::int,
+    case op when 't' then case when t is null then acts else list_append(acts, t) end when 'm' then case when said then m else acts end when 'f' then acts1[:most] when 'g' then case when len(placed) = 0 then again else [] end when 'e' then [] else acts end,
+    case when op in ('f', 'g') then 1 when op = 's' then k + 1 else k end,
+    case when op in ('f', 'g') then open when fits then least(close, begin_ + x['need'] + 15) else now end,
+    case when fits then list_append(placed, {{'plan_day': d, 'seq': len(placed) + 1, 'start': begin_, 'stop': begin_ + x['need'], 'cid': x['cid'], 'etype': x['etype'], 'price': x['price']}}) when op = 'e' then [] else placed end,
+    case op when 'e' then trip || list_transform(placed, lambda z: z['cid']) else trip end, case op when 'e' then done || placed else done end
+  from (select *, case when len(acts) = 0 then fresh else acts end as acts1, op = 's' and x is not null and close - open >= 45 and begin_ + x['need'] <= least(close, coalesce(x['c'], close)) and not list_contains(trip, x['cid']) and not list_contains(list_transform(placed, lambda z: z['cid']), x['cid']) as fits from (
+    select *, acts[k] as x, greatest(now, coalesce(x['o'], now)) as begin_, case kind when 'attraction' then sights else meals end as pool_, case kind when 'attraction' then a else r end as cursor_,
+      coalesce({"list_filter(picks, lambda z: z['etype'] = kind and not list_contains(used, z['cid']))[1], " if picks else ""}{TURNED.format("pool_", "used", "cursor_")}, {TURNED.format("pool_", "today", "cursor_")}) as t0, case when kind <> '-' then t0 end as t
+    from (select *, {_fallback_sql("sights", "meals", "used", "f")} as fresh from (select *, {_fallback_sql("last_sights", "last_meals", "trip", "g")} as again from (
+      select f.pid, o.i, used, today, a, r, f.acts, k, now, placed, trip, done, op, kind, o.d, open, close, most, sights, meals, last_sights, last_meals, said, {"case when said then coalesce(given0.acts[:most], []) else [] end" if given else f"[]::{STOP}[]"} as m{", coalesce(picks0.picks, []) as picks" if picks else ""}
+      from fold f join op o on o.pid = f.pid and o.i = f.i + 1 join pools p on p.pid = f.pid {"left join given0 on given0.pid = f.pid and given0.d = o.d" if given else ""} {"left join picks0 on picks0.pid = f.pid and picks0.d = o.d" if picks else ""})))))),
+drawn as (select pid, y.plan_day as plan_day, y.seq as seq, y.start as start, y.stop as stop, case y.etype when 'restaurant' then 'dining' else 'sightseeing' end as action, y.cid as cid, y.price as price from (select pid, unnest(done) as y from (select pid, done, row_number() over (partition by pid order by i desc) as k from fold) where k = 1))"""
+
+
+SHORT = """select pid, cid, row_number() over (partition by pid order by case etype when 'hotel' then 0 when 'attraction' then 1 else 2 end, rank) as position from (
+  select *, row_number() over (partition by pid, etype order by -interest - overlap, penalty, ord) as rank from (
+    select *, len(list_intersect(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) as overlap, len(list_intersect(list_distinct(interests), list_distinct(list_transform(tags, lambda x: lower(x))))) as interest,
+      case when lo is not null and etype = 'restaurant' then (not (price between lo and hi))::int::double when budget is not null then price / greatest(budget, 1) else 0 end as penalty from pool)
+  qualify rank <= case etype when 'hotel' then 1 else greatest(4, 2 * day) end)"""
+
+
 PLAN = "pid long, plan_day long, seq long, start long, end long, action string, cid string, price double"
 
 
@@ -362,6 +425,56 @@ def planned(w):
     return methods.plan(bundle(w), (methods.METHODS[-1],))
 
 
+def direct(w):
+    """What the direct method plans from: the shortlist in order, and the windows that rides leave."""
+    kind = F.when(F.col("etype") == "hotel", 0).when(F.col("etype") == "attraction", 1).otherwise(2)
+    short = methods.shortlist(w.sandbox).withColumn("position", F.row_number().over(Window.partitionBy("pid").orderBy(kind, "rank")).cast("long"))
+    return cut(short), cut(planning.day_windows(w.specs, rides(w)))
+
+
+@query("plan_direct", PLAN.replace("end long", "stop long"), "select * from drawn", f"{_nodes()}, {plan_sql(SHORT)}")
+def _plan_direct(w):
+    """Plans of the direct method before any repair."""
+    from wayfinder.plans.q_graph import mined
+
+    short, windows = direct(w)
+    return planning.build(short, windows, graph.skeletons(w.spark, mined(w)), pool=w.sandbox).withColumnRenamed("end", "stop")
+
+
+GIVEN = ("select pid, plan_day as d, list(x order by seq) as acts from plans join win using (pid, plan_day) join stop0 using (pid, cid) where seq <= most and plans.k % 7 <> 0 group by pid, plan_day", "{} // 50 % 4 <> 3")
+
+
+@query("plan_by_model", PLAN.replace("end long", "stop long") + ", mode string, asks long", "select d.*, case when pid // 50 % 4 = 3 then 'heuristic_fallback' else 'llm' end as mode, [1, 2, 2, 9][pid // 50 % 4 + 1] as asks from drawn d", f"{_nodes()}, {plan_sql(SHORT, given=GIVEN)}")
+def _plan_by_model(w):
+    """Plans from a model that names activities of a stored plan, one in seven under a wrong action.
+
+    Of four requests one is answered at once, one after its JSON is repaired, one at the second
+    attempt (its first has a list of days), and one never, so the engine plans it by itself.
+    """
+    from wayfinder.plans.q_graph import mined
+
+    short, windows = direct(w)
+    wrong = F.when(F.col("action") == "dining", "sightseeing").otherwise("Dining")
+    act = F.struct(F.col("cid").alias("candidate_id"), F.when(F.col("k") % 7 == 0, wrong).otherwise(F.initcap("action")).alias("action"))
+    days = w.plans.groupBy("pid", "plan_day").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", act.alias("x")))), lambda x: x["x"]).alias("acts"))
+    said = days.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct(F.col("plan_day").cast("string"), "acts"))).alias("days"))
+    good = F.to_json(F.struct(F.lit("none").alias("hotel_candidate_id"), F.coalesce("days", F.create_map().cast("map<string,array<struct<candidate_id:string,action:string>>>")).alias("days")))
+    kind = F.floor(F.col("pid") / 50) % 4
+    stored = w.specs.select("pid").join(said, "pid", "left").withColumn("good", good)
+    ask = lambda attempt, repair, reply: F.struct(F.lit(attempt).alias("attempt"), F.lit(repair).alias("repair"), reply.alias("reply"))
+    first = F.when(kind == 0, F.col("good")).when(kind == 2, F.lit('{"days": [1, 2]}')).otherwise(F.lit("Let me think."))
+    replies = F.array(ask(1, 0, first), ask(1, 1, F.when(kind == 1, F.concat(F.lit("```json\n"), "good", F.lit("\n```"))).otherwise(F.lit("still thinking"))), ask(2, 0, F.when(kind == 2, F.col("good")).otherwise(F.lit("sorry"))))
+    replies = cut(stored.select(F.lit("m").alias("model"), "pid", F.explode(replies).alias("x")).select("model", "pid", "x.*"))
+    prompts = serial.prompts(w.specs, short, rides(w), windows)
+    settled, _ = serial.converse(prompts, lambda asked: asked.join(replies, ["pid", "attempt", "repair"]))
+    settled = cut(settled)
+    acts, _ = serial.planned_items(settled.where("payload is not null"), w.sandbox, windows)
+    given = acts.select("pid", "plan_day", "seq", "cid").unionByName(settled.where("payload is not null").select("pid"), allowMissingColumns=True)
+    plans = planning.build(short, windows, graph.skeletons(w.spark, mined(w)), pool=w.sandbox, given=cut(given))
+    mode = F.when(F.col("payload").isNull(), "heuristic_fallback").otherwise("llm")
+    return plans.withColumnRenamed("end", "stop").join(settled.select("pid", mode.alias("mode"), "asks"), "pid")
+
+
 @query("plan_itinerary", PLAN)
 def _plan(w):
     """Plans before any repair."""
