@@ -76,13 +76,13 @@ def _quoted(said: str) -> str:
 
 
 def _looked_up(pairs: dict[str, str], key: str, otherwise: str) -> str:
-    """What a table has for a key: texts of some pairs each, the right one of which is chosen by order; texts cost a plan little."""
+    """What a table has for a key: of texts of some pairs each, the one whose place follows from order. A constant list of texts costs a plan little."""
     names = sorted(pairs)
-    texts = [_quoted("\u0001" + "".join(f"{k}\u0002{pairs[k]}\u0001" for k in names[a : a + 64])) for a in range(0, len(names), 64)]
-    held = " ".join(f"when k < {_quoted(n)} then {t}" for n, t in zip(names[64::64], texts, strict=False))
-    table = f"case {held} else {texts[-1]} end" if held else texts[-1]
-    at = "instr(t, concat('\u0001', k, '\u0002'))"
-    return f"transform(array({key}), k -> transform(array({table}), t -> if({at} > 0, substring_index(substring(t, {at} + length(k) + 2), '\u0001', 1), {otherwise}))[0])[0]"
+    texts = ["\u0001" + "".join(f"{k}\u0002{pairs[k]}\u0001" for k in names[a : a + 64]) for a in range(0, len(names), 64)]
+    at = f"size(filter(split({_quoted(chr(3).join(names[::64]))}, '\u0003'), b -> b <= k)) - 1"
+    table = f"get(split({_quoted(chr(3).join(texts))}, '\u0003'), {at})"
+    there = "instr(t, concat('\u0001', k, '\u0002'))"
+    return f"transform(array({key}), k -> transform(array({table}), t -> if({there} > 0, substring_index(substring(t, {there} + length(k) + 2), '\u0001', 1), {otherwise}))[0])[0]"
 
 
 def _folding() -> str:
@@ -193,11 +193,14 @@ def parse_meal_range(text: Column) -> Column:
 
 
 def _first_of(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    t = normalize(text)
-    out = None
-    for key, value in pairs:
-        out = F.when(t.contains(key), F.lit(value)) if out is None else out.when(t.contains(key), F.lit(value))
-    return out
+
+    def first(t: Column) -> Column:
+        out = None
+        for key, value in pairs:
+            out = F.when(t.contains(key), F.lit(value)) if out is None else out.when(t.contains(key), F.lit(value))
+        return out
+
+    return let(normalize(text), first)
 
 
 def hotel_category(text: Column) -> Column:
@@ -210,12 +213,15 @@ def intensity(text: Column) -> Column:
 
 def interest_tags(text: Column) -> Column:
     """What follows "interested in", up to the first listed boundary there is, split and cleaned."""
-    t = normalize(text)
-    rest = F.when(t.contains(INTERESTED), F.substring_index(F.regexp_replace(t, f"^.*?{INTERESTED}", "\u0001"), "\u0001", -1))
-    cut = None
-    for b in BOUNDARIES:
-        cut = F.when(rest.contains(b), F.substring_index(rest, b, 1)) if cut is None else cut.when(rest.contains(b), F.substring_index(rest, b, 1))
-    parts = F.transform(F.split(cut.otherwise(rest), SPLIT), lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", ""))
+
+    def ended(rest: Column) -> Column:
+        cut = None
+        for b in BOUNDARIES:
+            cut = F.when(rest.contains(b), F.substring_index(rest, b, 1)) if cut is None else cut.when(rest.contains(b), F.substring_index(rest, b, 1))
+        return cut.otherwise(rest)
+
+    rest = let(normalize(text), lambda t: F.when(t.contains(INTERESTED), F.substring_index(F.regexp_replace(t, f"^.*?{INTERESTED}", "\u0001"), "\u0001", -1)))
+    parts = F.transform(F.split(let(rest, ended), SPLIT), lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", ""))
     return F.coalesce(F.filter(F.array_distinct(parts), lambda x: F.length(x) >= SHORTEST_TAG), F.array().cast("array<string>"))
 
 
@@ -242,19 +248,21 @@ def format_range(start: Column, end: Column) -> Column:
 
 
 def opening_hours(text: Column) -> Column:
-    t = normalize(text)
     always = F.struct(F.lit(0).alias("start"), F.lit(DAY_MINUTES).alias("end"))
-    return F.when(t.contains("24/7") | t.contains("24 hours"), always).otherwise(parse_time_range(text))
+    return F.when(let(normalize(text), lambda t: t.contains("24/7") | t.contains("24 hours")), always).otherwise(parse_time_range(text))
 
 
 def duration_minutes(text: Column) -> Column:
     """Minutes of a duration; of a range its lower end; a day has eight hours; halves round to even."""
-    t = normalize(text)
-    ranged = t.rlike(DURATION_RANGE)
-    value = F.coalesce(F.when(ranged, F.regexp_extract(t, DURATION_RANGE, 1)), _group(t, DURATION, 1)).cast("double")
-    unit = F.coalesce(F.when(ranged, F.regexp_extract(t, DURATION_RANGE, 3)), _group(t, DURATION, 2))
-    factor = F.when(unit.startswith("hour"), 60.0).when(unit.startswith("day"), 480.0).otherwise(1.0)
-    return F.bround(value * factor).cast("int")
+
+    def minutes(t: Column) -> Column:
+        ranged = t.rlike(DURATION_RANGE)
+        value = F.coalesce(F.when(ranged, F.regexp_extract(t, DURATION_RANGE, 1)), _group(t, DURATION, 1)).cast("double")
+        unit = F.coalesce(F.when(ranged, F.regexp_extract(t, DURATION_RANGE, 3)), _group(t, DURATION, 2))
+        factor = F.when(unit.startswith("hour"), 60.0).when(unit.startswith("day"), 480.0).otherwise(1.0)
+        return F.bround(value * factor).cast("int")
+
+    return let(normalize(text), minutes)
 
 
 def classify_action(title: Column) -> Column:

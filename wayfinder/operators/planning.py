@@ -78,8 +78,8 @@ def whole(acts: DataFrame, hotels: DataFrame, rides: DataFrame, specs: DataFrame
 
 def needed() -> Column:
     """Minutes an activity takes: a meal an hour, a sight what it recommends within bounds."""
-    d = text.duration_minutes(F.col("duration"))
-    return F.when(F.col("etype") == "restaurant", MEAL).otherwise(F.when(d.isNotNull(), F.least(F.greatest(d, F.lit(SHORTEST)), F.lit(LONGEST))).otherwise(USUAL)).cast("long")
+    sight = text.let(text.duration_minutes(F.col("duration")), lambda d: F.when(d.isNotNull(), F.least(F.greatest(d, F.lit(SHORTEST)), F.lit(LONGEST))).otherwise(USUAL))
+    return F.when(F.col("etype") == "restaurant", MEAL).otherwise(sight).cast("long")
 
 
 PLACED = "array<struct<start:bigint,end:bigint,cid:string,etype:string,price:double>>"
@@ -87,9 +87,8 @@ PLACED = "array<struct<start:bigint,end:bigint,cid:string,etype:string,price:dou
 
 def item() -> Column:
     """A candidate as what planning asks of it; opening hours bind attractions alone."""
-    hours = text.opening_hours(F.col("opening"))
-    sight = F.col("etype") == "attraction"
-    return F.struct(F.col("cid"), F.col("etype"), F.col("price").cast("double").alias("price"), needed().alias("need"), F.when(sight, hours["start"]).cast("long").alias("o"), F.when(sight, hours["end"]).cast("long").alias("c"))
+    bare = lambda h: F.struct(F.col("cid").alias("cid"), F.col("etype").alias("etype"), F.col("price").cast("double").alias("price"), needed().alias("need"), h["x"]["start"].cast("long").alias("o"), h["x"]["end"].cast("long").alias("c"))
+    return text.let(F.struct(F.when(F.col("etype") == "attraction", text.opening_hours(F.col("opening"))).alias("x")), bare)
 
 
 def clock(acts: Column, gone: Column, open_: Column, close: Column) -> Column:

@@ -96,7 +96,7 @@ def constraint_score() -> Column:
     hotel = F.when((etype == "hotel") & F.coalesce(liked, F.lit(False)), 0.2).otherwise(0.0)
     folded = lambda a: F.transform(a, text.normalize)
     shared = F.size(F.array_intersect(folded("tags"), folded("interests")))
-    tags = F.when((F.size("tags") > 0) & (F.size("interests") > 0) & (shared > 0), F.least(F.lit(0.22), 0.08 * shared)).otherwise(0.0)
+    tags = F.when((F.size("tags") > 0) & (F.size("interests") > 0), text.let(shared, lambda n: F.when(n > 0, F.least(F.lit(0.22), 0.08 * n)).otherwise(0.0))).otherwise(0.0)
     sight = etype == "attraction"
     known = F.when(sight & text.opening_hours(F.col("opening")).isNotNull(), 0.05).otherwise(0.0) + F.when(sight & text.duration_minutes(F.col("duration")).isNotNull(), 0.05).otherwise(0.0)
     km = geo.haversine_km(F.col("anchor_lat"), F.col("anchor_lon"), F.col("lat"), F.col("lon"))
@@ -110,14 +110,14 @@ def notes() -> Column:
     fit = F.greatest(F.lit(0.0), 1 - F.abs(F.col("price") - (F.col("lo") + F.col("hi")) / 2) / F.greatest(F.lit(1.0), F.col("hi") - F.col("lo")))
     liked = F.lower(F.coalesce("category", F.lit(""))).contains(F.lower("category_pref"))
     km = geo.haversine_km(F.col("anchor_lat"), F.col("anchor_lon"), F.col("lat"), F.col("lon"))
-    minutes = text.duration_minutes(F.col("duration"))
+    minutes = F.when(etype == "attraction", text.duration_minutes(F.col("duration")))
     out = F.array(
         F.when((etype == "restaurant") & F.col("lo").isNotNull(), F.format_string("meal_fit=%.2f", fit)),
         F.when((etype == "hotel") & F.col("category_pref").isNotNull(), F.format_string("hotel_pref_match=%d", liked.cast("int"))),
         F.when((F.size("tags") > 0) & (F.size("interests") > 0), F.format_string("interest_overlap=%d", F.size(F.array_intersect(F.transform("tags", text.normalize), F.transform("interests", text.normalize))))),
         F.when(budget_ok(), "budget_hint=ok").otherwise("budget_hint=relaxed"),
         F.when((etype == "attraction") & text.opening_hours(F.col("opening")).isNotNull(), "opening_hours=known"),
-        F.when((etype == "attraction") & minutes.isNotNull(), F.format_string("duration_min=%d", minutes)),
+        text.let(F.struct(minutes.alias("x")), lambda m: F.when(m["x"].isNotNull(), F.format_string("duration_min=%d", m["x"]))),
         F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), "geo=known"),
         F.when(km.isNotNull(), F.format_string("route_anchor_km=%.2f", km)),
     )
