@@ -221,6 +221,32 @@ def test_written_runs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "failures")).first()["response"] == "sorry"
 
 
+def test_killed_runs_go_on(spark, tmp_path):
+    """A run that dies in a batch, and one that dies between writing a batch and noting it, resumed: each request once."""
+    rows = spark.createDataFrame([(k, m) for k in range(9) for m in ("a", "b")], "pid long, method string")
+    out, calls = str(tmp_path / "p"), []
+
+    def dies(r):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("killed")
+        return r.withColumn("plan", F.lit("first"))
+
+    with pytest.raises(Exception, match="killed"):
+        sinks.run_resumed(rows, out, dies, 4)
+    assert spark.read.json(out).count() == 8
+    assert sinks.run_resumed(rows, out, lambda r: r.withColumn("plan", F.lit("second")), 4) == 3
+    noted = sorted((tmp_path / "p" / "_checkpoint" / "commits").glob("[0-9]*"))
+    for file in (noted[-1], noted[-1].with_name(f".{noted[-1].name}.crc")):
+        file.unlink()  # as if it had died after the last batch was written
+    more = rows.union(spark.createDataFrame([(9, "a")], rows.schema))
+    assert sinks.run_resumed(more, out, lambda r: r.withColumn("plan", F.lit("third")), 4) == 2
+    found = spark.read.json(out)
+    assert found.count() == found.select("pid", "method").distinct().count() == 19
+    assert {r["plan"]: r["count"] for r in found.groupBy("plan").count().collect()} == {"first": 8, "second": 8, "third": 3}
+    assert sinks.run_resumed(more, out, dies, 4) == 0
+
+
 def test_stores(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a b"), (2, "b b c")], "id long, body string")
     words = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "term string, vector array<double>")

@@ -120,19 +120,32 @@ def append_predictions(rows: DataFrame, path: str, keep: bool = True) -> None:
 
 
 def run_resumed(work: DataFrame, path: str, predict, size: int = 1000) -> int:
-    """Predict what `path` does not hold yet, `size` requests at a time, each batch written before the next: how many batches were.
+    """Predict what `path` has not been asked for yet, `size` requests at a time, each (pid, method) exactly once: how many batches ran.
 
-    work: a row for each pid and method; predict: rows of work to prediction rows.
+    work: a row for each pid and method; predict: rows of work to prediction rows. New work is listed
+    under `path/_work`, a file a batch, and read as a stream; a batch is an epoch that replaces the
+    folder of its number, and the stream's checkpoint is the ledger of epochs that are done. A run
+    that ends anywhere goes on with the epoch it was at and writes it again in the same place.
     """
     spark = work.sparkSession
-    if exists(spark, path):
-        done = spark.read.schema("pid long, method string").json(path).where("pid is not null").distinct()
-        work = resume(work, done, ["pid", "method"])
+    todo = f"{path}/_work"
+    if exists(spark, todo):
+        work = resume(work, spark.read.schema(work.schema).parquet(todo).select("pid", "method").distinct(), ["pid", "method"])
     numbered = cut(batches(work, "pid", size))
     last = numbered.agg(F.max("batch").alias("n")).first()["n"]
-    for k in range(0 if last is None else last + 1):
-        append_predictions(predict(numbered.where(F.col("batch") == k).drop("batch")), path)
-    return 0 if last is None else last + 1
+    if last is not None:
+        numbered.repartition(last + 1, "batch").write.mode("append").partitionBy("batch").parquet(todo)
+    if not exists(spark, todo):
+        return 0
+    ran = []
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        predict(rows).write.mode("overwrite").partitionBy("method").json(f"{path}/epoch={epoch}")
+        ran.append(epoch)
+
+    stream = spark.readStream.schema(work.schema).option("maxFilesPerTrigger", 1).parquet(todo)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return len(ran)
 
 
 def write_text(spark: SparkSession, said: str, path: str) -> None:

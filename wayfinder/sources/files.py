@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfinder.functions import text
+from wayfinder.sources.elements import elements
 
 REQUEST = "pid long, query string, departure_city string, destination_city string, day int, budget double, meal_price_range array<double>, final_plan_json string"
 ITINERARY = "pid long, day int, final_plan array<string>"
@@ -13,9 +14,14 @@ RIDE = "Train_Number string, Departure_Time string, Arrival_Time string, Second_
 BLOCK = f"struct<train_options: array<struct<{RIDE.replace(' string', ': string').replace(' double', ': double')}>>, flight_options: array<struct<{RIDE.replace(' string', ': string').replace(' double', ': double')}>>>"
 
 
+def objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects of a JSON array, in many tasks, with `nth`, their place in their file."""
+    return elements(spark, path).select(F.from_json("text", schema).alias("x"), "nth").select("x.*", "nth")
+
+
 def requests(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation requests: a JSON array. Fields win over what the text says."""
-    raw = spark.read.option("multiLine", True).schema(REQUEST).json(path)
+    raw = objects(spark, path, REQUEST)
     q = F.col("query")
     meal = text.parse_meal_range(q)
     pair = F.size("meal_price_range") == 2
@@ -28,13 +34,13 @@ def requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def itineraries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(ITINERARY).json(path).withColumn("ord", F.monotonically_increasing_id())
+    return objects(spark, path, ITINERARY).withColumnRenamed("nth", "ord")
 
 
 def keyed_object(spark: SparkSession, path: str, value: str) -> DataFrame:
     """`(pid, info)` from one JSON object keyed by pid; `value` is the DDL type of its values."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("pid", "info")).withColumn("pid", F.col("pid").try_cast("long"))
+    one = F.concat(F.lit("{"), "text", F.lit("}"))
+    return elements(spark, path).select(F.explode(F.from_json(one, f"map<string,{value}>")).alias("pid", "info")).withColumn("pid", F.col("pid").try_cast("long"))
 
 
 def _any(x: Column, *names: str) -> Column:
