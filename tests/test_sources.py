@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfinder.functions.scratch import cut
@@ -100,3 +101,30 @@ def test_model_replies(spark, tmp_path):
     assert {(r["pid"], r["plan_day"], r["seq"], r["cid"]) for r in acts.collect()} == {(1, 1, 1, "attraction:1"), (1, 2, 1, "restaurant:b:food-2")}
     assert [tuple(r) for r in beds.collect()] == [(1, "hotel:b:inn")]
     assert {(r["pid"], r["attempt"]) for r in failures.collect()} == {(1, 1), (1, 3), (2, 1), (2, 2)}
+
+
+def test_runs_by_model(spark, tmp_path):
+    """Two models and two numbers of hops at once: one model answers one request, in its second attempt, the other none."""
+    trip_files(tmp_path)
+    b = bundle.load(spark, str(tmp_path))
+    days = {"1": [{"candidate_id": "attraction:3", "action": "sightseeing"}, {"candidate_id": "none", "action": "dining"}], "2": []}
+    rows = [("a", 1, 1, 0, '{"days": []}'), ("a", 1, 2, 0, json.dumps({"hotel_candidate_id": "hotel:b:inn", "days": days})), ("a", 2, 1, 0, "?"), ("a", 2, 1, 2, '{"a": }'), ("b", 1, 1, 0, None)]
+    replies = spark.createDataFrame(rows, "model string, pid long, attempt int, repair int, reply string")
+    settings = methods.by_model(("a", "b", ""), hops=(1, 2), methods=methods.METHODS[:1])
+    with pytest.raises(ValueError):
+        methods.plan(b, settings)
+    p = methods.plan(b, settings, replies, attempts=2)
+    runs = p["runs"].select("run", "model", "hops")
+    modes = {(r["pid"], r["model"], r["hops"]): (r["planner_mode"], r["asks"]) for r in methods.told(p["modes"], runs).collect()}
+    want = {("a", 1): ("llm", 2), ("a", 2): ("heuristic_fallback", 6), ("b", 1): ("heuristic_fallback", 6), ("b", 2): ("heuristic_fallback", 6), ("", 1): ("heuristic", 0), ("", 2): ("heuristic", 0)}
+    assert modes == {(pid, m, h): v for (m, pid), v in want.items() for h in (1, 2)}
+    acts = {}
+    for r in methods.told(p["acts"], runs).collect():
+        acts.setdefault((r["pid"], r["model"], r["hops"]), []).append((r["plan_day"], r["seq"], r["cid"]))
+    # the model's day has what it named and exists; its empty day is filled
+    assert [x for x in sorted(acts[1, "a", 2]) if x[0] == 1] == [(1, 1, "attraction:3")] and any(x[0] == 2 for x in acts[1, "a", 2])
+    assert sorted(acts[2, "a", 1]) == sorted(acts[2, "", 1]) and sorted(acts[1, "b", 2]) == sorted(acts[1, "", 2])
+    assert p["log"].where("error is null").count() == 2
+    found = methods.measure(b, p)
+    compared = {(r["model"], r["hops"]): r["n"] for r in methods.aggregate(found, ("model", "hops")).collect()}
+    assert compared == {(m, h): 2 for m in ("a", "b", "") for h in (1, 2)}

@@ -76,26 +76,29 @@ def _undirected(links: DataFrame) -> DataFrame:
     return links.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "relation").distinct()
 
 
+def _slim(candidates: DataFrame) -> DataFrame:
+    """What links are made from, as a table: several steps read it."""
+    return cut(candidates.select("cid", "ord", "etype", "city", "name", "price", "lat", "lon", F.slice("tags", 1, TAGS).alias("tags")))
+
+
 def candidate_links(candidates: DataFrame) -> DataFrame:
-    """All links `(a, b, relation)` that a candidate has."""
-    return (
-        candidates.select(*_edge(F.col("cid"), _city(F.col("city")), "in_city"))
-        .union(candidates.select(*_edge(F.col("cid"), F.concat(F.lit("etype:"), "etype"), "is_type")))
-        .union(candidates.select(*_edge(F.col("cid"), F.concat(F.lit("pref:budget:"), text.price_bucket(F.col("price"))), "fits_budget")))
-        .union(candidates.where("etype = 'attraction'").select(*_edge(F.col("cid"), F.lit("pref:intensity:moderate"), "default_intensity")))
-        .union(_tags(candidates).select(*_edge(F.col("cid"), F.col("tnode"), "has_tag")))
-        .union(nearby(candidates).select(*_edge(F.col("a"), F.col("b"), "nearby")))
-    )
+    """All links `(a, b, relation)` that a candidate has: its own in one pass, and those to its neighbours."""
+    link = lambda b, relation: F.struct(b.alias("b"), F.lit(relation).alias("relation"))
+    own = [link(_city(F.col("city")), "in_city"), link(F.concat(F.lit("etype:"), "etype"), "is_type"), link(F.concat(F.lit("pref:budget:"), text.price_bucket(F.col("price"))), "fits_budget")]
+    usual = F.when(F.col("etype") == "attraction", link(F.lit("pref:intensity:moderate"), "default_intensity"))
+    tags = F.transform(F.coalesce(F.slice("tags", 1, TAGS), F.array().cast("array<string>")), lambda t: link(F.concat(F.lit("pref:tag:"), text.slugify(t)), "has_tag"))
+    rows = candidates.select(F.col("cid").alias("a"), F.explode(F.array_compact(F.concat(F.array(*own, usual), tags))).alias("x"))
+    return rows.select("a", "x.b", "x.relation").union(nearby(candidates).select(*_edge(F.col("a"), F.col("b"), "nearby")))
 
 
 def candidate_edges(candidates: DataFrame) -> DataFrame:
     """The edges that scores of candidates read: those that end at one."""
-    return _undirected(candidate_links(candidates))
+    return _undirected(candidate_links(_slim(candidates)))
 
 
 def build(candidates: DataFrame, specs: DataFrame, transport: DataFrame, patterns: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """`nodes(node, layer, kind, label)` and `edges(src, dst, relation)`, an undirected edge once with src < dst."""
-    spark = candidates.sparkSession
+    spark, candidates = candidates.sparkSession, _slim(candidates)
     node = lambda id_, layer, kind, label: [id_.alias("node"), F.lit(layer).alias("layer"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), label.alias("label")]
     city_id = _city
     cities = specs.select(F.col("departure").alias("c")).union(specs.select("destination")).union(candidates.select("city")).where("c <> ''").distinct()
