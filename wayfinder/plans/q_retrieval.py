@@ -207,7 +207,26 @@ def _gate(w):
     return summary.summarize(items(w).where("position <= 20"))
 
 
-@query("day_suggestions", "pid long, plan_day long, picks string")
+CAP = "(daily * case etype when 'restaurant' then 0.3e0 else 0.55e0 end)"
+FIT = f"case when {CAP} is null then 1e0 when {CAP} <= 0 then (price <= 0)::int::double when price <= {CAP} then 1e0 else greatest(0e0, {CAP} / greatest(price, 1e0)) end"
+RANGE = "case when price < lo then greatest(0e0, 1 - (lo - price) / greatest(1e0, hi - lo)) when price > hi then greatest(0e0, 1 - (price - hi) / greatest(1e0, hi - lo)) else greatest(0.7e0, 1 - abs(price - (lo + hi) / 2) / greatest(1e0, hi - lo)) end"
+NEXT = "list_transform(list_sort(list_transform(list_filter({0}, lambda x: not list_contains({1}, x['cid'])), lambda x: {{'s': -({2}), 'p': x['price'], 'c': x['cid']}})), lambda x: x['c'])"
+G = "coalesce(m[anchor || '|' || x['cid']], 0.5e0)"
+SUGGESTED = f"""{SIGNALS},
+beds as (select pid, arg_min(price, crank) as bed from chosen where etype = 'hotel' group by pid),
+dly as (select c.pid, any_value(day) as day, case when any_value(budget) > 0 then greatest(0e0, any_value(budget) - coalesce(any_value(bed), 0) * any_value(day)) * 0.8e0 / greatest(any_value(day), 1) end as daily from chosen c left join beds using (pid) group by c.pid),
+sg as (select *, case when top - low <= 1e-9 then 1e0 else (fused - low) / (top - low) end as rel, case when etype = 'restaurant' and lo is not null then 0.6e0 * ({RANGE}) + 0.4e0 * ({FIT}) else {FIT} end as fit from (select c.*, daily, min(fused) over p as low, max(fused) over p as top from chosen c join dly using (pid) where etype <> 'hotel' window p as (partition by pid))),
+nears as (select pid, map_from_entries(list((k, g))) as m from (select a.pid, a.cid || '|' || b.cid as k, greatest(0e0, 1 - {KM.format(HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon'))} / 25e0) as g from sg a join sg b on a.pid = b.pid and a.cid <> b.cid where a.etype = 'attraction') group by pid),
+both_ as (select pid, any_value(day) as day, {", ".join(f"coalesce(list({{'cid': cid, 'price': price, 'rel': rel, 'fit': fit}}) filter (where etype = '{k}'), []) as {n}" for k, n in (("attraction", "sights"), ("restaurant", "meals")))} from sg group by pid),
+walk(pid, d, used, picks) as (
+  select pid, 0::bigint, []::varchar[], []::varchar[] from both_
+  union all
+  select pid, d + 1, used || picks1, picks1 from (select *, case when anchor is null then {NEXT.format("meals", "used", "0.72e0 * x['rel'] + 0.28e0 * x['fit']")}[:2] else list_concat(mine, {NEXT.format("meals", "used", f"0.34e0 * x['rel'] + 0.28e0 * {G} + 0.38e0 * x['fit']")}[:2]) end as picks1 from (
+    select *, list_concat([anchor], {NEXT.format("sights", "list_append(used, anchor)", f"0.38e0 * x['rel'] + 0.46e0 * {G} + 0.16e0 * x['fit']")}[:2]) as mine from (
+      select w.pid, w.d, used, sights, meals, m, coalesce({NEXT.format("sights", "used", "0.72e0 * x['rel'] + 0.28e0 * x['fit']")}[1], {NEXT.format("sights", "[]", "0.72e0 * x['rel'] + 0.28e0 * x['fit']")}[1]) as anchor from walk w join both_ b on b.pid = w.pid and w.d < b.day left join nears on nears.pid = w.pid))))"""
+
+
+@query("day_suggestions", "pid long, plan_day long, picks string", "select pid, d as plan_day, array_to_string(picks, ',') as picks from walk where d > 0", SUGGESTED)
 def _suggestions(w):
     s = summary.day_suggestions(summary.quotas(items(w).where("position <= 20")).withColumn("position", F.col("chosen_rank")))
     return s.withColumn("picks", F.array_join("picks", ","))
