@@ -10,7 +10,7 @@ from wayfinder.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["query_specs", "candidates_union", "tiered_hard_filter", "seed_pick", "fn_tokenize", "fn_budget_fit", "pattern_top8", "budget_totals", "validator_checks", "ranking_metrics", "schedule_recurrence", "best_by_grouping_sets", "geo_nearby_edges", "dense_topk"]
+QUICK = ["query_specs", "candidates_union", "tiered_hard_filter", "seed_pick", "fn_tokenize", "fn_budget_fit", "pattern_top8", "budget_totals", "validator_checks", "ranking_metrics", "schedule_recurrence", "best_by_grouping_sets", "geo_nearby_edges", "dense_topk", "fn_judge_score", "judge_both_orders", "day_suggestions", "plan_by_model", "reached_far"]
 
 
 @pytest.fixture(scope="module")
