@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wayfinder.operators import graph, patterns
+from wayfinder.operators import graph, methods, patterns
 from wayfinder.plans.q_retrieval import scored
 from wayfinder.sources.domain import World
 
@@ -26,6 +26,22 @@ def test_hubs_spread_and_not_requests(spark, monkeypatch):
     assert sum(t.count() for t in made) < 100
 
 
+def test_runs_with_the_same_seeds_share_their_reach(spark, monkeypatch):
+    w = World(spark, SF)
+    s = scored(w)
+    asked = []
+    monkeypatch.setattr(graph, "reached", lambda items, *a, f=graph.reached: asked.append(items.count()) or f(items, *a))
+    b = methods.Bundle(w.specs, w.pool, w.candidates, None, None, graph.candidate_edges(w.candidates, s), None)
+    settings = tuple(methods.Settings(f"run_{k}", use_community_retrieval=k % 2 == 0, w_graph=0.1 * k) for k in range(4))
+    runs = methods.table(spark, settings)
+    together = methods.fused(s, runs, b)
+    assert asked == [s.count()]
+    for k in (0, 3):
+        alone = methods.fused(s, methods.table(spark, (settings[k],)), b)
+        rows = lambda t, k: sorted(map(tuple, t.where(methods.run_of() == k).select(F.shiftright("pid", 10), "cid", "fused").collect()))
+        assert rows(together, k) == rows(alone, 0)
+
+
 def test_names_are_folded_once(spark):
     rows = [(f"hotel:{k}", "hotel", "Bad Ems", 10.0, ["A b", None, "c"]) for k in range(50)]
     c = spark.createDataFrame(rows, "cid string, etype string, city string, price double, tags array<string>")
