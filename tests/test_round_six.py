@@ -1,11 +1,13 @@
-"""Texts are dealt before they are folded, and folded once; postings and terms stay small in any task; all labels teach."""
+"""Texts are dealt before they are folded, and folded once; no task holds more terms than its share."""
 
+import math
 import random
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from wayfinder.functions import text
+from wayfinder.operators import lexical
 from wayfinder.plans.q_text import texts
 from wayfinder.sources.domain import World
 
@@ -28,3 +30,15 @@ def test_calm_and_loud_characters_fold_together(spark):
 
 def test_documents_are_dealt_by_id(spark):
     assert "hashpartitioning(doc_id" in texts(World(spark, SF))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_holds_a_bounded_share_of_terms(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "PART_BYTES", 100)
+    monkeypatch.setattr(lexical, "COMMON", 2)
+    rows = spark.createDataFrame([(k, f"in town {k % 7} {k} {k}") for k in range(100)], "k long, t string")
+    found = lexical.terms(rows, "k", F.col("t"))
+    assert "hashpartitioning(k" in (plan := found._jdf.queryExecution().executedPlan().toString()) and f", {lexical.parts(rows, F.col('t'))})" in plan.replace(", REPARTITION_BY_NUM", ")")
+    idfs = lexical.idf(found, "k")
+    want = {(r["k"], r["term"]): (1 + math.log(r["tf"])) * r["idf"] for r in found.join(idfs, "term").collect()}
+    got = {(r["k"], r["term"]): r["w"] for r in lexical.weigh(found, idfs).collect()}
+    assert got.keys() == want.keys() and len(got) > 300 and all(math.isclose(got[x], want[x]) for x in want)
