@@ -53,3 +53,10 @@ def test_no_query_of_whole_cells_keeps_a_cut():
     sql = registry.oracle_sql()
     for name in ("graph_edges", "graph_stats", "edges_with_ends", "graph_upsert_rows", "graph_statements", "bfs_2", "retrieval_runs", "module_on_off", "strong_subspace", "best_runs"):
         assert "k <= 18" not in sql[name]
+
+
+def test_turns_are_dealt_and_folded_once(spark):
+    df = registry.queries()["fn_normalize_marks"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array(replace(") == 1 and "RepartitionByExpression" in plan
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
