@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tests.test_sources import trip_files
 from wayfinder.operators import graph, methods, sinks
-from wayfinder.plans import registry
+from wayfinder.plans import q_evaluation, q_graph, registry
 from wayfinder.sources import bundle
+from wayfinder.sources.domain import World
 
 
 def test_measured_parts_are_tables(spark, tmp_path):
@@ -60,3 +61,23 @@ def test_turns_are_dealt_and_folded_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array(replace(") == 1 and "RepartitionByExpression" in plan
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_last_hop_is_asked_of_starts_alone(spark):
+    """The last hop is the widest; all before it, and what starts have of it, is as without the limit."""
+    edges = spark.createDataFrame([(f"hotel:{k}", f"pref:tag:{k % 7}") for k in range(30)] + [(f"hotel:{k}", f"city:{k % 3}") for k in range(30)], "src string, dst string")
+    ends = graph.placed_bits(spark.createDataFrame([("pref:tag:1",), ("city:2",)], "dst string")).select(F.col("dst").alias("node"), "block", "bit")
+    starts = spark.createDataFrame([("hotel:3",), ("hotel:4",)], "node string")
+    whole, asked = graph.spread(ends, edges, 3), graph.spread(ends, edges, 3, last=starts)
+    want = whole.where("hop < 3").union(whole.where("hop = 3").join(starts, "node", "left_semi"))
+    rows = lambda t: sorted(map(tuple, t.collect()))
+    assert rows(asked) == rows(want) and whole.count() > asked.count()
+
+
+def test_hops_and_plans_keep_no_rides(spark):
+    """Edges of tags and places need no rides; a bundle with edges of its own mines no patterns and writes no ride."""
+    w = World(spark, "/root/testdata/sf0.001")
+    b = q_evaluation.bundle(w, q_graph.thin(w))
+    assert b.slots is None and not {"_graph", "_whole", "_mined"} & set(w.__dict__)
+    assert "lineitem" in str(b.transport.inputFiles())
+    assert sorted(map(tuple, q_graph.thin(w).collect())) == sorted(map(tuple, q_graph.the_graph(w)[1].where("relation in ('has_tag', 'nearby')").collect()))
